@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, toxicity
 from .shared import table
 
 
@@ -38,5 +38,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(F.array_join("c.items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    p = docs.select("doc_id", toxicity.score(F.col("text"), chain).alias("p"))
+    return p.select("doc_id", *(F.col(f"p.{c}").alias(f"p_{c}") for c in toxicity.CATEGORIES), (F.col("p.toxic") >= toxicity.THRESHOLD).alias("rejected"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLE: dict[str, str] = {}
