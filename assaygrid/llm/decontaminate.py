@@ -57,11 +57,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Over integers >= 0. The text's end is a sentinel below all of them."""
+    """Over integers from 0 to `top`. The text's end is a sentinel below all of them."""
 
-    def __init__(self, text: np.ndarray, sample: int = SAMPLE):
+    def __init__(self, text: np.ndarray, top: int, sample: int = SAMPLE):
         text = np.concatenate((text.astype(np.int64) + 1, [0]))
-        self.n, self.levels = len(text), max(1, int(text.max()).bit_length())
+        self.n, self.levels = len(text), (top + 1).bit_length()
         order = suffix_array(text)
         last = text[order - 1]
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.levels))))
@@ -144,7 +144,7 @@ def search_shard(words: list[list[bytes]], block: Block) -> tuple[list[list[tupl
     origin = np.arange(sizes.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     text = flat[origin]
     text[np.cumsum(sizes) - 1] = 0
-    index, cover = FmIndex(text), np.zeros(len(flat) + 1, np.int64)
+    index, cover = FmIndex(text, len(block.ids)), np.zeros(len(flat) + 1, np.int64)
     for m, (patterns, owners) in block.by.items():
         lo, hi = index.search(patterns)
         hits = np.flatnonzero(hi > lo)

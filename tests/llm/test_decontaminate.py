@@ -32,9 +32,9 @@ def test_fm_index():
     rng = np.random.default_rng(2)
     for n, sigma in ((1, 1), (50, 2), (400, 3), (700, 90)):
         text = rng.integers(0, sigma, n)
-        index = dc.FmIndex(text, 4)
+        index = dc.FmIndex(text, 2 * sigma + 3, 4)
         for m in (1, 2, 5):
-            patterns = np.array([text[k : k + m] for k in rng.integers(0, max(1, n - m + 1), 20)] + [rng.integers(0, sigma, m) for _ in range(9)]) if n >= m else np.zeros((0, m), int)
+            patterns = np.array([[2 * sigma + 3] * m] + [text[k : k + m] for k in rng.integers(0, max(1, n - m + 1), 20)] + [rng.integers(0, sigma, m) for _ in range(9)]) if n >= m else np.zeros((0, m), int)
             lo, hi = index.search(patterns)
             for p, a, b in zip(patterns, lo, hi):
                 want = [k for k in range(n - m + 1) if (text[k : k + m] == p).all()]
