@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, line_dedup, secrets, simhash, toxicity
 from .shared import table
 
 
@@ -66,5 +66,16 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def secret_digests(docs: DataFrame) -> DataFrame:
+    base = [r.kind for r in secrets.RULES if r.base]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return secrets.scan(docs).select("doc_id", *(of(k).alias(f"n_{k}") for k in base),
+                                     F.sha2(secrets.as_text(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}
