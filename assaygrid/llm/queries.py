@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, line_dedup, neighbours, secrets, simhash, toxicity
-from .shared import table
+from . import bpe, decontaminate, language, line_dedup, neighbours, quality, secrets, simhash, toxicity
+from .shared import crc_fold, table
 
 
 def tokenizer_path() -> str:
@@ -81,5 +81,18 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
 
 
-QUERIES = {"op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold("doc_id", 5)
+    found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"), fold != 0)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 4)
+    trees = spark.sparkContext.broadcast(language.learn(docs.where(fold != 2)))
+    found = docs.select("doc_id", (fold == 2).alias("held_out"), language.identify(F.col("text"), trees).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+QUERIES = {"op6_quality": op6_quality, "op7_language_id": op7_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}
