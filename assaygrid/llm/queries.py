@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, line_dedup, neighbours, quality, secrets, simhash, toxicity
+from . import bpe, chat, decontaminate, language, line_dedup, neighbours, quality, secrets, simhash, toxicity
 from .shared import crc_fold, table
 
 
@@ -94,5 +94,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
-QUERIES = {"op6_quality": op6_quality, "op7_language_id": op7_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
-ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = """
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, max(turn) AS m, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+x AS (SELECT DISTINCT conv_id, turn FROM t),
+p AS (SELECT DISTINCT CAST(list_filter(c.l, lambda e: e.turn <= x.turn) AS VARCHAR) AS l FROM c JOIN x ON x.conv_id = c.conv_id WHERE x.turn < c.m),
+k AS (SELECT min(conv_id) AS conv_id FROM c WHERE CAST(l AS VARCHAR) NOT IN (SELECT l FROM p) GROUP BY CAST(l AS VARCHAR))
+SELECT t.conv_id, t.turn // 256 AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM t JOIN k ON k.conv_id = t.conv_id GROUP BY t.conv_id, t.turn // 256
+"""
+
+
+QUERIES = {"op4_chat_format": op4_chat_format, "op6_quality": op6_quality, "op7_language_id": op7_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+ORACLE: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_line_dedup": OP8_SQL}
