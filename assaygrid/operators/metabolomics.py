@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BIO = ~F.col("kind").isin("QC", "Blank")
+def is_bio() -> Column:
+    return ~F.col("kind").isin("QC", "Blank")
+
 
 
 def missing(area: Column) -> Column:
@@ -34,7 +36,7 @@ def blank_filter(peaks: DataFrame, ratio: float = 1.0, first_blank: Column | Non
     """Without features whose mean in biological samples is under `ratio` times that in blanks; no value counts as 0."""
     area = F.coalesce(F.col("area"), F.lit(0.0))
     blank = (F.col("kind") == "Blank") & (F.lit(True) if first_blank is None else ~first_blank)
-    means = peaks.groupBy("study", "feature").agg(F.avg(F.when(BIO, area)).alias("bio"), F.avg(F.when(blank, area)).alias("blank"))
+    means = peaks.groupBy("study", "feature").agg(F.avg(F.when(is_bio(), area)).alias("bio"), F.avg(F.when(blank, area)).alias("blank"))
     return peaks.join(means.where(F.col("bio") < F.col("blank") * ratio), ["study", "feature"], "left_anti")
 
 
@@ -105,7 +107,7 @@ def pqn(peaks: DataFrame) -> DataFrame:
     dev = totals.join(mid, "study").withColumn("dev", F.abs(F.col("total") - F.col("mid")))
     good = dev.join(dev.groupBy("study").agg(F.median("dev").alias("mad")), "study").where((F.col("mad") == 0) | (F.col("dev") / F.col("mad") < 3)).select("study", "sample")
     reference = peaks.join(good, ["study", "sample"], "left_semi").groupBy("study", "feature").agg(F.median("area").alias("ref"), F.avg(F.col("area").isNull().cast("double")).alias("gone")).where("gone <= 0.5")
-    bio = peaks.where(BIO).join(reference.select("study", "feature", "ref"), ["study", "feature"])
+    bio = peaks.where(is_bio()).join(reference.select("study", "feature", "ref"), ["study", "feature"])
     factor = bio.groupBy("study", "sample").agg(F.median(F.col("area") / F.nullif("ref", F.lit(0.0))).alias("f"))
     f = F.when(F.coalesce(F.col("f"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("f"))
     return bio.join(factor, ["study", "sample"]).select("study", "sample", "kind", "feature", (F.col("area") / f).alias("area"))
