@@ -27,8 +27,8 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: A bucket is full at so many times the mean count, so at most one in so many is.
 FULL = 8
-#: Rows of (id, line) that may be broadcast, under 100 MB as a hash table; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Rows of (id, line) that may be broadcast, under 150 MB as a hash table; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 _LOW = (1 << 62) - 1
 
 
@@ -90,17 +90,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .where("a != z").select("token", "cid", "n", "pos").distinct())
     late = posts.where(F.col("token") > _LOW).distinct()
     shared = late.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    held = cut(light.union(late.join(shared, "token").select("token", "cid", "n", "pos")).join(classes, "cid"))
-
-    tokens = _token_sets(docs, held.select("cid", "first").distinct(), full, id_col, text_col)
+    held = light.union(late.join(shared, "token").select("token", "cid", "n", "pos"))
+    # a token serves a class only if the holder next to it in length is near enough in length
+    size = by.orderBy("n", "cid")
+    held = held.where(F.col("token") <= _LOW).withColumn("less", F.lag("n").over(size)).withColumn("more", F.lead("n").over(size)).where(
+        (5 * F.col("less") >= 4 * F.col("n")) | (4 * F.col("more") <= 5 * F.col("n"))).drop("less", "more").union(held.where(F.col("token") > _LOW))
+    held = cut(held.join(classes, "cid"))
+
+    sets_of = lambda cids: _token_sets(docs, held.join(cids, "cid", "left_semi").select("cid", "first").distinct(), full, id_col, text_col)
     hub = held.groupBy("token").agg(F.min_by(F.struct("cid", "n", "pos"), "first").alias("e"))
     near = held.join(hub, "token").select(F.col("cid").alias("x"), F.col("e.cid").alias("y"), F.col("n").alias("nx"), F.col("e.n").alias("ny"), F.col("pos").alias("px"), F.col("e.pos").alias("py"))
-    settled = cut(_verified(near.where("x != y"), tokens))
+    settled = cut(_verified(near.where("x != y"), sets_of))
     open_ = held.join(settled, held.cid == settled.x, "left_anti")
     earlier = held.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("first").alias("fy"))
     more = (open_.join(earlier, "token").where(F.col("fy") < F.col("first"))
             .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("pos").alias("px"), "py"))
-    gone = cut(settled.union(_verified(more, tokens)).distinct())
+    gone = cut(settled.union(_verified(more, sets_of)).distinct())
     found = places.join(classes, "cid").join(gone, F.col("cid") == F.col("x"), "left")
     return found.where(F.col("x").isNotNull() | (F.struct("id", "line") != F.col("first"))).select("id", "line")
 
@@ -112,11 +117,12 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, full: list[int], id_col: str
     return cut(lines.join(_small(places), ["id", "line"]).select("cid", _ordered(F.col("words"), full).alias("tokens")).dropDuplicates(["cid"]))
 
 
-def _verified(near: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The x of candidate pairs that pass the length and position filters and match."""
+def _verified(near: DataFrame, sets_of) -> DataFrame:
+    """The x of candidate pairs that pass the length and position filters and match; only these pairs' sets are fetched."""
     after = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the order, the shared token included
-    pairs = near.where((9 * (after + F.least("px", "py")) >= 4 * (F.col("nx") + F.col("ny"))) & (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")))
-    both = (pairs.select("x", "y").distinct().join(tokens.toDF("x", "tx"), "x").join(tokens.toDF("y", "ty"), "y"))
+    pairs = cut(near.where((9 * (after + F.least("px", "py")) >= 4 * (F.col("nx") + F.col("ny"))) & (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny"))).select("x", "y").distinct())
+    tokens = sets_of(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
+    both = pairs.join(tokens.toDF("x", "tx"), "x").join(tokens.toDF("y", "ty"), "y")
     same = F.size(F.array_intersect("tx", "ty"))
     return both.where(9 * same >= 4 * (F.size("tx") + F.size("ty"))).select("x").distinct()
 
@@ -124,7 +130,7 @@ def _verified(near: DataFrame, tokens: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with later matching lines taken out of the text column."""
     gone = cut(removed_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone")))
-    joined = docs.join(_small(gone, BROADCAST_ROWS // 4), F.col(id_col) == F.col("__id"), "left")
+    joined = docs.join(_small(gone, BROADCAST_ROWS // 8), F.col(id_col) == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else joined[c] for c in docs.columns))
