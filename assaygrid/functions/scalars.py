@@ -134,7 +134,7 @@ def statements(text: Column) -> Column:
 
 def json_body(text: Column) -> Column:
     """Text without code fences, or null if it is no JSON."""
-    body = F.trim(F.regexp_replace(text, r"^\s*```(?:json)?|```\s*$", ""))
+    body = F.regexp_replace(text, r"^\s*(?:```(?:json)?\s*)?|\s*(?:```\s*)?$", "")
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assaygrid.operators.staging import staged
+
 QUAD = "struct<g:string,s:string,p:string,o:string>"
 
 
@@ -45,8 +47,7 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     known, size = nodes.select("child", F.col("child").alias("parent")).union(edges.select("child", "parent")).distinct(), -1
     for _ in range(rounds):
         step = known.join(known.toDF("parent", "up"), "parent").select("child", F.col("up").alias("parent"))
-        known = known.union(step).distinct()
-        known = known.checkpoint() if known.sparkSession.sparkContext.getCheckpointDir() else known.persist()
+        known = staged(known.union(step).distinct())
         now = known.count()
         if now == size:
             return known

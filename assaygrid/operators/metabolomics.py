@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assaygrid.operators.staging import staged
+
 def is_bio() -> Column:
     return ~F.col("kind").isin("QC", "Blank")
 
@@ -68,7 +70,7 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     Pairs are few (features of one instrument run), and each round settles every feature whose earlier partners are settled.
     """
     nodes = pairs.select("study", F.col("f1").alias("f")).union(pairs.select("study", "f2")).distinct()
-    state = nodes.withColumn("seed", F.lit(None).cast("string")).checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else nodes.withColumn("seed", F.lit(None).cast("string"))
+    pairs, state = staged(pairs), staged(nodes.withColumn("seed", F.lit(None).cast("string")))
     for _ in range(1000):
         open_ = state.where("seed is null")
         if open_.isEmpty():
@@ -77,8 +79,7 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
             F.min(F.when(F.col("seed") == F.col("f1"), F.col("f1"))).alias("by"), F.min(F.when(F.col("seed").isNull(), F.col("f1"))).alias("wait"))
         step = state.join(known, ["study", "f"], "left")
         ready = F.col("wait").isNull() | (F.col("by") < F.col("wait"))
-        state = step.select("study", "f", F.coalesce("seed", F.when(ready, F.coalesce("by", "f"))).alias("seed"))
-        state = state.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        state = staged(step.select("study", "f", F.coalesce("seed", F.when(ready, F.coalesce("by", "f"))).alias("seed")))
     return state.select("study", F.col("f").alias("feature"), "seed")
 
 
@@ -115,12 +116,12 @@ def pqn(peaks: DataFrame) -> DataFrame:
 
 def preprocess(peaks: DataFrame) -> DataFrame:
     """All steps in order, from raw peaks to normalised biological samples."""
-    p = missing_share(drop_empty(peaks), 0.4, F.col("kind") == "QC")
-    p = blank_filter(p).where(F.col("kind") != "Blank")
-    p = half_minimum(missing_share(p, 1 / 3))
-    p = keep_features(p, best_adducts(p))
-    p = merge_features(p, greedy_groups(agreeing_pairs(p)))
-    return pqn(sample_filter(p))
+    p = staged(missing_share(drop_empty(staged(peaks)), 0.4, F.col("kind") == "QC"))
+    p = staged(blank_filter(p).where(F.col("kind") != "Blank"))
+    p = staged(half_minimum(missing_share(p, 1 / 3)))
+    p = staged(keep_features(p, best_adducts(p)))
+    p = staged(merge_features(p, greedy_groups(agreeing_pairs(p))))
+    return pqn(staged(sample_filter(p)))
 
 
 def to_matrix(peaks: DataFrame) -> DataFrame:
