@@ -3,8 +3,8 @@
 A line's tokens are its distinct five-word shingles (as 62-bit hashes). Two lines match at Jaccard >= 0.8; a line is
 removed if an earlier line, by (id, line number), matches it. Tokens are ordered by rarity: those in the fullest of a fixed
 number of hash buckets, counted over all lines, come last, others first. Matching lines must share a token in the
-first n - ceil(0.8 n) + 1 of that order, may differ in length by a fifth at most, and must have enough tokens left after
-the shared one; what passes is verified on whole token sets.
+first n - ceil(0.8 n) + 1 of that order, may differ in length by a fifth at most, must have enough tokens left after
+the shared one, and bitmaps that leave enough overlap; what passes is verified on whole token sets.
 
 Lines with equal token sets are one class from the start, so copies of a line are never paired. A token of a class meets
 the earliest class that holds it first; a class that matches this one is settled. Only the others
@@ -25,8 +25,10 @@ from .shared import cut
 
 SHINGLE = 5
 BUCKETS = 1 << 16
-#: A bucket is full at so many times the mean count, so at most one in so many is.
-FULL = 8
+#: A bucket is full at so many times the mean count plus five of its standard deviations: some token in it is frequent.
+FULL = 1.25
+#: Longs of a class's bitmap, which bounds the overlap of two classes.
+WIDE = 4
 #: Rows of (id, line) that may be broadcast, under 150 MB as a hash table; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOW = (1 << 62) - 1
@@ -56,6 +58,14 @@ def _ordered(words: Column, full: list[int]) -> Column:
     return F.sort_array(F.array_distinct(key))
 
 
+def _bitmap(tokens: Column) -> Column:
+    """struct<b0, b1, ...>: each token flips one bit, so two sets differ in at least as many tokens as bits."""
+    one = F.lit(1).cast("long")
+    at = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
+    of = lambda k: F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: F.when(F.shiftright(h, 6).bitwiseAND(WIDE - 1) == k, s.bitwiseXOR(at(h))).otherwise(s))
+    return F.struct(*(of(k).alias(f"b{k}") for k in range(WIDE)))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, words) of lines with a shingle."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
@@ -78,10 +88,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = lines.select(F.explode(_shingles(F.col("words"))).alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     counts = cut(counts)
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    full = [r.b for r in counts.where(F.col("n") > max(64, FULL * mean)).select("b").collect()]  # at most BUCKETS / FULL
+    full = [r.b for r in counts.where(F.col("n") > FULL * mean + 5 * mean**0.5 + 16).select("b").collect()]  # fewer than BUCKETS
     sets = lines.withColumn("tokens", _ordered(F.col("words"), full)).withColumn("cid", F.xxhash64("tokens")).withColumn("n", F.size("tokens"))
-    places = cut(sets.select("id", "line", "cid"))
-    classes = cut(places.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first")))
+    places = cut(sets.select("id", "line", "cid", _bitmap(F.col("tokens")).alias("bits")))
+    classes = cut(places.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("bits").alias("bits")))
+    places = places.drop("bits")
 
     prefix = F.slice("tokens", 1, F.col("n") - _needed("n") + 1)
     posts = sets.select("cid", "n", F.posexplode(prefix).alias("pos", "token"))
@@ -98,13 +109,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = cut(held.join(classes, "cid"))
 
     sets_of = lambda cids: _token_sets(docs, held.join(cids, "cid", "left_semi").select("cid", "first").distinct(), full, id_col, text_col)
-    hub = held.groupBy("token").agg(F.min_by(F.struct("cid", "n", "pos"), "first").alias("e"))
-    near = held.join(hub, "token").select(F.col("cid").alias("x"), F.col("e.cid").alias("y"), F.col("n").alias("nx"), F.col("e.n").alias("ny"), F.col("pos").alias("px"), F.col("e.pos").alias("py"))
+    hub = held.groupBy("token").agg(F.min_by(F.struct("cid", "n", "pos", "bits"), "first").alias("e"))
+    near = held.join(hub, "token").select(F.col("cid").alias("x"), F.col("e.cid").alias("y"), F.col("n").alias("nx"), F.col("e.n").alias("ny"), F.col("pos").alias("px"), F.col("e.pos").alias("py"), F.col("bits").alias("bx"), F.col("e.bits").alias("by"))
     settled = cut(_verified(near.where("x != y"), sets_of))
     open_ = held.join(settled, held.cid == settled.x, "left_anti")
-    earlier = held.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("first").alias("fy"))
+    earlier = held.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("bits").alias("by"), F.col("first").alias("fy"))
     more = (open_.join(earlier, "token").where(F.col("fy") < F.col("first"))
-            .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("pos").alias("px"), "py"))
+            .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("pos").alias("px"), "py", F.col("bits").alias("bx"), "by"))
     gone = cut(settled.union(_verified(more, sets_of)).distinct())
     found = places.join(classes, "cid").join(gone, F.col("cid") == F.col("x"), "left")
     return found.where(F.col("x").isNotNull() | (F.struct("id", "line") != F.col("first"))).select("id", "line")
@@ -120,6 +131,8 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, full: list[int], id_col: str
 def _verified(near: DataFrame, sets_of) -> DataFrame:
     """The x of candidate pairs that pass the length and position filters and match; only these pairs' sets are fetched."""
     after = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the order, the shared token included
+    odd = sum((F.bit_count(F.col(f"bx.b{k}").bitwiseXOR(F.col(f"by.b{k}"))) for k in range(WIDE)), F.lit(0))
+    near = near.where(9 * (F.col("nx") + F.col("ny") - odd) >= 8 * (F.col("nx") + F.col("ny")))  # tokens in one set only: odd at least
     pairs = cut(near.where((9 * (after + F.least("px", "py")) >= 4 * (F.col("nx") + F.col("ny"))) & (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny"))).select("x", "y").distinct())
     tokens = sets_of(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
     both = pairs.join(tokens.toDF("x", "tx"), "x").join(tokens.toDF("y", "ty"), "y")
