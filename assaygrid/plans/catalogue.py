@@ -200,7 +200,7 @@ ref AS (SELECT study, feature, median(area) AS ref FROM peaks JOIN good USING (s
 bio AS (SELECT p.*, ref FROM peaks p JOIN ref USING (study, feature) WHERE kind NOT IN ('QC', 'Blank')), f AS (SELECT study, sample, median(area / nullif(ref, 0)) AS f FROM bio GROUP BY ALL)
 SELECT study, sample, kind, feature, round(area / CASE WHEN coalesce(f, 0) = 0 THEN 1.0 ELSE f END, 6) AS area FROM bio JOIN f USING (study, sample)"""
 _peak_filter("A17_pqn", PQN, mb.pqn)
-_peak_filter("J13_agreeing_pairs", ", q AS (SELECT study, sample, feature, area % 5 // 1 AS v FROM peaks WHERE area IS NOT NULL) SELECT a.study, a.feature AS f1, b.feature AS f2, round(count(*) / max(n)::DOUBLE, 6) AS share FROM q a JOIN q b ON a.study = b.study AND a.sample = b.sample AND a.v = b.v AND a.feature < b.feature JOIN (SELECT study, count(DISTINCT sample) AS n FROM peaks GROUP BY study) s ON s.study = a.study GROUP BY a.study, a.feature, b.feature HAVING count(*) / max(n)::DOUBLE   >= 0.1",
+_peak_filter("J13_agreeing_pairs", ", q AS (SELECT study, sample, feature, floor(area % 5) AS v FROM peaks WHERE area IS NOT NULL) SELECT a.study, a.feature AS f1, b.feature AS f2, round(count(*) / max(n)::DOUBLE, 6) AS share FROM q a JOIN q b ON a.study = b.study AND a.sample = b.sample AND a.v = b.v AND a.feature < b.feature JOIN (SELECT study, count(DISTINCT sample) AS n FROM peaks GROUP BY study) s ON s.study = a.study GROUP BY a.study, a.feature, b.feature HAVING count(*) / max(n)::DOUBLE   >= 0.1",
              lambda p: mb.agreeing_pairs(p.withColumn("area", F.floor(F.col("area") % 5)), 0.1))
 
 
