@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import cut
+from .shared import cut, written
 
 SHINGLE = 5
 BUCKETS = 1 << 16
@@ -35,9 +35,11 @@ _LOW = (1 << 62) - 1
 
 
 def _words(line: Column) -> Column:
-    """Lower-cased words; a split at one plain blank needs no regular expression."""
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.array_remove(F.split(F.lower(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)), " "), "")
+    """Lower-cased words; most lines need no more than a split at single blanks."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for found in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd |= F.contains(line, F.lit(found))
+    return F.when(odd, F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[\x09-\x0D]", " "), " "), "")).otherwise(F.split(F.lower(line), " "))
 
 
 def _bound(value: Column, f) -> Column:
@@ -66,10 +68,17 @@ def _bitmap(tokens: Column) -> Column:
     return F.struct(*(of(k).alias(f"b{k}") for k in range(WIDE)))
 
 
+def _bucket_counts(lines: DataFrame) -> DataFrame:
+    """(b, n): shingles of all lines, repeats included, by hash bucket; exploded, so hashing and counting are compiled."""
+    at = lines.select("words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("i"))
+    h = F.xxhash64(*(F.xxhash64(F.get("words", F.col("i") + k)) for k in range(SHINGLE)))
+    return at.select(F.pmod(h, F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, words) of lines with a shingle."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    return rows.select("id", "line", _words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
+    words = F.transform(F.split(F.col(text_col), "\n"), _words)  # within the generator, else a filter on words would split twice
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(words).alias("line", "words")).where(F.size("words") >= SHINGLE)
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -85,17 +94,16 @@ def _needed(n: str) -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line) of every line that an earlier one matches, lines counted from 0."""
     lines = _lines(docs, id_col, text_col)
-    counts = lines.select(F.explode(_shingles(F.col("words"))).alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    counts = cut(counts)
+    counts = cut(_bucket_counts(lines))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     full = [r.b for r in counts.where(F.col("n") > FULL * mean + 5 * mean**0.5 + 16).select("b").collect()]  # fewer than BUCKETS
-    sets = lines.withColumn("tokens", _ordered(F.col("words"), full)).withColumn("cid", F.xxhash64("tokens")).withColumn("n", F.size("tokens"))
-    places = cut(sets.select("id", "line", "cid", _bitmap(F.col("tokens")).alias("bits")))
-    classes = cut(places.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("bits").alias("bits")))
-    places = places.drop("bits")
-
+    sets = lines.select("id", "line", _ordered(F.col("words"), full).alias("tokens")).withColumn("n", F.size("tokens"))
     prefix = F.slice("tokens", 1, F.col("n") - _needed("n") + 1)
-    posts = sets.select("cid", "n", F.posexplode(prefix).alias("pos", "token"))
+    sets = written(sets.select("id", "line", F.xxhash64("tokens").alias("cid"), "n", prefix.alias("prefix"), _bitmap(F.col("tokens")).alias("bits")))
+    places = sets.select("id", "line", "cid")
+    classes = cut(sets.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("bits").alias("bits")))
+
+    posts = sets.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     by = Window.partitionBy("token")
     light = (posts.where(F.col("token") <= _LOW).withColumn("a", F.min("cid").over(by)).withColumn("z", F.max("cid").over(by))
              .where("a != z").select("token", "cid", "n", "pos").distinct())
