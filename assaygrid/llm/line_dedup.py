@@ -131,9 +131,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, full: list[int], id_col: str, text_col: str) -> DataFrame:
     """(cid, tokens) of the wanted classes, taken from their first lines."""
-    places = cut(wanted.select("cid", "first.id", "first.line"))
-    lines = _lines(docs, id_col, text_col)
-    return cut(lines.join(_small(places), ["id", "line"]).select("cid", _ordered(F.col("words"), full).alias("tokens")).dropDuplicates(["cid"]))
+    places = cut(wanted.groupBy(F.col("first.id").alias("__id")).agg(F.collect_list(F.struct("cid", "first.line")).alias("__at")))
+    rows = docs.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("lines")).join(_small(places, BROADCAST_ROWS // 8), F.col("id") == F.col("__id"))
+    # only wanted lines are split into words; rows that share an id may lack a line of that number
+    found = rows.select("lines", F.explode("__at").alias("at")).select("at.cid", F.get("lines", F.col("at.line")).alias("line")).where(F.col("line").isNotNull())
+    words = found.select("cid", F.explode(F.array(_words(F.col("line")))).alias("words")).where(F.size("words") >= SHINGLE)
+    tokens = words.select("cid", _ordered(F.col("words"), full).alias("tokens")).where(F.xxhash64("tokens") == F.col("cid"))
+    return cut(tokens.dropDuplicates(["cid"]))
 
 
 def _verified(near: DataFrame, sets_of) -> DataFrame:
