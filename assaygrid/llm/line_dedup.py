@@ -27,8 +27,8 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: A bucket is full at so many times the mean count plus five of its standard deviations: some token in it is frequent.
 FULL = 1.25
-#: Longs of a class's bitmap, which bounds the overlap of two classes.
-WIDE = 4
+#: Longs of a class's bitmap, which bounds the overlap of two classes, by the most tokens; longer lines have the last.
+WIDTHS = ((80, 1), (200, 2), (None, 4))
 #: Rows of (id, line) that may be broadcast, under 150 MB as a hash table; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOW = (1 << 62) - 1
@@ -60,12 +60,38 @@ def _ordered(words: Column, full: list[int]) -> Column:
     return F.sort_array(F.array_distinct(key))
 
 
-def _bitmap(tokens: Column) -> Column:
-    """struct<b0, b1, ...>: each token flips one bit, so two sets differ in at least as many tokens as bits."""
-    one = F.lit(1).cast("long")
+def _bitmap(tokens: Column, n: Column) -> Column:
+    """struct<b0, b1, b2, b3>: each token flips one bit, so two sets differ in at least as many tokens as bits.
+
+    Narrow bitmaps are wide ones with their longs folded onto each other; unused longs are zero.
+    """
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     at = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
-    of = lambda k: F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: F.when(F.shiftright(h, 6).bitwiseAND(WIDE - 1) == k, s.bitwiseXOR(at(h))).otherwise(s))
-    return F.struct(*(of(k).alias(f"b{k}") for k in range(WIDE)))
+
+    def of(k: int, width: int) -> Column:
+        if k >= width:
+            return zero
+        mine = lambda h: F.shiftright(h, 6).bitwiseAND(width - 1) == k
+        return F.aggregate(tokens, zero, lambda s, h: s.bitwiseXOR(at(h)) if width == 1 else F.when(mine(h), s.bitwiseXOR(at(h))).otherwise(s))
+
+    return F.struct(*(_by_width(n, lambda width, k=k: of(k, width)).alias(f"b{k}") for k in range(4)))
+
+
+def _by_width(n: Column, of) -> Column:
+    """of(width) for the width that a set of n tokens has."""
+    (a, first), (b, second), (_, last) = WIDTHS
+    return F.when(n <= a, of(first)).when(n <= b, of(second)).otherwise(of(last))
+
+
+def _odd_bits() -> Column:
+    """Bits in which the bitmaps bx and by of nx and ny tokens differ, both folded to the narrower width."""
+    apart = [F.col(f"bx.b{k}").bitwiseXOR(F.col(f"by.b{k}")) for k in range(4)]
+
+    def of(width: int) -> Column:
+        folded = [apart[k] if width == 4 else apart[k].bitwiseXOR(apart[k + 2]) if width == 2 else apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3]) for k in range(width)]
+        return sum((F.bit_count(f) for f in folded), F.lit(0))
+
+    return _by_width(F.least("nx", "ny"), of)
 
 
 def _bucket_counts(lines: DataFrame) -> DataFrame:
@@ -99,7 +125,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = [r.b for r in counts.where(F.col("n") > FULL * mean + 5 * mean**0.5 + 16).select("b").collect()]  # fewer than BUCKETS
     sets = lines.select("id", "line", _ordered(F.col("words"), full).alias("tokens")).withColumn("n", F.size("tokens"))
     prefix = F.slice("tokens", 1, F.col("n") - _needed("n") + 1)
-    sets = written(sets.select("id", "line", F.xxhash64("tokens").alias("cid"), "n", prefix.alias("prefix"), _bitmap(F.col("tokens")).alias("bits")))
+    sets = written(sets.select("id", "line", F.xxhash64("tokens").alias("cid"), "n", prefix.alias("prefix"), _bitmap(F.col("tokens"), F.col("n")).alias("bits")))
     places = sets.select("id", "line", "cid")
     classes = cut(sets.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("bits").alias("bits")))
 
@@ -143,8 +169,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, full: list[int], id_col: str
 def _verified(near: DataFrame, sets_of) -> DataFrame:
     """The x of candidate pairs that pass the length and position filters and match; only these pairs' sets are fetched."""
     after = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the order, the shared token included
-    odd = sum((F.bit_count(F.col(f"bx.b{k}").bitwiseXOR(F.col(f"by.b{k}"))) for k in range(WIDE)), F.lit(0))
-    near = near.where(9 * (F.col("nx") + F.col("ny") - odd) >= 8 * (F.col("nx") + F.col("ny")))  # tokens in one set only: odd at least
+    near = near.where(9 * (F.col("nx") + F.col("ny") - _odd_bits()) >= 8 * (F.col("nx") + F.col("ny")))  # tokens in one set only: odd at least
     pairs = cut(near.where((9 * (after + F.least("px", "py")) >= 4 * (F.col("nx") + F.col("ny"))) & (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny"))).select("x", "y").distinct())
     tokens = sets_of(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
     both = pairs.join(tokens.toDF("x", "tx"), "x").join(tokens.toDF("y", "ty"), "y")
