@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 #: A bucket is full at so many times the mean count plus five of its standard deviations: some token in it is frequent.
 FULL = 1.25
 #: Longs of a class's bitmap, which bounds the overlap of two classes, by the most tokens; longer lines have the last.
-WIDTHS = ((80, 1), (200, 2), (None, 4))
+WIDTHS = ((16, 1), (80, 2), (None, 4))
 #: Rows of (id, line) that may be broadcast, under 150 MB as a hash table; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOW = (1 << 62) - 1
