@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from assaygrid.functions import scalars as sc
-from assaygrid.operators import dosing, graph, growth, metabolomics as mb, patterns as pt, stats
+from assaygrid.operators import dosing, graph, growth, labels, metabolomics as mb, patterns as pt, stats
 from assaygrid.plans import standins as st
 
 QUERIES: dict = {}
@@ -412,3 +412,53 @@ def _(s, d):
 @query("F27_F20_condition_key", "SELECT o_orderkey, o_orderpriority || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN '5 mM' ELSE '0 mM' END || ' & ' || o_orderstatus || ': 0 mM' AS name FROM orders")
 def _(s, d):
     return st._t(s, d, "orders").select("o_orderkey", sc.condition_key(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, "5 mM"), F.col("o_orderstatus"), F.lit(None).cast("string")).alias("name"))
+
+
+# ---- labels and texts
+@query("F18_named_terms", "SELECT o_orderkey, 'x ' || coalesce(a.c_name, 'CHEBI:' || CAST(o_custkey AS VARCHAR)) || ' and ' || coalesce(b.c_name, 'CHEBI:' || CAST(o_orderkey % 50 AS VARCHAR)) || ', not CHEBI:' || CAST(o_custkey AS VARCHAR) || 'a' AS note FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey AND a.c_custkey % 3 > 0 LEFT JOIN customer b ON b.c_custkey = o_orderkey % 50 AND b.c_custkey % 3 > 0")
+def _(s, d):
+    first, second = F.concat(F.lit("CHEBI:"), "o_custkey"), F.concat(F.lit("CHEBI:"), F.col("o_orderkey") % 50)
+    notes = st._t(s, d, "orders").select("o_orderkey", F.concat(F.lit("x "), first, F.lit(" and "), second, F.lit(", not "), first, F.lit("a")).alias("note"))
+    names = st._t(s, d, "customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("CHEBI:"), "c_custkey").alias("term"), F.col("c_name").alias("name"))
+    return labels.named_terms(notes, names, "o_orderkey", "note")
+
+
+@query("O08_ranked_texts", "WITH x AS (SELECT p_partkey, p_size, p_brand || ' ' || p_name AS n FROM part), r AS (SELECT p_partkey, p_size, 4 * CAST(contains(n, '3') AS INTEGER) + 3 * CAST(contains(n, 'a') AS INTEGER) + 2 * CAST(contains(n, '1') AS INTEGER) + CAST(contains(n, '4') AS INTEGER) AS score FROM x) SELECT *, CAST(row_number() OVER (PARTITION BY p_size ORDER BY score DESC, p_partkey) AS INTEGER) AS place FROM r")
+def _(s, d):
+    scored = st._t(s, d, "part").select("p_partkey", "p_size", labels.relevance(F.concat_ws(" ", "p_brand", "p_name"), ["3", "a", "1", "4"]).alias("score"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("p_size").orderBy(F.desc("score"), "p_partkey")))
+
+
+@query("F21_first_clause", "SELECT p_partkey, nullif(regexp_extract(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Cell(A):-exhibits_phenotype(A,' || chr(10) || p_brand || '). Then' ELSE ' no clause.' END || ' Cell(A):-exhibits_phenotype.'[1:CAST(p_partkey % 3 * 15 AS INTEGER)], 'Cell\\(A\\):-exhibits_phenotype.*?\\.', 0, 's'), '') AS clause FROM part")
+def _(s, d):
+    k = F.col("p_partkey")
+    tail = F.substring(F.lit(" Cell(A):-exhibits_phenotype."), F.lit(1), (k % 3 * 15).cast("int"))
+    text = F.concat("p_name", F.when(k % 2 == 0, F.concat(F.lit(" Cell(A):-exhibits_phenotype(A,\n"), "p_brand", F.lit("). Then"))).otherwise(" no clause."), tail)
+    return st._t(s, d, "part").select("p_partkey", labels.first_clause(text).alias("clause"))
+
+
+@query("F26_fifth_line", "SELECT doc_id, rtrim(string_split_regex(text, '\r\n|\n|\r')[5], ' ' || chr(9) || chr(11) || chr(12)) AS line FROM documents")
+def _(s, d):
+    return st._t(s, d, "documents").select("doc_id", labels.line_at(F.col("text"), 4).alias("line"))
+
+
+ASSAY_SQL = "CASE a WHEN 3 THEN 'None' WHEN 7 THEN 'No' ELSE 'Yes' END"
+
+
+@query("F28_F29_comparisons", f"WITH x AS (SELECT l_orderkey, l_linenumber, [NULL, 4, NULL, 3, NULL, 6, 7, 8][l_partkey % 8 + 1] AS a FROM lineitem), y AS (SELECT *, {ASSAY_SQL} AS t, CASE WHEN a = 4 THEN 'None' WHEN a < 7 THEN 'PosHigh' ELSE 'NegHigh' END AS s FROM x) SELECT l_orderkey, l_linenumber, CAST(a AS INTEGER) AS assay, CASE WHEN a IS NOT NULL THEN t END AS treatment, CASE WHEN a IS NOT NULL THEN s END AS supplement, CASE WHEN a IS NOT NULL THEN 'Treatment=' || t || ', Supplement=' || s END AS link FROM y")
+def _(s, d):
+    rows = st._t(s, d, "lineitem").select("l_orderkey", "l_linenumber", labels.forest_assay(F.col("l_partkey") % 8).alias("assay"))
+    return rows.select("*", labels.comparison(F.col("assay")).alias("c")).select("l_orderkey", "l_linenumber", "assay", "c.*")
+
+
+@query("F16_equimolar", "WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'dose' WHEN 1 THEN 'treated:dose' ELSE 'treated' END AS term, p_retailprice AS e FROM part) SELECT p_partkey, term, round(e, 6) AS estimate, round(e - 1, 6) AS ci_lo, round(e + 1, 6) AS ci_hi, 0 AS place FROM t UNION ALL SELECT p_partkey, term || ' x 5', round(e * 5, 6), round((e - 1) * 5, 6), round((e + 1) * 5, 6), 1 FROM t WHERE term <> 'treated'")
+def _(s, d):
+    term = F.when(F.col("p_partkey") % 3 == 0, "dose").when(F.col("p_partkey") % 3 == 1, "treated:dose").otherwise("treated")
+    e = F.col("p_retailprice")
+    return stats.equimolar(st._t(s, d, "part").select("p_partkey", term.alias("term"), e.alias("estimate"), (e - 1).alias("ci_lo"), (e + 1).alias("ci_hi")), 5.0)
+
+
+@query("F30_flattened", "SELECT p_partkey, array_to_string(flatten([[p_name, p_brand], [CAST(p_size AS VARCHAR)]]), '|') AS parts FROM part")
+def _(s, d):
+    nested = F.array(F.array("p_name", "p_brand"), F.array(F.col("p_size").cast("string")))
+    return st._t(s, d, "part").select("p_partkey", F.array_join(F.flatten(nested), "|").alias("parts"))
