@@ -1,15 +1,17 @@
 """Toxicity with a classifier chain over document-wide term counts.
 
 Terms are whole words and word beginnings (invented and inflected languages put the offence in a stem). Those that
-stand out in toxic training documents, by a log-likelihood ratio over how many documents hold them once or often, are
-the features; a document is described by how often it holds each, absolutely and for its length.
+stand out most in toxic training documents, by a log-likelihood ratio over how many documents hold them once or often, are
+the features, however few the documents; the ridge weighs them. A document is described by how often it holds each,
+absolutely and for its length.
 
 Categories are predicted in sequence, each by a linear (logistic) model that is also fed the probabilities of
 the categories before it: `word` (a toxic document that holds a telling whole word), `stem` (a toxic document that
 repeats a telling word beginning), `toxic` (the label itself). While training, those earlier probabilities are
 out-of-fold predictions, so a link never sees what its predecessor learned from the same row.
 
-The training sample is bounded: `bound` labelled rows, the first by a hash of the id. Scoring covers whole texts of
+The training sample is bounded: `bound` labelled rows, the first of each class by a hash of the id, half of them toxic
+where there are so many; rows weigh as much as their class has among all labels. Scoring covers whole texts of
 all rows. Defined results: null and empty texts have no term and score by the intercepts; labels that are null are not
 used, repeated labels of an id count once (the largest); without both classes in the sample every probability is 0.
 """
@@ -31,8 +33,6 @@ WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = ("word", "stem", "toxic")
 #: Labelled rows to learn from; terms to keep; folds; lengths of word beginnings; "often".
 BOUND, TERMS, FOLDS, STEMS, OFTEN = 8_000, 96, 5, (5, 6, 7, 8), 3
-#: Log-likelihood ratio below which a term is chance (two million candidates).
-TELLING = 40.0
 THRESHOLD = 0.5
 
 
@@ -80,42 +80,52 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method; the intercept is not penalised."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Newton's method on rows of the given weights; the intercept is not penalised."""
+    v = np.ones(len(x)) if weight is None else weight
     x1 = np.column_stack((x, np.ones(len(x))))
     w, keep = np.zeros(x1.shape[1]), np.diag(np.r_[np.full(x.shape[1], ridge), 1e-6])
     for _ in range(steps):
         p = sigmoid(x1 @ w)
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + keep, x1.T @ (p - y) + keep @ w)
+        step = np.linalg.solve((x1 * (v * p * (1 - p) + 1e-9)[:, None]).T @ x1 + keep, x1.T @ (v * (p - y)) + keep @ w)
         w -= step
         if np.abs(step).max() < 1e-7:
             break
     return w[:-1], float(w[-1])
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], fold: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def fit_chain(x: np.ndarray, targets: list[np.ndarray], fold: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, float]]:
     links = []
     for y in targets:
-        links.append(logistic(x, y))
+        links.append(logistic(x, y, weight=weight))
         held = np.zeros(len(x))
         for f in np.unique(fold):
-            w, b = logistic(x[fold != f], y[fold != f]) if (fold != f).any() else (np.zeros(x.shape[1]), 0.0)
+            w, b = logistic(x[fold != f], y[fold != f], weight=weight[fold != f]) if (fold != f).any() else (np.zeros(x.shape[1]), 0.0)
             held[fold == f] = sigmoid(x[fold == f] @ w + b)
         x = np.column_stack((x, held))
     return links
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, y) of at most `bound` labelled ids, the first by hash. The ids are few enough to broadcast."""
+    """(text, y, h, all) of at most `bound` labelled ids, the first of each class by hash, and how many ids their class has.
+
+    Half are toxic; a class with fewer leaves the rest to the other. The ids are few enough to broadcast.
+    """
     ids = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
-           .agg(F.max(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(bound))
-    return docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select(F.col(text_col).alias("text"), F.col("__y").alias("y"), F.xxhash64("__id").alias("h"))
+           .agg(F.max(label).cast("int").alias("__y")))
+    have = {r["__y"]: r.n for r in ids.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    neg, pos = have.get(0, 0), have.get(1, 0)
+    take = {1: min(pos, max(bound // 2, bound - neg))}
+    take[0] = bound - take[1]
+    first = [ids.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(take[y]).withColumn("__all", F.lit(have.get(y, 0)).cast("long")) for y in (0, 1)]
+    ids = first[0].union(first[1])
+    return docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select(F.col(text_col).alias("text"), F.col("__y").alias("y"), F.xxhash64("__id").alias("h"), F.col("__all").alias("all"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     sample = cut(sample_of(docs, labels, label, bound, id_col, text_col))
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
+    totals = {r.y: (r.n, r.all) for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.max("all").alias("all")).collect()}
+    pos, neg = (totals.get(y, (0, 0))[0] for y in (1, 0))
     if not pos or not neg:
         return Chain({}, [(np.zeros(k), -30.0) for k in range(3)])
 
@@ -138,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
                     - part(a + b, pos + neg) - part(pos + neg - a - b, pos + neg))
         return F.when(a * neg > b * pos, gain).otherwise(0.0)
 
-    best = (found.where("n1 >= 4").withColumn("score", F.greatest(ratio("n1", "n0"), ratio("m1", "m0")))
-            .where(F.col("score") > TELLING).orderBy(F.desc("score"), "term").limit(TERMS).select("term").collect())
+    best = (found.where("n1 > 0").withColumn("score", F.greatest(ratio("n1", "n0"), ratio("m1", "m0")))
+            .where("score > 0").orderBy(F.desc("score"), "term").limit(TERMS).select("term").collect())
     names = {r.term: k for k, r in enumerate(best)}
     chain = Chain(names, [])
 
@@ -153,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
     counts = np.expm1(x[:, : len(names)])
     word = np.array([t[0] == "w" for t in names], bool)
     targets = [y * (counts[:, word] > 0.5).any(1), y * (counts[:, ~word] > OFTEN - 0.5).any(1), y]
-    chain.links = fit_chain(x, targets, fold)
+    share = {y: n_all / n for y, (n, n_all) in totals.items()}
+    weight = np.where(y > 0, share[1], share[0])
+    chain.links = fit_chain(x, targets, fold, weight / weight.mean())
     return chain
 
 

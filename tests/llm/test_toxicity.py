@@ -42,3 +42,25 @@ def test_edges(spark):
     chain = tx.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + labels, "doc_id long, toxic int"))
     got = [r.s.toxic for r in docs.select(tx.score(F.col("text"), chain).alias("s")).collect()]
     assert got[0] < 0.5 and got[1] == got[0] and got[2] > 0.5
+
+
+def test_few_toxic_rows(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {i for i, y in labels if y}
+    few = sorted(few)[:8]
+    lab = spark.createDataFrame([(i, y) for i, y in labels if i < 90 and (not y or i in few)], "doc_id long, toxic int")
+    chain = tx.fit(docs, lab)
+    assert {"w:zorrix"} <= set(chain.terms)
+    got = {r.doc_id: r.s.toxic for r in docs.where("doc_id >= 90").select("doc_id", tx.score(F.col("text"), chain).alias("s")).collect()}
+    assert sum(p >= 0.5 for i, p in got.items() if i % 5 == 0) >= 50  # of 102
+    assert sum(p >= 0.5 for i, p in got.items() if i % 5) <= 4
+
+
+def test_sample_is_filled_by_class(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(1000)], "doc_id long, text string")
+    of = lambda toxic, bound: {r.y: (r.n, r.all) for r in tx.sample_of(docs, docs.select("doc_id", (F.col("doc_id") < toxic).cast("int").alias("toxic")), "toxic", bound, "doc_id", "text").groupBy("y").agg(F.count("*").alias("n"), F.max("all").alias("all")).collect()}
+    assert of(20, 100) == {0: (80, 980), 1: (20, 20)}
+    assert of(300, 100) == {0: (50, 700), 1: (50, 300)}
+    assert of(970, 100) == {0: (30, 30), 1: (70, 970)}
+    assert of(300, 5000) == {0: (700, 700), 1: (300, 300)}
