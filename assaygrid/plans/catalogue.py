@@ -115,7 +115,7 @@ def _(s, d):
     g = growth.features(st.growth(s, d)).where(F.col("grp") != growth.CONTROL)
     k = F.substring("grp", 2, 1).cast("int")
     x = stats.design(g.select("study", F.concat_ws("-", "plate", "well").alias("row_id"), (k % 2).alias("treated"), (k / 2).cast("int").cast("double").alias("dose"), (k == 4).cast("int").alias("neg"), sc.log_response(F.col("auc")).alias("y")))
-    return stats.bootstrap_summary(stats.bootstrap(x, "study", draws=200), stats.ols(x, "study"), "study")
+    return stats.bootstrap_summary(stats.bootstrap(x, "study"), stats.ols(x, "study"), "study")
 
 
 MW = """WITH x AS (SELECT l_shipdate::DATE - DATE '1990-01-01' AS f, * FROM lineitem), v AS (SELECT 'f' || CAST(l_partkey % 25 AS VARCHAR) AS feature, l_linestatus = 'F' AS a, l_quantity AS v FROM lineitem),
