@@ -82,16 +82,50 @@ def dilution_volume(stock: Column, final: Column, total: Column) -> Column:
 
 def volume_balance(total: Column, preculture: Column, additions: list[Column]) -> Column:
     """struct<water, ok>: what fills the well; ok if no part is negative and water remains."""
-    taken = preculture
+    taken, whole = preculture, preculture >= 0
     for a in additions:
-        taken = taken + a
-    return F.struct((total - taken).alias("water"), (total - taken > 0).alias("ok"))
+        taken, whole = taken + a, whole & (a >= 0)
+    return F.struct((total - taken).alias("water"), ((total - taken > 0) & whole).alias("ok"))
 
 
 def direction(coef: Column) -> Column:
     return F.when(coef > 0, "higher").when(coef < 0, "lower")
 
 
+def changed(direction: Column) -> Column:
+    """The word of the ontology's relation; other words stay."""
+    return F.when(direction == "lower", "decreased").when(direction == "higher", "increased").otherwise(direction)
+
+
+def is_treated(answer: Column) -> Column:
+    return F.coalesce(F.lower(answer) == "yes", F.lit(False))
+
+
+def chosen_option(text: Column) -> Column:
+    """The number that a free text names as its choice; null if it names none."""
+    return F.regexp_extract(text, r"HYPOTHESIS NUMBER #(\d+)", 1).try_cast("int")
+
+
+def clean_name(name: Column, spellings: dict[str, str] | None = None) -> Column:
+    """Commas become underscores, then spellings are replaced."""
+    out = F.replace(name, F.lit(","), F.lit("_"))
+    for old, new in (spellings or {"Aluminium": "Aluminum"}).items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def mentions(text: Column, word: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """Whether the lower-cased text holds the word, once synonyms in the word are replaced."""
+    for old, new in (synonyms or {"glutamate": "glutamic acid"}).items():
+        word = F.replace(word, F.lit(old), F.lit(new))
+    return F.contains(F.lower(text), F.lower(word))
+
+
+def any_column_contains(columns: list[Column], key: Column) -> Column:
+    """Whether any column holds the key, whatever the case; nulls hold nothing."""
+    return F.exists(F.array(*(c.cast("string") for c in columns)), lambda x: F.coalesce(F.contains(F.lower(x), F.lower(key)), F.lit(False)))
+
+
 def log_response(x: Column, eps: float = 1e-2) -> Column:
     return F.log(x + eps)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from assaygrid.functions.scalars import well_name
+from assaygrid.functions.scalars import any_column_contains, unify_well, well_name
 
 
 def plate(spark: SparkSession, rows: int = 8, cols: int = 12) -> DataFrame:
@@ -67,3 +67,25 @@ def paired_timings(events: DataFrame, most: float = 0.6) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line")
     prev = events.withColumn("before", F.lag("kind").over(w)).withColumn("well", F.lag("well").over(w)).withColumn("row", F.lag("row").over(w))
     return prev.where((F.col("kind") == "time") & (F.col("before") == "well") & (F.col("row") != 1000) & (F.col("t") <= most)).select("file", "line", "well", "t")
+
+
+def dispensing(doses: DataFrame, layout: DataFrame) -> DataFrame:
+    """Each dose row with the wells of its summary (left: a summary without a well stays), wells spelled alike."""
+    return doses.join(layout.select("summary", "well"), "summary", "left").withColumn("well", unify_well(F.col("well")))
+
+
+def library_matches(wanted: DataFrame, library: DataFrame, key: str = "key") -> DataFrame:
+    """(key, library columns): library rows that hold a wanted key in any column, whatever the case.
+
+    Keys are few (the compounds of a study) and are broadcast behind a count; more of them are an error.
+    """
+    keys = wanted.select(F.col(key).alias("__key")).where("__key is not null and __key <> ''").distinct()
+    if keys.count() > 10_000:
+        raise ValueError("too many keys to look for in every column")
+    held = any_column_contains([F.col(f"`{c}`") for c in library.columns], F.col("__key"))
+    return library.join(F.broadcast(keys), held).select(F.col("__key").alias(key), *(F.col(f"`{c}`") for c in library.columns))
+
+
+def record_of(records: DataFrame, column: str, value: str) -> DataFrame:
+    """The one record whose column has the value: the first by all its fields where there are several."""
+    return records.where(F.col(column) == value).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in records.columns)))).limit(1)

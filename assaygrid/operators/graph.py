@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assaygrid.functions.scalars import changed
 from assaygrid.operators.staging import staged
 
 QUAD = "struct<g:string,s:string,p:string,o:string>"
@@ -11,7 +12,7 @@ QUAD = "struct<g:string,s:string,p:string,o:string>"
 
 def node_id(*parts: Column) -> Column:
     """A node is named by a hash of what defines it, so it is found again and never made twice."""
-    return F.concat(F.lit("n:"), F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), 256))
+    return F.concat(F.lit("n:"), F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts)), 256))
 
 
 def quads(rows: DataFrame, *templates: tuple[Column, Column, Column, Column]) -> DataFrame:
@@ -63,8 +64,19 @@ def merged(*stores: DataFrame) -> DataFrame:
     return out.dropDuplicates(["g", "s", "p", "o"])
 
 
-def exported(store: DataFrame, without: str = "ontology") -> DataFrame:
-    return store.where(F.col("g") != without)
+def exported(store: DataFrame, without: str = "ontology", metadata: str = "hypothesis-metadata") -> DataFrame:
+    """All graphs but one, and no metadata of hypotheses whose own graph is empty."""
+    kept = store.where(F.col("g") != without)
+    filled = store.select(F.col("g").alias("s")).distinct()
+    return kept.where(F.col("g") != metadata).unionByName(kept.where(F.col("g") == metadata).join(filled, "s", "left_semi").select(*kept.columns))
+
+
+def either(*parts: DataFrame) -> DataFrame:
+    """The union of query branches as a bag; names that a branch does not bind are null."""
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
 
 
 def resolve_labels(names: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,11 +90,160 @@ def resolve_labels(names: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clause_states(parsed: DataFrame) -> DataFrame:
-    """(clause, state, phenotype, compound) of the phenotype literals; only three observables carry a compound."""
-    a = parsed.select("clause", F.explode("parsed.atoms").alias("a")).where("a.name = 'exhibits_phenotype'")
+    """(clause, qualifier, phenotype, compound) of each phenotype literal `qualifier phenotype`.
+
+    Only three phenotypes carry a compound: the name that a compound_name literal gives to the phenotype's value. Without
+    such a literal the compound is null and the phenotype stays.
+    """
+    a = parsed.select("clause", "parsed.atoms", F.explode("parsed.atoms").alias("a")).where("a.name = 'exhibits_phenotype'")
     args = F.col("a.args")
-    carries = args[1].isin("chemical compound accumulation", "chemical compound excretion", "resistance to chemicals")
-    return a.select("clause", node_id(args[1], args[2]).alias("state"), args[1].alias("phenotype"), F.when(carries, args[2]).alias("compound"))
+    text, value = F.get(args, F.lit(1)), F.get(args, F.lit(2))
+    phenotype = F.regexp_extract(text, r"^\S+\s+(.*)$", 1)
+    named = F.filter("atoms", lambda x: (x["name"] == "compound_name") & (F.get(x["args"], F.lit(0)) == value))
+    compound = F.get(F.get(named, F.lit(0))["args"], F.lit(1))
+    return a.select("clause", F.regexp_extract(text, r"^(\S+)", 1).alias("qualifier"), phenotype.alias("phenotype"), F.when(phenotype.isin(*COMPOUND_PHENOTYPES), compound).alias("compound"))
+
+
+#: Phenotypes whose literals name a compound; classes, roles and graphs of the hypothesis store.
+COMPOUND_PHENOTYPES = ("resistance to chemicals", "metal resistance", "hyperosmotic stress resistance")
+ACCUMULATION, ACCUMULATES, RESISTS = "obo:APO_0000095", ":accumulationOfChemical", ":resistanceToChemical"
+RESISTANCE = "obo:APO_0000087"
+STATE, OBSERVABLE, IMPLIES, REFERENCE = ":organismState", ":stateHasObservable", ":implies", ":reference-state"
+STATES, PHENOTYPES, METADATA = "states", "phenotypes", "hypothesis-metadata"
+
+
+def phenotype_parts(rows: DataFrame) -> DataFrame:
+    """Adds the ids of the reference phenotype and of the compared one to (hypothesis, side, class, role, chemical, relation)."""
+    ref = node_id(F.lit("P-REF"), F.lit(REFERENCE), F.col("class"), F.col("role"), F.col("chemical"))
+    return rows.withColumn("ref", ref).withColumn("phenotype", node_id(F.lit("P"), F.col("class"), F.col("role"), F.col("chemical"), F.col("relation"), F.col("ref")))
+
+
+def target_parts(hypotheses: DataFrame, terms: DataFrame) -> DataFrame:
+    """Side 1 of each hypothesis: its observable accumulates differently, as the qualifier says. No term, no part."""
+    found = hypotheses.join(terms.select(F.col("name").alias("observable"), "term"), "observable").where("term is not null")
+    return phenotype_parts(found.select("hypothesis", F.lit(1).alias("side"), F.lit(ACCUMULATION).alias("class"), F.lit(ACCUMULATES).alias("role"), F.col("term").alias("chemical"), F.concat(changed(F.col("qualifier")), F.lit("ComparedTo")).alias("relation")))
+
+
+def clause_parts(states: DataFrame, classes: DataFrame, terms: DataFrame) -> DataFrame:
+    """Side 2: the phenotypes of each hypothesis's clause, from (hypothesis, qualifier, phenotype, compound).
+
+    `classes` is (phenotype, class). A compound without a term is left out and its phenotype stays; one without a class goes.
+    """
+    got = states.join(classes, "phenotype").join(terms.select(F.col("name").alias("compound"), "term"), "compound", "left")
+    return phenotype_parts(got.select("hypothesis", F.lit(2).alias("side"), "class", F.when(F.col("term").isNotNull(), RESISTS).alias("role"), F.col("term").alias("chemical"), F.concat("qualifier", F.lit("ComparedTo")).alias("relation")).distinct())
+
+
+def hypothesis_states(parts: DataFrame) -> DataFrame:
+    """(hypothesis, side, state): the organism state that shows all phenotypes of a side."""
+    return parts.groupBy("hypothesis", "side").agg(F.array_sort(F.collect_set("phenotype")).alias("all")).select("hypothesis", "side", node_id(F.lit("S"), F.array_join("all", ",")).alias("state"))
+
+
+def hypothesis_quads(hypotheses: DataFrame, parts: DataFrame) -> DataFrame:
+    """Hypotheses (hypothesis, created, creator) and their parts as quads; `state 1 implies state 2` stands in a graph of its own.
+
+    A hypothesis without both sides has no such graph. A creator that is null is Genesis.
+    """
+    states, c, lit = staged(hypothesis_states(parts)), F.col, F.lit
+    shown = parts.join(states, ["hypothesis", "side"])
+    two = states.where("side = 1").select("hypothesis", c("state").alias("state1")).join(states.where("side = 2").select("hypothesis", c("state").alias("state2")), "hypothesis")
+    some = parts.where("chemical is not null")
+    return merged(
+        restrictions(parts, lit(STATES), lit(REFERENCE), lit(OBSERVABLE), c("ref")), quads(states, (lit(STATES), c("state"), lit("rdfs:subClassOf"), lit(STATE))),
+        restrictions(shown, lit(STATES), c("state"), lit(OBSERVABLE), c("phenotype")),
+        quads(parts, *((lit(PHENOTYPES), c(x), lit("rdfs:subClassOf"), c("class")) for x in ("ref", "phenotype"))),
+        *(restrictions(some, lit(PHENOTYPES), c(x), c("role"), c("chemical")) for x in ("ref", "phenotype")),
+        restrictions(parts, lit(PHENOTYPES), c("phenotype"), c("relation"), c("ref")), restrictions(two, c("hypothesis"), c("state1"), lit(IMPLIES), c("state2")),
+        quads(hypotheses, (lit(METADATA), c("hypothesis"), lit("dcterms:created"), c("created")), (lit(METADATA), c("hypothesis"), lit("dcterms:creator"), F.coalesce("creator", lit("Genesis")))))
+
+
+def protocol_quads(e: DataFrame) -> DataFrame:
+    """Experiments of studies as quads: study, assays, culture, medium and treatment; what is null makes no quad.
+
+    Columns: study, hypothesis_text, experiment, type, summary, media_description, baseline_media, and chemical, value and unit
+    of supplement (sup_) and treatment (treat_).
+    """
+    g, lit, c = F.lit("experiments"), F.lit, F.col
+    study = F.concat(lit("STUDY-"), "study")
+    assay = F.concat(lit("EXP-"), "study", lit("-"), "experiment")
+    culture, medium, treatment, cells = F.concat(assay, lit("-cellculture")), F.concat(assay, lit("-medium")), F.concat(assay, lit("-treatment")), lit(":saccaharomyces-cerevisiae-population")
+    a, part, given = lit("rdf:type"), lit("obo:BFO_0000051"), lit("obo:OBI_0000293")
+    label = F.concat("type", lit(": "), "summary")
+    made = quads(e, (g, study, a, lit("obo:OBI_0500000")), (g, study, lit("rdfs:label"), c("hypothesis_text")), (g, study, part, assay), (g, assay, a, lit("obo:OBI_0000070")), (g, assay, lit("rdfs:label"), label),
+                 (g, assay, given, culture), (g, assay, given, medium), (g, assay, given, treatment), (g, culture, a, lit("obo:OBI_0001876")), (g, culture, part, cells), (g, culture, part, medium), (g, cells, a, lit("obo:NCBITaxon_4932")),
+                 (g, medium, a, lit("obo:OBI_0000079")), (g, medium, lit("rdfs:label"), c("media_description")), (g, medium, lit(":baselineMedia"), c("baseline_media")), (g, medium, lit(":mediaSupplementation"), c("sup_chemical")),
+                 (g, medium, lit(":mediaSupplementationDosesValue"), c("sup_value")), (g, medium, lit(":mediaSupplementationDosesUnit"), c("sup_unit")), (g, treatment, a, lit(":treatment")),
+                 (g, treatment, lit(":treatmentWithChemical"), c("treat_chemical")), (g, treatment, lit(":treatmentParametersValue"), c("treat_value")), (g, treatment, lit(":treatmentParametersUnit"), c("treat_unit")))
+    return made.distinct()
+
+
+def growth_test_quads(t: DataFrame) -> DataFrame:
+    """Comparisons (study, i, assay, estimate, p, treatment, supplement, link) as quads; the reference is always assay 1."""
+    g, lit, c = F.lit("growth-data"), F.lit, F.col
+    test = F.concat(lit("GROWTH-"), "study", lit("-auc-forest-"), "i")
+    ref, cond, a = F.concat(test, lit("-reference-condition")), F.concat(test, lit("-test-condition")), lit("rdf:type")
+    labels = [(g, x, lit(p), c(v)) for x in (ref, cond) for p, v in ((":testConditionHasTreatment", "treatment"), (":testConditionHasSupplement", "supplement"))]
+    made = quads(t, (g, test, a, lit(":AUCForestComparativeTest")), (g, test, lit(":referenceCondition"), ref), (g, test, lit(":testCondition"), cond), (g, test, lit(":GLMCoefficient"), c("estimate")), (g, test, lit(":pValue"), c("p")),
+                 (g, ref, a, lit(":growthDataTestCondition")), (g, ref, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-1"))), (g, ref, lit("rdfs:label"), lit("Treatment=None, Supplement=None")),
+                 (g, cond, a, lit(":growthDataTestCondition")), (g, cond, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-"), "assay")), (g, cond, lit("rdfs:label"), c("link")), *labels)
+    return made.distinct()
+
+
+def some(store: DataFrame, graph: str | None, subject: str, prop: str, filler: str) -> DataFrame:
+    """(subject, filler) of restrictions on one property; in the graph named by column `g` too, where `graph` is None."""
+    view = restriction_view(store if graph is None else store.where(F.col("g") == graph)).where(F.col("prop") == prop)
+    return view.select(*(["g"] if graph is None else []), F.col("subject").alias(subject), F.col("filler").alias(filler))
+
+
+def assays_of(store: DataFrame, baseline: str) -> DataFrame:
+    """(study, label, assay, supplement, treatment) of complete assays on one medium; a study of several labels has a row each."""
+    one = lambda p, s, o: pattern(store, p, s, o, "experiments").select(s, o)
+    typed = lambda df, x, k: df.join(one("rdf:type", x, "k").where(F.col("k") == k).select(x), x, "left_semi")
+    assay = typed(typed(one("obo:BFO_0000051", "study", "assay"), "study", "obo:OBI_0500000"), "assay", "obo:OBI_0000070")
+    given = staged(one("obo:OBI_0000293", "assay", "x"))
+    medium = typed(given.withColumnRenamed("x", "medium"), "medium", "obo:OBI_0000079").join(one(":baselineMedia", "medium", "b").where(F.col("b") == baseline).select("medium"), "medium", "left_semi")
+    culture = typed(given.withColumnRenamed("x", "culture"), "culture", "obo:OBI_0001876").join(one("obo:BFO_0000051", "culture", "medium"), "culture")
+    culture = culture.join(one("obo:BFO_0000051", "culture", "c").where("c = ':saccaharomyces-cerevisiae-population'").select("culture"), "culture", "left_semi")
+    treated = typed(given.withColumnRenamed("x", "treatment_id"), "treatment_id", ":treatment")
+    got = assay.join(medium, "assay").join(culture.select("assay", "medium").distinct(), ["assay", "medium"]).join(treated, "assay").join(one("rdfs:label", "study", "label"), "study")
+    got = got.join(one(":mediaSupplementation", "medium", "supplement"), "medium", "left").join(one(":treatmentWithChemical", "treatment_id", "treatment"), "treatment_id", "left")
+    return got.select("study", "label", "assay", "supplement", "treatment")
+
+
+def hypotheses_with_tests(store: DataFrame, baseline: str = "Minimal media without amino acids") -> DataFrame:
+    """(h, ql1, hypo_aa, ql2, hypo_supp, study, label, coef_aa, p_aa, coef_aa_supp, p_aa_supp) of all hypotheses.
+
+    Optional: what the hypothesis says (accumulation of hypo_aa implies resistance to hypo_supp, with relations below differs or
+    notDiffers and a class below resistance); optional within: a study with a base assay, one with hypo_aa alone and
+    one with both, and the growth tests of the latter two against the base.
+    """
+    store = staged(store)
+    h = pattern(store, "dcterms:created", "h", "x", METADATA).select("h")
+    ontology = store.where("g = 'ontology'")
+    below = lambda prop: closure(ontology.where(F.col("p") == prop).select(F.col("s").alias("child"), F.col("o").alias("parent")))
+    relations = below("rdfs:subPropertyOf").where("parent in (':differsFrom', ':notDiffersFrom')").select("child")
+    resistant = below("rdfs:subClassOf").where(F.col("parent") == RESISTANCE).select("child")
+    state = pattern(store, "rdfs:subClassOf", "state", "k", STATES).where(F.col("k") == STATE).select("state")
+    implied = some(store, None, "s1", IMPLIES, "s2").withColumnRenamed("g", "h")
+    shows = staged(some(store, STATES, "state", OBSERVABLE, "phenotype").join(state, "state", "left_semi"))
+    kind = pattern(store, "rdfs:subClassOf", "phenotype", "class", PHENOTYPES).select("phenotype", "class")
+    related = restriction_view(store.where(F.col("g") == PHENOTYPES)).select(F.col("subject").alias("phenotype"), F.col("prop").alias("ql")).join(relations.withColumnRenamed("child", "ql"), "ql", "left_semi").distinct()
+    side = lambda k, role, kinds: (shows.join(kind.join(kinds, "class", "left_semi").select("phenotype").distinct(), "phenotype").join(related, "phenotype")
+                                   .join(some(store, PHENOTYPES, "phenotype", role, "chemical"), "phenotype").select(F.col("state").alias(f"s{k}"), F.col("ql").alias(f"ql{k}"), F.col("chemical").alias(f"c{k}")))
+    first = side(1, ACCUMULATES, store.sparkSession.createDataFrame([(ACCUMULATION,)], "class string"))
+    second = side(2, RESISTS, resistant.withColumnRenamed("child", "class"))
+    said = implied.join(first, "s1").join(second, "s2").select("h", "ql1", F.col("c1").alias("hypo_aa"), "ql2", F.col("c2").alias("hypo_supp"))
+
+    assays = staged(assays_of(store, baseline))
+    one = lambda p, s, o: pattern(store, p, s, o, "growth-data").select(s, o)
+    test = one("rdf:type", "test", "k").where("k = ':AUCForestComparativeTest'").select("test")
+    for prop, name in ((":referenceCondition", "r"), (":testCondition", "t"), (":GLMCoefficient", "coef"), (":pValue", "p")):
+        test = test.join(one(prop, "test", name), "test")
+    test = staged(test.join(one(":growthDataFromAssay", "r", "base"), "r").join(one(":growthDataFromAssay", "t", "assay"), "t").select("base", "assay", "coef", "p"))
+    base = assays.where("supplement is null and treatment is null").select("study", "label", F.col("assay").alias("base"))
+    alone = assays.where("supplement is not null and treatment is null").join(test, "assay").select("study", "base", F.col("supplement").alias("hypo_aa"), F.col("coef").alias("coef_aa"), F.col("p").alias("p_aa"))
+    both = assays.where("supplement is not null and treatment is not null").join(test, "assay").select("study", "base", F.col("supplement").alias("hypo_aa"), F.col("treatment").alias("hypo_supp"), F.col("coef").alias("coef_aa_supp"), F.col("p").alias("p_aa_supp"))
+    tested = base.join(alone, ["study", "base"]).join(both, ["study", "base", "hypo_aa"]).drop("base")
+    return h.join(said, "h", "left").join(tested, ["hypo_aa", "hypo_supp"], "left").select("h", "ql1", "hypo_aa", "ql2", "hypo_supp", "study", "label", "coef_aa", "p_aa", "coef_aa_supp", "p_aa_supp")
 
 
 def support_query(store: DataFrame, supplement: str, treatment: str) -> DataFrame:
@@ -99,6 +260,26 @@ def ask(rows: DataFrame) -> bool:
     return not rows.isEmpty()
 
 
+def asked(rows: DataFrame) -> DataFrame:
+    """(answer): one row, whether there are any; the scan ends at the first."""
+    return rows.limit(1).agg((F.count("*") > 0).alias("answer"))
+
+
+def study_exists(store: DataFrame, supplement: str, treatment: str) -> DataFrame:
+    """(answer): whether any study has an assay with both compounds and one with neither."""
+    return asked(support_query(store, supplement, treatment))
+
+
+def select_if(answer: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows if the one-row answer is true, else none."""
+    return rows.join(F.broadcast(answer.where("answer").select(F.lit(1).alias("__yes")).limit(1))).drop("__yes")
+
+
+def queried(spark: SparkSession, store: DataFrame, sql: str) -> DataFrame:
+    """Ad-hoc SQL over the store, which the text names {quads}."""
+    return spark.sql(sql, quads=store)
+
+
 def hypotheses_with_support(store: DataFrame) -> DataFrame:
     """All hypotheses, with a supporting study if there is one, with its tests if there are any (the inner optional inside the outer)."""
     hyp = pattern(store, "implies", "hypothesis", "state").select("hypothesis", "state")

@@ -17,7 +17,9 @@ def _by(*more):
 def time_axis(readings: DataFrame, step: int = 1200) -> DataFrame:
     """k-th file in time order <-> step * k seconds, by plate."""
     order = Window.partitionBy("study", "plate").orderBy("file_time")
-    return readings.withColumn("t_index", (F.dense_rank().over(order) - 1).cast("int")).withColumn("t_sec", F.col("t_index") * step)
+    times = readings.select("study", "plate", "file_time").distinct().withColumn("t_index", (F.row_number().over(order) - 1).cast("int"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("study", "plate", "file_time")]
+    return readings.alias("a").join(times.alias("b"), same).select("a.*", "t_index", (F.col("t_index") * step).alias("t_sec"))
 
 
 def with_layout(curves: DataFrame, layout: DataFrame) -> DataFrame:
@@ -26,7 +28,11 @@ def with_layout(curves: DataFrame, layout: DataFrame) -> DataFrame:
 
 def rolling_median(curves: DataFrame) -> DataFrame:
     """Centred median of three (fewer at the ends); it replaces the data, as in the original workflow."""
-    return curves.withColumn("od", F.percentile("od", F.lit(0.5)).over(_by().rowsBetween(-1, 1)))
+    a, b, c = F.lag("od").over(_by()), F.col("od"), F.lead("od").over(_by())
+    n = sum((x.isNotNull().cast("int") for x in (a, b, c)), F.lit(0))
+    least, most = F.least(a, b, c), F.greatest(a, b, c)  # of those that are there
+    middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    return curves.withColumn("od", F.when(n == 3, middle).otherwise((least + most) / 2))
 
 
 def total_variation(curves: DataFrame) -> DataFrame:
@@ -47,13 +53,28 @@ def mean_curves(curves: DataFrame) -> DataFrame:
 
 def mad_outliers(feats: DataFrame, limit: float = 3.0) -> DataFrame:
     """Flags wells whose log AUC, last value or total variation lies beyond limit * MAD + 1e-6 of the group's median."""
-    grp, out = ["study", "plate", "grp"], feats.withColumn("log_auc", F.log(F.col("auc")))
-    for c in ("log_auc", "last_od", "tv"):
-        mid = out.groupBy(*grp).agg(F.median(c).alias("mid"))
-        dev = out.join(mid, grp).withColumn("dev", F.abs(F.col(c) - F.col("mid")))
-        mad = dev.groupBy(*grp).agg(F.median("dev").alias("mad"))
-        out = dev.join(mad, grp).withColumn(f"{c}_out", F.coalesce(F.col("dev") > limit * F.col("mad") + 1e-6, F.lit(False))).drop("mid", "dev", "mad")
-    return out.withColumn("outlier", F.col("log_auc_out") | F.col("last_od_out") | F.col("tv_out"))
+    grp, of, feats = ["study", "plate", "grp"], ("log_auc", "last_od", "tv"), feats.withColumn("log_auc", F.log(F.col("auc")))
+    mid = feats.groupBy(*grp).agg(*(F.median(c).alias(f"{c}_mid") for c in of))
+    dev = feats.join(mid, grp).withColumns({f"{c}_dev": F.abs(F.col(c) - F.col(f"{c}_mid")) for c in of})
+    mad = dev.groupBy(*grp).agg(*(F.median(f"{c}_dev").alias(f"{c}_mad") for c in of))
+    out = dev.join(mad, grp).withColumns({f"{c}_out": F.coalesce(F.col(f"{c}_dev") > limit * F.col(f"{c}_mad") + 1e-6, F.lit(False)) for c in of})
+    out = out.withColumn("outlier", F.col("log_auc_out") | F.col("last_od_out") | F.col("tv_out"))
+    return out.drop(*(f"{c}_{k}" for c in of for k in ("mid", "dev", "mad")))
+
+
+def without_controls(wells: DataFrame) -> DataFrame:
+    """Before modelling: no media controls; wells without a group stay out too."""
+    return wells.where(F.col("grp") != CONTROL)
+
+
+def with_design(rows: DataFrame, design: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a layout, protocol or design table; rows without a match stay, exact repeats fall together."""
+    return rows.join(design, on, "left").distinct()
+
+
+def with_parameters(rows: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join to growth parameters: rows without a curve drop out."""
+    return rows.join(parameters, on)
 
 
 def nearest_blanks(wells: DataFrame, k: int = 5) -> DataFrame:
@@ -89,11 +110,17 @@ def _local_line(pairs: DataFrame) -> DataFrame:
 
 def loess(curves: DataFrame, frac: float = 0.2) -> DataFrame:
     """Local linear smoothing over the reading index: tricube weights on the ceil(frac n) nearest, one bisquare pass."""
-    at = curves.select(*KEY, F.col("t_index").alias("i"), F.count("*").over(Window.partitionBy(*KEY)).alias("n"))
     y = curves.select(*KEY, F.col("t_index").alias("j"), F.col("od").alias("y"))
-    near = at.join(y, list(KEY)).withColumn("d", F.abs(F.col("i") - F.col("j"))).withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "i").orderBy("d", "j")))
-    near = near.where(F.col("k") <= F.greatest(F.lit(2), F.ceil(F.col("n") * frac)))
-    h = F.max("d").over(Window.partitionBy(*KEY, "i"))
+    whole = y.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("j", "y"))).alias("ys"))  # the readings of one curve
+    n = F.size("ys")
+    k = F.greatest(F.lit(2), F.ceil(n * frac)).cast("int")
+    # the k nearest readings lie within k places of the reading itself
+    at = whole.select(*KEY, k.alias("k"), "ys", F.posexplode("ys").alias("at", "own")).withColumn("i", F.col("own.j"))
+    first = F.greatest(F.col("at") - F.col("k"), F.lit(0))
+    around = F.slice("ys", first + 1, 2 * F.col("k") + 1)
+    nearest = F.slice(F.array_sort(F.transform(around, lambda e: F.struct(F.abs(e["j"] - F.col("i")).alias("d"), e["j"].alias("j"), e["y"].alias("y")))), F.lit(1), F.col("k"))
+    near = at.select(*KEY, "i", F.explode(F.array(nearest)).alias("e")).withColumn("h", F.element_at("e", -1)["d"]).select(*KEY, "i", "h", F.inline("e"))
+    h = F.col("h")
     near = near.withColumn("tri", F.when(h == 0, 1.0).otherwise(F.pow(1 - F.pow(F.col("d") / (h * 1.0000001), 3), 3)))
     first = _local_line(near.withColumn("w", F.col("tri")))
     res = y.join(first.withColumnRenamed("i", "j"), [*KEY, "j"]).withColumn("r", F.abs(F.col("y") - F.col("fit")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.operators.staging import staged
 
+
 def is_bio() -> Column:
     return ~F.col("kind").isin("QC", "Blank")
 
@@ -22,6 +23,17 @@ def keep_features(peaks: DataFrame, kept: DataFrame) -> DataFrame:
     return peaks.join(kept.select("study", "feature"), ["study", "feature"], "left_semi")
 
 
+def injected(rows: DataFrame, valid: DataFrame, fixed: tuple[str, ...] = ("MAT1", "MAT2")) -> DataFrame:
+    """Rows whose well passed the log check, and those of the QC and blank positions."""
+    passed = valid.select("well").union(valid.sparkSession.createDataFrame([(w,) for w in fixed], "well string")).distinct()
+    return rows.join(passed, "well", "left_semi")
+
+
+def with_group(rows: DataFrame, group: str = "kind") -> DataFrame:
+    """Without rows that have no group."""
+    return rows.dropna(subset=[group])
+
+
 def drop_empty(peaks: DataFrame) -> DataFrame:
     """Without features that have no value at all."""
     return keep_features(peaks, peaks.groupBy("study", "feature").agg(F.count("area").alias("n")).where("n > 0"))
@@ -71,10 +83,7 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     """
     nodes = pairs.select("study", F.col("f1").alias("f")).union(pairs.select("study", "f2")).distinct()
     pairs, state = staged(pairs), staged(nodes.withColumn("seed", F.lit(None).cast("string")))
-    for _ in range(1000):
-        open_ = state.where("seed is null")
-        if open_.isEmpty():
-            break
+    while not state.where("seed is null").isEmpty():  # the first open feature by name is settled in each round
         known = pairs.join(state.withColumnRenamed("f", "f1"), ["study", "f1"]).groupBy("study", F.col("f2").alias("f")).agg(
             F.min(F.when(F.col("seed") == F.col("f1"), F.col("f1"))).alias("by"), F.min(F.when(F.col("seed").isNull(), F.col("f1"))).alias("wait"))
         step = state.join(known, ["study", "f"], "left")
@@ -127,4 +136,4 @@ def preprocess(peaks: DataFrame) -> DataFrame:
 def to_matrix(peaks: DataFrame) -> DataFrame:
     """Sample by feature; a pair that stands twice is an error."""
     one = F.when(F.count("*") > 1, F.raise_error(F.lit("a sample and feature pair stands twice"))).otherwise(F.first("area"))
-    return peaks.groupBy("sample", "feature").agg(one.alias("area")).groupBy("sample").pivot("feature").agg(F.first("area"))
+    return peaks.groupBy("study", "sample", "feature").agg(one.alias("area")).groupBy("study", "sample").pivot("feature").agg(F.first("area"))

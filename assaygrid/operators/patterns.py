@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.functions.scalars import occurrences, specificity
+from assaygrid.operators.staging import staged
 
 
 def profile(*parts: Column) -> Column:
@@ -24,17 +25,25 @@ def profiles(phenotypes: DataFrame) -> DataFrame:
 
 
 def greedy_cover(sets: DataFrame, n: int) -> DataFrame:
-    """(step, gene, gain): the gene that adds most new profiles, ties by name, n times. The driver sees one row a step."""
-    spark, picked, covered = sets.sparkSession, [], None
-    left = sets.where("profile is not null").persist()
+    """(step, gene, gain): the gene that adds most new profiles, ties by name, until n genes are taken or none is left.
+
+    A null profile is one more member. The driver sees one row a step; every eighth step is written.
+    """
+    kind = dict(sets.dtypes)["gene"]
+    left, picked = staged(sets.select("gene", F.col("profile").isNull().alias("none"), F.coalesce("profile", F.lit("")).alias("profile")).distinct()), []
+    genes = staged(left.select("gene").distinct())
     for step in range(1, n + 1):
-        rest = left if covered is None else left.join(covered, "profile", "left_anti")
-        best = rest.groupBy("gene").agg(F.count_distinct("profile").alias("gain")).orderBy(F.desc("gain"), "gene").first()
+        best = left.groupBy("gene").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "gene").first()
         if best is None:
             break
         picked.append((step, best.gene, best.gain))
-        covered = left.join(spark.createDataFrame([(g,) for _, g, _ in picked], "gene " + dict(sets.dtypes)["gene"]), "gene", "left_semi").select("profile").distinct()
-    return spark.createDataFrame(picked, f"step int, gene {dict(sets.dtypes)['gene']}, gain long")
+        covered = left.where(F.col("gene") == F.lit(best.gene)).select("none", "profile")
+        left = left.join(covered, ["none", "profile"], "left_anti")
+        left = staged(left) if step % 8 == 0 else left
+    out = sets.sparkSession.createDataFrame(picked, f"step int, gene {kind}, gain long")
+    rest = genes.join(out, "gene", "left_anti").orderBy("gene").limit(n - len(picked))  # these add nothing
+    at = F.row_number().over(Window.orderBy("gene")) + len(picked)
+    return out.union(rest.select(at.alias("step"), "gene", F.lit(0).cast("long").alias("gain")))
 
 
 TEMPLATES = {
@@ -64,12 +73,18 @@ def frequent(cover: DataFrame, positives: int, least: float = 0.001, most: int =
 def identical_groups(cover: DataFrame) -> DataFrame:
     """(pattern_id, duplicates): patterns with the same genes; the first is kept, the others listed.
 
-    Sets are compared by count and two independent order-free hash sums, so no pattern's genes are gathered.
+    Patterns alike in count and two order-free hash sums are candidates; each is then verified gene by gene against its
+    group's first, so no pattern's genes are gathered and no equality rests on a hash.
     """
+    cover = cover.distinct()
     h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "gene").cast("decimal(38,0)"))
-    prints = cover.groupBy("pattern_id").agg(F.count("*").alias("n"), h(1).alias("a"), h(2).alias("b"))
-    return prints.groupBy("n", "a", "b").agg(F.min("pattern_id").alias("pattern_id"), F.array_sort(F.collect_list("pattern_id")).alias("all")).select(
-        "pattern_id", F.array_join(F.slice("all", 2, F.size("all")), ",").alias("duplicates"))
+    prints = staged(cover.groupBy("pattern_id").agg(F.count("*").alias("n"), h(1).alias("a"), h(2).alias("b")))
+    first = prints.groupBy("n", "a", "b").agg(F.min("pattern_id").alias("first"))
+    near = staged(prints.join(first, ["n", "a", "b"]).select("pattern_id", "first", "n"))
+    mine = near.where("pattern_id <> first").join(cover, "pattern_id")
+    shared = mine.join(cover.select(F.col("pattern_id").alias("first"), "gene"), ["first", "gene"]).groupBy("pattern_id").agg(F.count("*").alias("k"))
+    same = near.join(shared, "pattern_id", "left").withColumn("head", F.when((F.col("pattern_id") == F.col("first")) | (F.col("k") == F.col("n")), F.col("first")).otherwise(F.col("pattern_id")))
+    return same.groupBy("head").agg(F.array_sort(F.collect_list("pattern_id")).alias("all")).select(F.col("head").alias("pattern_id"), F.array_join(F.slice("all", 2, F.size("all")), ",").alias("duplicates"))
 
 
 def features_of(targets: DataFrame, cover: DataFrame) -> DataFrame:
@@ -98,7 +113,112 @@ def negative_controls(coefs: DataFrame) -> DataFrame:
 def not_listed(candidates: DataFrame, listed: DataFrame) -> DataFrame:
     """Candidates (target, clause) whose target:clause is part of no listed line."""
     key = F.concat("target", F.lit(":"), "clause")
-    return candidates.join(F.broadcast(listed.select("line")), F.contains(F.col("line"), key), "left_anti")
+    lines = listed.select("line").where("line is not null").distinct()
+    if lines.count() > LISTED:
+        raise ValueError("the exclusion list is too long to be compared line by line")
+    return candidates.join(F.broadcast(lines), F.contains(F.col("line"), key), "left_anti")
+
+
+#: Lines of an exclusion list, which is kept by hand; each candidate is looked for in every line.
+LISTED = 100_000
+
+
+def listed_lines(*lists: DataFrame) -> DataFrame:
+    """One list out of several (forbidden, already used), lines trimmed, empty ones left out."""
+    out = lists[0].select(F.trim("line").alias("line"))
+    for x in lists[1:]:
+        out = out.union(x.select(F.trim("line").alias("line")))
+    return out.where("line <> ''").distinct()
+
+
+def first_n(candidates: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n after all filters, in a stated order."""
+    return candidates.orderBy(*order).limit(n)
+
+
+def measurable(phenotypes: DataFrame, observables: list[str], chemicals: list[str], accumulation: str = "chemical compound accumulation") -> DataFrame:
+    """Without unmeasurable observables and without accumulation of unmeasurable chemicals, by value; nulls stay."""
+    bad = F.col("state").isin(observables) | ((F.col("state") == accumulation) & F.col("value").cast("string").isin(chemicals))
+    return phenotypes.where(~F.coalesce(bad, F.lit(False)))
+
+
+def kept_features(cover: DataFrame, kept: DataFrame) -> DataFrame:
+    """Coverage rows of the kept patterns only."""
+    return cover.join(kept.select("pattern_id"), "pattern_id", "left_semi")
+
+
+def in_all_targets(coefs: DataFrame) -> DataFrame:
+    """Coefficients of the patterns that every target has (the N-way inner merge in long form)."""
+    n = coefs.agg(F.count_distinct("target").alias("n"))
+    seen = coefs.groupBy("pattern_id").agg(F.count_distinct("target").alias("k")).join(F.broadcast(n)).where("k = n")
+    return coefs.join(seen, "pattern_id", "left_semi")
+
+
+def usable_lines(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, line, text, feature) of a clause file's lines (key, line, text): a feature line goes with the support line before it.
+
+    A line with two phenotype literals or more, or with a target literal but no metabolism literal, is dropped, and so is
+    its support line; every other line stays once.
+    """
+    low = F.lower("text")
+    bad = lambda c: (occurrences(c, F.lit("exhibits_phenotype")) > 1) | (F.contains(c, F.lit("compound_modulates_target")) & ~F.contains(c, F.lit("participates_in_metabolism")))
+    w = Window.partitionBy(key).orderBy("line")
+    is_feature = F.contains(F.col("text"), F.lit("feature("))
+    ahead = F.lead("text").over(w)
+    gone = F.when(is_feature, bad(low)).otherwise(F.coalesce(F.contains(ahead, F.lit("feature(")) & bad(F.lower(ahead)), F.lit(False)))
+    return lines.withColumn("gone", gone).where("not gone").select(key, "line", "text", F.regexp_extract("text", r"feature\((\d+),", 1).try_cast("int").alias("feature"))
+
+
+def readable_clauses(features: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern_id, clause): pattern <example>_ilp<number> meets the feature of that example and number; its head is renamed.
+
+    `features` is (example, id, clause) as read from an explanation file.
+    """
+    pid = F.col("pattern_id")
+    keyed = wanted.select("pattern_id", F.regexp_extract(pid, r"^(.*)_ilp(\d+)$", 1).alias("example"), F.regexp_extract(pid, r"^(.*)_ilp(\d+)$", 2).try_cast("int").alias("id"))
+    return keyed.join(features, ["example", "id"]).select("pattern_id", F.replace("clause", F.lit("gene(A):-"), F.lit("Cell(A):-")).alias("clause"))
+
+
+def clause_cover(phenotypes: DataFrame, names: DataFrame, conditions: DataFrame, targets: DataFrame, pathways: DataFrame, share: float = 0.001) -> DataFrame:
+    """(pattern_id, gene) for every body of at most three literals over the declared modes that enough genes satisfy.
+
+    Modes: phenotype(gene, #state, value, cond); name(value, #name); condition(cond, #text); target(value, #action, through);
+    pathway(through, #kind, #metabolite). Literals hang on the phenotype whose value or cond they use. Bodies grow level by
+    level as equality joins, each level only from parents with at least `share` of all genes.
+    """
+    facts = staged(phenotypes.select("gene", "state", "value", "cond").distinct())
+    least = share * facts.agg(F.count_distinct("gene")).first()[0]
+    text = lambda *c: F.concat_ws(",", *(F.col(x).cast("string") if isinstance(x, str) else x for x in c))
+    lit = F.lit
+    by_value = names.select("value", text(lit("name"), "name").alias("a")).union(targets.select("value", text(lit("target"), "action").alias("a"))).distinct()
+    by_cond = conditions.select("cond", text(lit("condition"), "text").alias("a")).distinct()
+    through = targets.select("value", "action", "through").join(pathways.select(F.col("gene").alias("through"), "kind", "metabolite"), "through")
+    chains = through.select("value", text(lit("target"), "action", lit("pathway"), "kind", "metabolite").alias("a")).distinct()
+
+    def often(rows: DataFrame, *item: str) -> DataFrame:
+        """The rows whose item enough genes have."""
+        good = rows.select(*item, "gene").distinct().groupBy(*item).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return staged(rows.join(good.select(*item), list(item), "left_semi"))
+
+    one = often(facts, "state")
+    tails = staged(one.join(by_value, "value").unionByName(one.join(by_cond, "cond")))
+    two = often(tails, "state", "a")
+    b = two.select("gene", "state", "value", "cond", F.col("a").alias("b"))
+    both = two.join(b, ["gene", "state", "value", "cond"]).where("a < b")
+    single = lambda df, *c: df.select(text("state", *c).alias("item"), "gene").distinct()
+    first = single(one)
+    second = single(two, "a")
+    third = single(both, "a", "b").union(single(one.join(chains, "value"), "a")).distinct()
+
+    def beside(x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
+        pairs = x.join(y.select(F.col("item").alias("with"), "gene"), "gene")
+        return (pairs.where(F.col("item") < F.col("with")) if ordered else pairs).select(F.concat_ws("&", "item", "with").alias("item"), "gene")
+
+    couples = often(beside(first, first, True), "item")
+    last = couples.select("item", "gene", F.element_at(F.split("item", "&"), -1).alias("end"))
+    triples = last.join(first.select(F.col("item").alias("with"), "gene"), "gene").where(F.col("end") < F.col("with")).select(F.concat_ws("&", "item", "with").alias("item"), "gene")
+    found = first.union(second).union(couples).union(often(third.union(beside(second, first, False)).union(triples), "item"))
+    return found.select(F.col("item").alias("pattern_id"), "gene").distinct()
 
 
 def relevance(clauses: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -119,50 +239,64 @@ def best_clauses(dups: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 _ATOM = re.compile(r"\s*([a-z_]\w*)\((.*)\)\s*$", re.S)
+#: A quoted text with escapes, `:-`, or one character.
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|:-|.""", re.S)
+
+
+def _pieces(text: str, at: str) -> list[str] | None:
+    """The text cut at a mark that stands outside quotes and brackets; None where brackets or quotes do not close."""
+    parts, depth = [""], 0
+    for token in _TOKEN.findall(text):
+        depth += (token == "(") - (token == ")")
+        if depth < 0 or token in ("'", '"'):
+            return None
+        if token == at and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return parts if depth == 0 else None
+
+
+def _unquoted(arg: str) -> str:
+    arg = arg.strip()
+    return re.sub(r"\\(.)", r"\1", arg[1:-1]) if len(arg) > 1 and arg[0] in "'\"" and arg[-1] == arg[0] else arg
 
 
 def parse_clause(text: str | None):
-    """(head, [(name, args)]) of `Head:-a(x),b(y)`; None for text that is no clause."""
-
-    def split(s):
-        parts, depth, quote, now, at = [], 0, False, "", 0
-        while at < len(s):
-            c = s[at]
-            if c == "\\" and quote and at + 1 < len(s):
-                now, at = now + s[at : at + 2], at + 2
-                continue
-            quote ^= c == "'"
-            depth += 0 if quote else (c == "(") - (c == ")")
-            if c == "," and not depth and not quote:
-                parts.append(now)
-                now = ""
-            else:
-                now += c
-            at += 1
-        return [*parts, now] if depth == 0 and not quote else None
-
-    head, mark, body = (text or "").strip().removesuffix(".").partition(":-")
-    parts = split(body) if mark else []
+    """(head, [(name, args)]) of `Head:-a(x),b(y)`; head None where there is no `:-`; None for text that is no clause."""
+    sides = _pieces((text or "").strip().removesuffix("."), ":-")
+    if not sides or len(sides) > 2 or not sides[-1].strip() or (len(sides) == 2 and not sides[0].strip()):
+        return None
     atoms = []
-    for part in parts or []:
+    for part in _pieces(sides[-1], ",") or [""]:
         m = _ATOM.match(part)
-        args = split(m[2]) if m else None
+        args = _pieces(m[2], ",") if m else None
         if args is None:
             return None
-        atoms.append((m[1], [a.strip().strip("'").replace("\\'", "'") for a in args]))
-    return (head.strip(), atoms) if head.strip() and parts is not None else None
+        atoms.append((m[1], [_unquoted(a) for a in args]))
+    return (sides[0].strip() if len(sides) == 2 else None), atoms
 
 
 def parse_clauses(clauses: DataFrame) -> DataFrame:
-    """Adds `parsed`: struct<head, atoms: array<struct<name, args>>>, null where the text is no clause."""
+    """Adds `parsed`: struct<head, atoms: array<struct<name, args>>>, null where the text is no clause.
+
+    Clauses of plain atoms (no quote, no inner bracket) are cut up by expressions in Catalyst; only the others are parsed
+    in Python, in Arrow batches.
+    """
 
     @F.pandas_udf("struct<head:string,atoms:array<struct<name:string,args:array<string>>>>")
     def parse(texts: pd.Series) -> pd.DataFrame:
         got = [parse_clause(t) for t in texts]
         return pd.DataFrame({"head": [g[0] if g else None for g in got], "atoms": [[{"name": n, "args": a} for n, a in g[1]] if g else None for g in got]})
 
-    p = parse("clause")
-    return clauses.withColumn("parsed", F.when(p["head"].isNotNull(), p))
+    kind = "struct<head:string,atoms:array<struct<name:string,args:array<string>>>>"
+    body = F.regexp_replace(F.trim("clause"), r"\.$", "")
+    plain = F.coalesce(F.rlike(body, F.lit(r"^[A-Za-z_]\w*\([^()'\"\\]*\)\s*:-\s*[a-z_]\w*\([^()'\"\\]*\)(?:\s*,\s*[a-z_]\w*\([^()'\"\\]*\))*$")) & ~F.rlike(body, F.lit(":-.*:-")), F.lit(False))
+    atoms = F.regexp_extract_all(F.split_part(body, F.lit(":-"), F.lit(2)), F.lit(r"([a-z_]\w*\([^()]*\))"), F.lit(1))
+    cut = F.transform(atoms, lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("name"), F.transform(F.split(F.regexp_extract(a, r"\((.*)\)$", 1), ","), lambda x: F.trim(x)).alias("args")))
+    fast = F.struct(F.trim(F.split_part(body, F.lit(":-"), F.lit(1))).alias("head"), cut.alias("atoms")).cast(kind)
+    p = parse(F.when(~plain, F.col("clause")))
+    return clauses.withColumn("parsed", F.when(plain, fast).when(p["atoms"].isNotNull(), p))
 
 
 def atom_count(parsed: Column, name: str) -> Column:

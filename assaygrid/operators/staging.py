@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Written to the shared folder in spark.checkpoint.dir (one of our own only where that is unset), lineage cut."""
+    """Written to the shared folder in spark.checkpoint.dir, lineage cut. Only a local session may do without that setting."""
     sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For broadcast if its counted rows are few; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assaygrid.operators.staging import staged
+
 
 def dose_levels(doses: DataFrame, by: str = "study") -> DataFrame:
     """Sorted doses become None, PosLow, PosHigh; the largest negative dose NegHigh; the largest treatment Yes."""
@@ -16,6 +18,31 @@ def dose_levels(doses: DataFrame, by: str = "study") -> DataFrame:
     return doses.withColumn("supplement_level", level).withColumn("treated", F.when((F.col("treatment_dose") > 0) & (F.col("treatment_dose") == F.max("treatment_dose").over(w)), "Yes").otherwise("No"))
 
 
+def numbered(df: DataFrame, order: list[Column], *by: str) -> DataFrame:
+    """df with `r`, the place from 1 of each row in its family by `order`, and `size`, the family's rows.
+
+    Rows are range-partitioned and numbered within partitions; offsets come from one count a partition and family. So one
+    family may hold all rows.
+    """
+    if not df.columns:
+        return df
+    keyed = df.withColumns({f"__o{k}": c for k, c in enumerate(order)})
+    keys = [*by, *(f"__o{k}" for k in range(len(order)))]
+    parts = staged(keyed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*keys[len(by):])))
+    counts = parts.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each partition
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("__n").over(w))
+    joined = local.alias("l").join(offsets.alias("o"), [F.col("l.__part") == F.col("o.__part"), *(F.col(f"l.{b}").eqNullSafe(F.col(f"o.{b}")) for b in by)])
+    return joined.select(*(F.col(f"l.`{c}`") for c in df.columns), (F.col("__r") + F.col("__before")).alias("r"), F.col("size"))
+
+
+def contrasts(rows: DataFrame, pairs: DataFrame, columns: tuple[str, ...] = ("treatment", "supplement")) -> DataFrame:
+    """Rows with `contrast` and `is_a`, once for each side of a contrast they are on. `pairs` is (contrast, a_<column>, b_<column>); null selects null."""
+    sides = [pairs.select("contrast", F.lit(side == "a").alias("is_a"), *(F.col(f"{side}_{c}").alias(f"__{c}") for c in columns)) for side in "ab"]
+    return rows.join(sides[0].union(sides[1]), [rows[c].eqNullSafe(F.col(f"__{c}")) for c in columns]).drop(*(f"__{c}" for c in columns))
+
+
 def average_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Ranks with ties sharing their mean."""
     w = Window.partitionBy(*by)
@@ -23,17 +50,54 @@ def average_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, *by: str, value: str = "value", group: str = "is_a") -> DataFrame:
-    """U of the rows where `group` is true, two-sided p (normal, ties and continuity corrected), medians; nulls left out."""
-    ranked = average_rank(df.where(F.col(value).isNotNull()), value, *by)
-    ties = ranked.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    a, b = F.col(group), ~F.col(group)
-    s = ranked.groupBy(*by).agg(F.count_if(a).alias("n1"), F.count_if(b).alias("n2"), F.sum(F.when(a, F.col("rnk"))).alias("r1"),
-                                F.median(F.when(a, F.col(value))).alias("median_a"), F.median(F.when(b, F.col(value))).alias("median_b")).join(ties, list(by))
+    """U of the rows where `group` is true, two-sided p, medians; nulls left out.
+
+    p is exact where a side has eight values or fewer and none tie, else normal with correction for ties and continuity.
+    Equal values are counted before they are ranked.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
+    t = F.col("a") + F.col("b")
+    before = F.sum(t).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = counts.withColumn("rnk", F.coalesce(before, F.lit(0)) + (t + 1) / 2)
+    middle = lambda n: F.percentile(F.when(F.col(n) > 0, F.col(value)), F.lit(0.5), F.greatest(F.col(n), F.lit(1)))
+    s = ranked.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rnk")).alias("r1"), F.sum(F.pow(t, 3) - t).alias("ties"),
+                                middle("a").alias("median_a"), middle("b").alias("median_b"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = (F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5) / sd
-    return s.where("n1 > 0 and n2 > 0").withColumn("u", u).withColumn("p", F.least(F.lit(1.0), 2 * normal_tail(F.greatest(z, F.lit(0.0))))).select(*by, "n1", "n2", "u", "median_a", "median_b", "p")
+    normal = F.least(F.lit(1.0), 2 * normal_tail(F.greatest(z, F.lit(0.0))))
+    few = (F.least("n1", "n2") <= 8) & (F.col("ties") == 0) & (F.col("n1") * F.col("n2") <= 100_000)
+    found = s.where("n1 > 0 and n2 > 0").withColumn("u", u)
+    return found.withColumn("p", F.when(few, exact_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))).when(sd > 0, normal).otherwise(1.0)).select(*by, "n1", "n2", "u", "median_a", "median_b", "p")
+
+
+def exact_p(u: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided p of U without ties: the share of orders at least as far out, doubled. Null where u is null."""
+
+    @F.pandas_udf("double")
+    def of(us: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        tails: dict[tuple[int, int], np.ndarray] = {}
+        out = []
+        for v, a, b in zip(us, n, m):
+            if v is None or np.isnan(v):
+                out.append(None)
+                continue
+            a, b = sorted((int(a), int(b)))
+            if (a, b) not in tails:
+                ways = np.zeros(a * b + 1)  # orders by U, one value of the smaller side after the other
+                ways[0] = 1
+                for i in range(1, a + 1):
+                    if b + i <= a * b:
+                        ways[b + i :] -= ways[: -(b + i)].copy()
+                    for k in range(i, len(ways)):
+                        ways[k] += ways[k - i]
+                tails[a, b] = np.cumsum(ways[::-1])[::-1] / ways.sum()
+            far = max(v, a * b - v)
+            out.append(min(1.0, 2 * float(tails[a, b][int(np.ceil(far))])))
+        return pd.Series(out, dtype=float)
+
+    return of(u, n1, n2)
 
 
 def normal_tail(z: Column) -> Column:
@@ -44,18 +108,28 @@ def normal_tail(z: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", *by: str) -> DataFrame:
-    """Adjusted p over all tests of a family; give `by` (a study) so that families run apart."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    m = F.count(p).over(w)
-    r = F.row_number().over(w.orderBy(p))
-    raw = df.withColumn("q0", F.col(p) * m / r)
-    return raw.withColumn("p_adj", F.least(F.lit(1.0), F.min("q0").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("q0")
+    """Adjusted p over all tests of a family (without `by`, of the whole table); tests without a p keep null.
+
+    The least p * m / r from a test upward is a suffix minimum: within range partitions by windows, across them by one
+    value for each.
+    """
+    known = df.where(F.col(p).isNotNull()).select(*by, F.col(p).alias("__p"))
+    ranked = staged(numbered(known, [F.col("__p")], *by).withColumn("__q", F.col("__p") * F.col("size") / F.col("r")).repartitionByRange(*by, "__p").withColumn("__part", F.spark_partition_id()))
+    local = F.min("__q").over(Window.partitionBy("__part", *by).orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each partition
+    later = ranked.groupBy("__part", *by).agg(F.min("__q").alias("__m")).withColumn("__later", F.min("__m").over(w.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)))
+    same = lambda a, b, *on: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*on, *by)]
+    least = F.least(F.lit(1.0), F.col("__local"), F.col("__later"))
+    found = ranked.withColumn("__local", local).alias("x").join(later.alias("y"), same("x", "y", "__part")).select(*(F.col(f"x.{c}").alias(c) for c in by), F.col("x.__p").alias("__p"), least.alias("p_adj")).groupBy(*by, "__p").agg(F.min("p_adj").alias("p_adj"))
+    return df.alias("a").join(found.alias("f"), [*same("a", "f"), F.col(f"a.{p}") == F.col("f.__p")], "left").select("a.*", "f.p_adj")
 
 
 def folds(df: DataFrame, k: int, seed: int, *by: str, key: str = "id") -> DataFrame:
     """Shuffled (by class, if given) k folds, decided by a hash."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn("fold", F.ntile(k).over(w.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1)
+    n, r = F.col("size"), F.col("r") - 1
+    large, least = n % k, F.floor(n / k)  # so many folds have one row more
+    fold = F.when(r < large * (least + 1), F.floor(r / (least + 1))).otherwise(large + F.floor((r - large * (least + 1)) / F.greatest(least, F.lit(1))))
+    return numbered(df, [F.xxhash64(F.lit(seed), key), F.col(key)], *by).withColumn("fold", fold.cast("int")).drop("r", "size")
 
 
 def regression_scores(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -72,15 +146,36 @@ def class_f1(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
     return s.select(*by, "cls", F.coalesce(2 * F.col("tp") / F.nullif(F.col("t") + F.col("q"), F.lit(0)), F.lit(0.0)).alias("f1"))
 
 
+def macro_f1(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
+    """(by, macro_f1): the mean over classes of each repeat's F1."""
+    return class_f1(df, *by, y=y, p=p).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+
+
+def f1_spread(df: DataFrame, folds: list[str], *by: str, y: str = "y", p: str = "p") -> DataFrame:
+    """(by, cls, mean, sd) of each class's F1 over folds."""
+    return class_f1(df, *by, *folds, y=y, p=p).groupBy(*by, "cls").agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("sd"))
+
+
+def replicate_means(df: DataFrame, values: list[str], *by: str) -> DataFrame:
+    """Mean of each value per key (replicate strains, repeated scores); nulls are left out."""
+    return df.groupBy(*by).agg(*(F.avg(v).alias(v) for v in values))
+
+
 def standardise(df: DataFrame, value: str, *by: str) -> DataFrame:
     """(x - mean) / population SD."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)))
+    s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    return _beside(df, s, by).withColumn("z", (F.col(value) - F.col("__m")) / F.nullif("__s", F.lit(0.0))).drop("__m", "__s")
 
 
 def min_max(df: DataFrame, value: str, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("scaled", (F.col(value) - F.min(value).over(w)) / F.nullif(F.max(value).over(w) - F.min(value).over(w), F.lit(0.0)))
+    s = df.groupBy(*by).agg(F.min(value).alias("__a"), F.max(value).alias("__z"))
+    return _beside(df, s, by).withColumn("scaled", (F.col(value) - F.col("__a")) / F.nullif(F.col("__z") - F.col("__a"), F.lit(0.0))).drop("__a", "__z")
+
+
+def _beside(df: DataFrame, summary: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df with its group's summary; a null key is a group of its own. Partial sums and a join, no group in one task."""
+    named = summary.toDF(*(f"__by{k}" for k in range(len(by))), *summary.columns[len(by):])
+    return df.join(named, [df[c].eqNullSafe(named[f"__by{k}"]) for k, c in enumerate(by)]).drop(*(f"__by{k}" for k in range(len(by))))
 
 
 def coefficient_summary(coefs: DataFrame) -> DataFrame:

@@ -1,30 +1,13 @@
-"""Registered queries over the driver's tables, with the SQL that must give the same rows. Doubles are rounded to 6 digits."""
+"""Registered queries over the driver's tables, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from assaygrid.functions import scalars as sc
 from assaygrid.operators import dosing, graph, growth, labels, metabolomics as mb, patterns as pt, stats
 from assaygrid.plans import standins as st
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = lambda spark, d: rounded(f(spark, d))
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
+from assaygrid.plans.registry import query
 
 G, P, K, C, Q = (f"WITH {x}" for x in (st.GROWTH_SQL, st.PEAKS_SQL, st.FACTS_SQL, st.COEFS_SQL, st.QUADS_SQL))
 KEY = "study, plate, well"
@@ -118,14 +101,17 @@ def _(s, d):
     return stats.bootstrap_summary(stats.bootstrap(x, "study"), stats.ols(x, "study"), "study")
 
 
-MW = """WITH x AS (SELECT l_shipdate::DATE - DATE '1990-01-01' AS f, * FROM lineitem), v AS (SELECT 'f' || CAST(l_partkey % 25 AS VARCHAR) AS feature, l_linestatus = 'F' AS a, l_quantity AS v FROM lineitem),
-r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0::DOUBLE AS rnk FROM v) """
+TAIL = "exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))))"
+MW = """WITH v AS (SELECT 'f' || CAST(l_partkey % 25 AS VARCHAR) AS feature, l_linestatus = 'F' AS a, l_quantity AS v FROM lineitem),
+r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0::DOUBLE AS rnk, count(*) OVER (PARTITION BY feature, v) AS t FROM v),
+s AS (SELECT feature, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, sum(rnk) FILTER (a) AS r1, sum(t * t - 1)::DOUBLE AS ties, median(v) FILTER (a) AS ma, median(v) FILTER (NOT a) AS mb FROM r GROUP BY feature),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1 + n2 AS n FROM s), w AS (SELECT *, greatest(0, (abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5) / sqrt(n1 * n2 / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)::DOUBLE)))) AS z FROM u), q AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS t FROM w) """
 
 
-@query("M03_W05_mann_whitney_u", MW + "SELECT feature, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, round(sum(rnk) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE, 6) AS u, round(median(v) FILTER (a), 6) AS median_a, round(median(v) FILTER (NOT a), 6) AS median_b FROM r GROUP BY feature")
+@query("M03_W05_mann_whitney_u", MW + f"SELECT feature, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 6) AS u, round(ma, 6) AS median_a, round(mb, 6) AS median_b, round(least(1.0, 2 * {TAIL}), 6) AS p FROM q")
 def _(s, d):
     x = st._t(s, d, "lineitem").select(F.concat(F.lit("f"), F.col("l_partkey") % 25).alias("feature"), (F.col("l_linestatus") == "F").alias("is_a"), F.col("l_quantity").alias("value"))
-    return stats.mann_whitney(x, "feature").drop("p")
+    return stats.mann_whitney(x, "feature")
 
 
 @query("W06_benjamini_hochberg", "WITH t AS (SELECT c_custkey, c_mktsegment, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS p FROM customer), r AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (PARTITION BY c_mktsegment ORDER BY p, c_custkey) AS k FROM t) SELECT c_custkey, c_mktsegment, round(least(1.0, min(p * m / k) OVER (PARTITION BY c_mktsegment ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adj FROM r")
@@ -229,9 +215,9 @@ def _cover(s, d):
     return pt.coverage(st.phenotypes(s, d), st.targets(s, d), st.pathways(s, d))
 
 
-@query("J15_M12_A18_pattern_mining", K + COVER + "SELECT pattern_id, count(DISTINCT gene) AS support FROM cover GROUP BY pattern_id HAVING count(DISTINCT gene) >= 0.001 * 300 ORDER BY support DESC, pattern_id LIMIT 4097")
+@query("J15_A18_pattern_mining", K + COVER + "SELECT pattern_id, count(DISTINCT gene) AS support FROM cover GROUP BY pattern_id HAVING count(DISTINCT gene) >= 0.001 * (SELECT count(DISTINCT gene) FROM phenotypes) ORDER BY support DESC, pattern_id LIMIT 4097")
 def _(s, d):
-    return pt.frequent(_cover(s, d), 300)
+    return pt.frequent(_cover(s, d), st.phenotypes(s, d).agg(F.count_distinct("gene")).first()[0])
 
 
 @query("A19_identical_features", K + COVER + ", l AS (SELECT pattern_id, list(gene ORDER BY gene) AS genes FROM cover GROUP BY pattern_id), x AS (SELECT list(pattern_id ORDER BY pattern_id) AS a FROM l GROUP BY genes) SELECT a[1] AS pattern_id, array_to_string(a[2:], ',') AS duplicates FROM x")
@@ -366,9 +352,9 @@ def _(s, d):
     return st._t(s, d, "part").select("p_partkey", sc.to_millimolar(size, F.lit("g/L"), price).alias("mm"), v.alias("taken"), b["water"].alias("water"), b["ok"].alias("ok"))
 
 
-@query("J09_U03_O05_missing_wells", "WITH w AS (SELECT chr(CAST(65 + i // 12 AS INTEGER)) || CAST(i % 12 + 1 AS VARCHAR) AS well FROM range(96) t(i)), u AS (SELECT DISTINCT user_id // 96 AS plate, chr(CAST(65 + (user_id % 96) // 12 AS INTEGER)) || CAST((user_id % 96) % 12 + 1 AS VARCHAR) AS well FROM events WHERE event_type = 'error') SELECT plate, well, 'used' AS label FROM u UNION ALL SELECT p.plate, w.well, 'empty' FROM (SELECT DISTINCT plate FROM u) p, w WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.plate = p.plate AND u.well = w.well)")
+@query("J09_U03_O05_missing_wells", "WITH w AS (SELECT chr(CAST(65 + i // 12 AS INTEGER)) || CAST(i % 12 + 1 AS VARCHAR) AS well FROM range(96) t(i)), u AS (SELECT DISTINCT user_id // 96 AS plate, chr(CAST(65 + (user_id % 96) // 12 AS INTEGER)) || CAST((user_id % 96) % 12 + 1 AS VARCHAR) AS well FROM events) SELECT plate, well, 'used' AS label FROM u UNION ALL SELECT p.plate, w.well, 'empty' FROM (SELECT DISTINCT plate FROM u) p, w WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.plate = p.plate AND u.well = w.well)")
 def _(s, d):
-    e = st._t(s, d, "events").where("event_type = 'error'")
+    e = st._t(s, d, "events")
     k = F.col("user_id") % 96
     used = e.select(F.floor(F.col("user_id") / 96).alias("plate"), sc.well_name((F.floor(k / 12) + 1).cast("int"), (k % 12 + 1).cast("int")).alias("well"), F.lit("used").alias("label")).distinct()
     return dosing.fill_plates(used, "empty")

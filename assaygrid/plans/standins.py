@@ -18,7 +18,7 @@ peaks AS (SELECT 's' || CAST(o_custkey % 3 AS VARCHAR) AS study, 'x-y-' || CAST(
   CASE WHEN count(*) % 7 = 0 THEN 0.0 WHEN (o_custkey + l_partkey % 40) % 11 = 0 THEN NULL ELSE sum(CAST(round(l_extendedprice) AS BIGINT)) / 100.0::DOUBLE END AS area
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey % 40)"""
 FACTS_SQL = """
-phenotypes AS (SELECT DISTINCT o_custkey AS gene, o_orderpriority AS state, l_partkey % 50 AS value, l_returnflag AS cond FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0),
+phenotypes AS (SELECT DISTINCT o_custkey AS gene, o_orderpriority AS state, l_partkey % 50 AS value, l_returnflag AS cond FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 targets AS (SELECT s_suppkey AS gene, s_suppkey % 50 AS value, 'a' || CAST(s_nationkey % 3 AS VARCHAR) AS action FROM supplier),
 pathways AS (SELECT c_custkey AS gene, c_mktsegment AS metabolite FROM customer)"""
 COEFS_SQL = """
@@ -27,12 +27,12 @@ coefs AS (SELECT 't' || CAST(l_suppkey % 10 AS VARCHAR) AS target, 'p' || CAST(l
 QUADS_SQL = """
 quads AS (SELECT 'ontology' AS g, 'n' || CAST(n_nationkey AS VARCHAR) AS s, 'partOf' AS p, 'r' || CAST(n_regionkey AS VARCHAR) AS o FROM nation
   UNION ALL SELECT 'studies', 'st' || CAST(o_custkey AS VARCHAR), 'hasAssay', 'as' || CAST(o_orderkey AS VARCHAR) FROM orders
-  UNION ALL SELECT 'studies', 'as' || CAST(o_orderkey AS VARCHAR), 'hasSupplement', o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT 'studies', 'as' || CAST(o_orderkey AS VARCHAR), 'hasTreatment', o_orderstatus FROM orders WHERE o_orderkey % 3 = 1
-  UNION ALL SELECT 'hypotheses', 'h' || CAST(c_custkey AS VARCHAR), 'implies', c_mktsegment FROM customer WHERE c_custkey % 2 = 0
-  UNION ALL SELECT 'studies', 'st' || CAST(c_custkey AS VARCHAR), 'supports', 'h' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT 'tests', 'st' || CAST(o_custkey AS VARCHAR), 'hasTest', 'te' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT 'tests', 'te' || CAST(o_orderkey AS VARCHAR), 'hasValue', o_orderstatus FROM orders WHERE o_orderkey % 10 = 0)"""
+  UNION ALL SELECT 'studies', 'as' || CAST(o_orderkey AS VARCHAR), 'hasSupplement', o_orderpriority FROM orders WHERE o_orderpriority <> '3-MEDIUM'
+  UNION ALL SELECT 'studies', 'as' || CAST(o_orderkey AS VARCHAR), 'hasTreatment', o_orderstatus FROM orders WHERE o_orderstatus <> 'O'
+  UNION ALL SELECT 'hypotheses', 'h' || CAST(c_custkey AS VARCHAR), 'implies', c_mktsegment FROM customer WHERE c_acctbal > 0
+  UNION ALL SELECT 'studies', 'st' || CAST(c_custkey AS VARCHAR), 'supports', 'h' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT 'tests', 'st' || CAST(o_custkey AS VARCHAR), 'hasTest', 'te' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice > 250000
+  UNION ALL SELECT 'tests', 'te' || CAST(o_orderkey AS VARCHAR), 'hasValue', o_orderstatus FROM orders WHERE o_totalprice > 400000)"""
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phenotypes(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("gene"), F.col("o_orderpriority").alias("state"), (F.col("l_partkey") % 50).alias("value"), F.col("l_returnflag").alias("cond")).distinct()
+    return lines(spark, d).select(F.col("o_custkey").alias("gene"), F.col("o_orderpriority").alias("state"), (F.col("l_partkey") % 50).alias("value"), F.col("l_returnflag").alias("cond")).distinct()
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +83,9 @@ def coefs(spark: SparkSession, d: str) -> DataFrame:
 def quads(spark: SparkSession, d: str) -> DataFrame:
     t = lambda k: F.concat(F.lit(k[0]), F.col(k[1])) if isinstance(k, tuple) else F.col(k)
     rows = [("nation", None, "ontology", ("n", "n_nationkey"), "partOf", ("r", "n_regionkey")), ("orders", None, "studies", ("st", "o_custkey"), "hasAssay", ("as", "o_orderkey")),
-            ("orders", "o_orderkey % 3 <> 0", "studies", ("as", "o_orderkey"), "hasSupplement", "o_orderpriority"), ("orders", "o_orderkey % 3 = 1", "studies", ("as", "o_orderkey"), "hasTreatment", "o_orderstatus"),
-            ("customer", "c_custkey % 2 = 0", "hypotheses", ("h", "c_custkey"), "implies", "c_mktsegment"), ("customer", "c_custkey % 3 = 0", "studies", ("st", "c_custkey"), "supports", ("h", "c_custkey")),
-            ("orders", "o_orderkey % 5 = 0", "tests", ("st", "o_custkey"), "hasTest", ("te", "o_orderkey")), ("orders", "o_orderkey % 10 = 0", "tests", ("te", "o_orderkey"), "hasValue", "o_orderstatus")]
+            ("orders", "o_orderpriority <> '3-MEDIUM'", "studies", ("as", "o_orderkey"), "hasSupplement", "o_orderpriority"), ("orders", "o_orderstatus <> 'O'", "studies", ("as", "o_orderkey"), "hasTreatment", "o_orderstatus"),
+            ("customer", "c_acctbal > 0", "hypotheses", ("h", "c_custkey"), "implies", "c_mktsegment"), ("customer", "c_mktsegment <> 'BUILDING'", "studies", ("st", "c_custkey"), "supports", ("h", "c_custkey")),
+            ("orders", "o_totalprice > 250000", "tests", ("st", "o_custkey"), "hasTest", ("te", "o_orderkey")), ("orders", "o_totalprice > 400000", "tests", ("te", "o_orderkey"), "hasValue", "o_orderstatus")]
     out = None
     for name, cond, g, s, p, o in rows:
         df = _t(spark, d, name)

@@ -19,6 +19,16 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
     return spark.read.csv(path, sep=sep, header=True, schema=schema)
 
 
+def id_map(spark: SparkSession, path: str) -> DataFrame:
+    """(id, orf) of a two-column map with a header; the organism's prefix is stripped. Small enough to broadcast behind a count."""
+    return delimited(spark, path, "id string, orf string").select("id", F.regexp_replace("orf", "^sce:", "").alias("orf"))
+
+
+def orf_names(spark: SparkSession, path: str) -> DataFrame:
+    """(orf, name): second and fourth column of a table without a header."""
+    return spark.read.csv(path, sep="\t", header=False, schema="a string, orf string, b string, name string").select("orf", "name")
+
+
 PROTOCOL = ("logic_program string, experiments array<struct<experiment:int,baseline_media:string,media_supplementation:string,media_supplementation_doses:string,"
             "treatment:string,treatment_parameters:string,sampling_time:double,type:string,summary:string>>")
 
@@ -29,12 +39,17 @@ def protocols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hypotheses(spark: SparkSession, root: str) -> DataFrame:
-    """Hypothesis records below a root, with the creation time out of the folder name."""
+    """Hypothesis records below a root, with the creation time out of the folder name (12 digits at its end).
+
+    Folders without a record give no row; a folder named otherwise gives a null time.
+    """
     from assaygrid.functions.scalars import folder_time
 
     kinds = "logic_program string, observable string, qualifier string, initial_prompt string, motivation string, coefficient double"
     rows = spark.read.json(root, schema=kinds, multiLine=True, recursiveFileLookup=True, pathGlobFilter="hypothesis_details.json")
-    return rows.withColumn("file", F.input_file_name()).withColumn("created", folder_time(F.col("file")))
+    file = F.input_file_name()
+    dated = F.regexp_extract(file, r"/[^/]*?(\d{12})(?=/)", 1)
+    return rows.withColumn("file", file).withColumn("created", folder_time(dated))
 
 
 def instrument_log(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +73,12 @@ def examples(spark: SparkSession, path: str, first: str | None = None) -> DataFr
     return facts(spark, path, "gene", ["gene"]).orderBy((F.col("gene") == F.lit(first)).desc(), "gene")
 
 
+def write_examples(genes: DataFrame, path: str, first: str | None = None) -> None:
+    """gene('X'). lines with a chosen gene in front, as one ordered list."""
+    one = genes.select("gene").distinct().orderBy(F.coalesce(F.col("gene") == F.lit(first), F.lit(False)).desc(), "gene")
+    one.select(F.concat(F.lit("gene('"), "gene", F.lit("').")).alias("value")).write.mode("overwrite").text(path)
+
+
 def feature_matrix(spark: SparkSession, path: str, gene: str) -> DataFrame:
     """(row, pattern) of space-separated 0/1 rows, patterns named <gene>_ilp<i>."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("row", "line"))
@@ -81,12 +102,26 @@ def coefficients(spark: SparkSession, path: str, n_folds: int) -> DataFrame:
 _TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^<[^>]*>)?)'
 
 
-def n_quads(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of N-Quads files; blank nodes are named by file, which they are scoped to."""
-    rx = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>)?\s*\.\s*$"
-    rows = spark.read.text(path).where(F.col("value").rlike(rx)).withColumn("file", F.sha2(F.input_file_name(), 256))
+_QUAD = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>)?\s*\.\s*(?:#.*)?$"
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of lines that are no quad, no comment and not blank."""
+    return spark.read.text(path).where(~F.col("value").rlike(_QUAD) & ~F.col("value").rlike(r"^\s*(?:#.*)?$")).select(F.input_file_name().alias("file"), "value")
+
+
+def n_quads(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Quads of N-Quads files; blank nodes are named by file, which they are scoped to; the default graph is ''.
+
+    A line that is no quad is an error; with `strict` false it is left out, and `unreadable` lists it.
+    """
+    rx = _QUAD
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    good = F.col("value").rlike(rx)
+    lines = lines.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("no quad: "), "value")).cast("boolean"))) if strict else lines.where(good)
+    rows = lines.withColumn("file", F.sha2(F.input_file_name(), 256))
     part = lambda k: F.regexp_extract("value", rx, k)
-    plain = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), "file", F.lit("-"), F.substring(c, 3, 4096))).when(c.startswith("<"), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1))
+    plain = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), "file", F.lit("-"), F.substr(c, F.lit(3)))).when(c.startswith("<"), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1))
     o = part(3)
     return rows.select(plain(part(4)).alias("g"), plain(part(1)).alias("s"), plain(part(2)).alias("p"), plain(o).alias("o"), F.when(o.startswith("<"), "iri").when(o.startswith("_:"), "blank").otherwise("literal").alias("o_kind"),
                        F.nullif(F.regexp_extract(o, r'\^\^<([^>]*)>$', 1), F.lit("")).alias("o_dtype"), F.nullif(F.regexp_extract(o, r'"@([\w-]+)$', 1), F.lit("")).alias("o_lang"))
@@ -99,7 +134,7 @@ def write_quads(store: DataFrame, path: str) -> None:
 def write_n_quads(store: DataFrame, path: str) -> None:
     iri = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     literal = F.concat(F.lit('"'), "o", F.lit('"'), F.when(F.col("o_dtype").isNotNull(), F.concat(F.lit("^^<"), "o_dtype", F.lit(">"))).when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).otherwise(""))
-    store.select(F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") == "literal", literal).otherwise(iri("o")), iri("g"), F.lit(".")).alias("value")).write.mode("overwrite").text(path)
+    store.select(F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") == "literal", literal).otherwise(iri("o")), F.when(F.col("g") != "", iri("g")), F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_stage(df: DataFrame, path: str, tsv: bool = False) -> None:
@@ -108,6 +143,11 @@ def write_stage(df: DataFrame, path: str, tsv: bool = False) -> None:
     w.csv(path, sep="\t", header=True) if tsv else w.parquet(path)
 
 
+def write_result(df: DataFrame, path: str) -> None:
+    """A query's result as TSV with a header; an ASK's answer is the one row of `graph.asked`."""
+    write_stage(df, path, tsv=True)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """JSON lines without null fields."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)

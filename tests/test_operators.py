@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from assaygrid.functions import scalars as sc
-from assaygrid.operators import dosing, growth, patterns, stats
+from assaygrid.operators import dosing, growth, metabolomics, patterns, stats
 from assaygrid.operators.metabolomics import greedy_groups
 
 
@@ -65,6 +65,64 @@ def test_greedy_groups(spark):
 def test_clauses():
     assert patterns.parse_clause("h(A):-p(A,'x, (y'),q(b,f(c,d)).") == ("h(A)", [("p", ["A", "x, (y"]), ("q", ["b", "f(c,d)"])])
     assert patterns.parse_clause("h(A):-p(A") is None and patterns.parse_clause(None) is None
+    assert patterns.parse_clause("p(A,'b'),q(C)") == (None, [("p", ["A", "b"]), ("q", ["C"])])
+    assert patterns.parse_clause("h(A):-p(A,\"it's :- x\")") == ("h(A)", [("p", ["A", "it's :- x"])])
+    assert patterns.parse_clause("h(A):-p(A,'d\\'e')") == ("h(A)", [("p", ["A", "d'e"])])
+
+
+def test_clauses_in_catalyst_and_python_agree(spark):
+    texts = ["gene(A):-p(A, x,B),q(B,c)", "gene(A):-p(A,'x, y',B).", "p(A,b)", "x", "", None, "h(A):-p(A),f(g(B))"]
+    got = patterns.parse_clauses(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, clause string")).orderBy("k").collect()
+    for t, r in zip(texts, got):
+        want = patterns.parse_clause(t)
+        assert (None if r.parsed is None else (r.parsed.head, [(a.name, list(a.args)) for a in r.parsed.atoms])) == want
+
+
+def test_greedy_cover_fills_up(spark):
+    sets = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "gene string, profile string")
+    assert [tuple(r) for r in patterns.greedy_cover(sets, 5).orderBy("step").collect()] == [(1, "a", 1), (2, "c", 1), (3, "b", 0)]
+
+    def plain(sets, n):
+        own, seen, out = {}, set(), []
+        for g, p in sets:
+            own.setdefault(g, set()).add(p)
+        while own and len(out) < n:
+            g = min(own, key=lambda g: (-len(own[g] - seen), g))
+            out.append((len(out) + 1, g, len(own[g] - seen)))
+            seen |= own.pop(g)
+        return out
+
+    rows = [(f"g{i % 13:02d}", f"p{i * i % 17}") for i in range(60)]
+    assert [tuple(r) for r in patterns.greedy_cover(spark.createDataFrame(rows, "gene string, profile string"), 12).orderBy("step").collect()] == plain(rows, 12)
+
+
+def test_volumes_with_a_negative_part_are_not_ok(spark):
+    v = one(spark, sc.volume_balance(F.lit(270.0), F.lit(18.0), [F.lit(-50.0)]))[0]
+    assert (v.water, v.ok) == (302.0, False)
+
+
+def test_matrix_keeps_studies_apart(spark):
+    peaks = spark.createDataFrame([("s", "a", "f", 1.0), ("t", "a", "f", 2.0), ("t", "a", "g", 3.0)], "study string, sample string, feature string, area double")
+    assert sorted(map(tuple, metabolomics.to_matrix(peaks).select("study", "sample", "f", "g").collect())) == [("s", "a", 1.0, None), ("t", "a", 2.0, 3.0)]
+
+
+def test_exact_u_test(spark):
+    from itertools import combinations
+
+    a, b = [1.0, 4.0, 9.0], [2.0, 3.0, 5.0, 7.0]
+    df = spark.createDataFrame([("f", True, v) for v in a] + [("f", False, v) for v in b], "f string, is_a boolean, value double")
+    r = stats.mann_whitney(df, "f").first()
+    every = [sum(k + 1 for k in c) - 6 for c in combinations(range(7), 3)]
+    far = max(r.u, 12 - r.u)
+    assert abs(r.p - min(1.0, 2 * sum(u >= far for u in every) / len(every))) < 1e-12
+
+
+def test_folds_and_ranks_over_the_whole_table(spark):
+    df = spark.range(103).select(F.col("id"), (F.col("id") % 2).alias("c"))
+    sizes = sorted(r["count"] for r in stats.folds(df, 10, 1).groupBy("fold").count().collect())
+    assert sizes == [10] * 7 + [11] * 3
+    p = spark.createDataFrame([(float(x),) for x in (0.04, 0.01, 0.02, 0.02)] + [(None,)], "p double")
+    assert sorted((r.p is None, r.p, round(r.p_adj, 9) if r.p_adj is not None else None) for r in stats.benjamini_hochberg(p).collect() if r.p is not None) == [(False, 0.01, 0.026666667), (False, 0.02, 0.026666667), (False, 0.02, 0.026666667), (False, 0.04, 0.04)]
 
 
 def test_run_list(spark):

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from assaygrid.operators import dosing
 from assaygrid.sources import files
 
@@ -37,11 +40,35 @@ def test_facts_and_matrix(spark, tmp_path):
 
 def test_quads_round_trip(spark, tmp_path):
     d = write(tmp_path / "q" / "a.nq", '<s> <p> "a \\"b\\""@en <g> .\n<s> <p> _:b <g> .\n_:b <p> "1.5"^^<x:float> <g> .\nnot a quad\n')
-    store = files.n_quads(spark, d)
+    with pytest.raises(Exception, match="no quad: not a quad"):
+        files.n_quads(spark, d).collect()
+    assert [r.value for r in files.unreadable(spark, d).collect()] == ["not a quad"]
+    store = files.n_quads(spark, d, strict=False)
     assert sorted((r.o_kind, r.o_lang or "", r.o_dtype or "") for r in store.collect()) == [("blank", "", ""), ("literal", "", "x:float"), ("literal", "en", "")]
     assert {r.o for r in store.where("o_kind = 'blank'").collect()} == {r.s for r in store.where("o_dtype is not null").collect()}
     files.write_n_quads(store, str(tmp_path / "out"))
     assert files.n_quads(spark, str(tmp_path / "out")).count() == 3
+    name = "_:" + "b" * 5000
+    d = write(tmp_path / "r" / "a.nq", f"<s> <p> {name}1 .\n<s> <p> {name}2 .\n# a comment\n\n")
+    store = files.n_quads(spark, d)
+    assert {r.g for r in store.collect()} == {""} and len({r.o for r in store.collect()}) == 2
+    files.write_n_quads(store, str(tmp_path / "out2"))
+    assert all(r.g == "" for r in files.n_quads(spark, str(tmp_path / "out2")).collect())
+
+
+def test_lookups_and_lists(spark, tmp_path):
+    assert rows(files.id_map(spark, write(tmp_path / "i" / "m.tsv", "From\tTo\nP1\tsce:YAL\n"))) == [("P1", "YAL")]
+    assert rows(files.orf_names(spark, write(tmp_path / "o" / "m.tsv", "x\tYAL\ty\tname\n"))) == [("YAL", "name")]
+    assert rows(files.delimited(spark, write(tmp_path / "d" / "t.tsv", "a\tb\n1\tx\n"), "a int, b string")) == [(1, "x")]
+    genes = spark.createDataFrame([("b",), ("a",), ("c",)], "gene string")
+    files.write_examples(genes, str(tmp_path / "g"), "c")
+    assert [r.gene for r in files.examples(spark, str(tmp_path / "g"), "c").collect()] == ["c", "a", "b"]
+    files.write_result(genes, str(tmp_path / "t"))
+    assert sorted(r.gene for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()) == ["a", "b", "c"]
+    files.write_stage(genes, str(tmp_path / "s"))
+    files.append_lines(genes.select(F.col("gene").alias("line")), str(tmp_path / "l"))
+    files.append_lines(genes.select(F.col("gene").alias("line")), str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3 and spark.read.text(str(tmp_path / "l")).count() == 6
 
 
 def test_protocols_and_records(spark, tmp_path):
