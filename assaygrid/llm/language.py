@@ -10,7 +10,9 @@ Trees are learned from a bounded sample: `bound` documents a language, picked by
 four bytes only, so a task charges each different four bytes once and sums over positions. Scoring covers whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts
-first; with no training rows all are `und`; rows with a null language or text teach nothing.
+first; with no training rows all are `und`; rows with a null language or text teach nothing, nor, in the op7 query, do rows with
+a null id, which are scored and not held out. Rows that repeat both id and text are sampled together. More than `LANGUAGES` different
+languages are an error, as trees are broadcast: the bound on the sample and this one bound their size.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-ORDER, BOUND, CHUNK = 3, 1200, 1 << 21
+ORDER, BOUND, CHUNK, LANGUAGES = 3, 1200, 1 << 21, 500
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,13 +73,15 @@ class Tree:
 def learn(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Tree]:
     """A tree for each language of the rows given."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if not sizes:
         return {}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     pick = F.lit(0)
     for lang, n in sizes.items():
-        pick = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, bound / n) * (1 << 30)))).otherwise(pick)
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < pick).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        pick = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, bound / n) * (1 << 60)))).otherwise(pick)
+    sample = rows.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 60)) < pick).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         for batch in batches:
