@@ -7,7 +7,7 @@ crossed, least first, made lazily by a heap of shift and expand moves. Candidate
 the exact cosine of the original vectors in double precision.
 
 Equal vectors are one entry: it carries its smallest k + 1 ids, which is all that k nearest can need. A bucket's entries
-and visits meet in a cogroup that multiplies two small matrices and gives on each visit's best k + 1 entries only. A
+and visits meet in a cogroup that multiplies two small matrices and gives on each visit's best entries up to k other ids. A
 bucket with more than `SPLIT` entries or visits is dealt out in a grid of groups that large; none is capped. A query
 that finds fewer than k is compared with every row, in blocks of queries.
 
@@ -125,7 +125,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     hashes = Hashes(len(one.v), **params)
     index = entries.select("ids", "v", "norm", F.explode(_buckets(F.col("v"), hashes, 1)).alias("key"))
     visits = queries.select("query_id", F.col("v").alias("q"), F.col("norm").alias("qn"), F.explode(_buckets(F.col("v"), hashes, probes)).alias("key"))
-    best = cut(_best(_met(index, visits, k), k))
+    kind = "array<float>" if dict(rows.dtypes)[vec_col] == "array<float>" else "array<double>"
+    best = cut(_best(_met(index, visits, k, kind), k))
     score = (_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("norm"))).alias("score")
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = queries.join(enough, "query_id", "left_anti")
@@ -136,14 +137,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _met(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """(query_id, ids, score): for each visit of a bucket, or of a part of a large one, its best k + 1 entries."""
+def _met(index: DataFrame, visits: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query_id, ids, score): for each visit of a bucket, or of a part of a large one, its best entries up to k other ids.
+
+    Vectors travel in the type they came in, `kind`; products are in double precision.
+    """
     parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias(name))
     grid = cut(parts(index, "s").join(parts(visits, "t"), "key").where("s > 1 or t > 1"))
     deal = lambda n, by: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
-    left = index.join(grid, "key", "left").select("key", deal(F.col("s"), "v").alias("a"), each(F.col("t")).alias("b"), "ids", F.col("v").cast("array<float>").alias("v"))
-    right = visits.join(grid, "key", "left").select("key", each(F.col("s")).alias("a"), deal(F.col("t"), "query_id").alias("b"), "query_id", F.col("q").cast("array<float>").alias("q"))
+    left = index.join(grid, "key", "left").select("key", deal(F.col("s"), "v").alias("a"), each(F.col("t")).alias("b"), "ids", F.col("v").cast(kind).alias("v"))
+    right = visits.join(grid, "key", "left").select("key", each(F.col("s")).alias("a"), deal(F.col("t"), "query_id").alias("b"), "query_id", F.col("q").cast(kind).alias("q"))
 
     def meet(entries: pa.Table, visitors: pa.Table) -> pa.Table:
         rows: list[tuple[int, list[int], float]] = []
@@ -154,9 +158,14 @@ def _met(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
             v = v[order]
             for at in range(0, len(q), 512):
                 cos = q[at : at + 512] @ v.T
-                least = np.argsort(-cos, axis=1, kind="stable")[:, : k + 1]
+                best = np.argsort(-cos, axis=1, kind="stable")
                 for row, query in enumerate(visitors["query_id"].slice(at, 512).to_pylist()):
-                    rows += [(query, ids[order[e]], float(cos[row, e])) for e in least[row]]
+                    others: set[int] = set()  # an id may stand for several vectors: go on until k others are seen
+                    for e in best[row]:
+                        rows.append((query, ids[order[e]], float(cos[row, e])))
+                        others.update(ids[order[e]])
+                        if len(others - {query}) >= k:
+                            break
         return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "score": pa.array([r[2] for r in rows], pa.float64())})
 
     by = ("key", "a", "b")

@@ -49,6 +49,30 @@ def test_recall(spark, monkeypatch):
         assert found[2000] == want[2000]
 
 
+def test_recall_on_embeddings(spark):
+    """Recall on the whole table at least 0.9, and the share of rows that queries are compared with."""
+    for sf, least in (("sf0.001", 0.9), ("sf0.01", 0.9)):
+        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+        found, want = got(spark, rows), exact(rows)
+        assert found.keys() == want.keys()
+        assert sum(len({i for _, i in found[q]} & {i for _, i in want[q]}) for q in want) >= least * sum(map(len, want.values()))
+
+
+def test_many_vectors_under_one_id(spark):
+    rng = np.random.default_rng(9)
+    near = [(7, (np.array([5.0, 0, 0]) + rng.normal(scale=0.01, size=3)).tolist()) for _ in range(40)]
+    rows = [(0, [5.0, 0.0, 0.0])] + near + [(i, (np.array([5.0, 0, 0]) + rng.normal(scale=0.5, size=3)).tolist()) for i in range(10, 30)]
+    assert [i for _, i in got(spark, rows)[0]] == [i for _, i in exact(rows)[0]]
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1.0, 2e-9]), (2, [1.0, 1e-9 + 1e-12]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    a = {r.vec_id: r.score for r in nn.nearest(df, F.col("vec_id") == 0).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    assert set(a) == {1, 2, 3} and all(abs(a[i] - unit(rows[0][1]) @ unit(v)) < 1e-15 for i, v in rows[1:])
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [-1.0, 0.0]), (3, [0.0, 1.0]), (7, [0.0, 0.0]), (8, None), (9, [1.0, None]), (10, [float("nan"), 1.0]), (100, []), (None, [1.0, 1.0]), (12, [float("inf"), 1.0])]
     assert got(spark, rows) == exact(rows) and len(exact(rows)) == 2
