@@ -12,8 +12,9 @@ out-of-fold predictions, so a link never sees what its predecessor learned from
 
 The training sample is bounded: `bound` labelled rows, the first of each class by a hash of the id, half of them toxic
 where there are so many; rows weigh as much as their class has among all labels. Scoring covers whole texts of
-all rows. Defined results: null and empty texts have no term and score by the intercepts; labels that are null are not
-used, repeated labels of an id count once (the largest); without both classes in the sample every probability is 0.
+all rows. Defined results: null and empty texts have no term and score by the intercepts; labels other than 0 and 1 are not
+used, repeated labels of an id count once (the largest); labelled documents that repeat an id teach once, by the least of
+their texts; rows with a null id teach nothing and are scored; without both classes in the sample every probability is 0.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col
 
     Half are toxic; a class with fewer leaves the rest to the other. The ids are few enough to broadcast.
     """
-    ids = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
+    ids = (labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
            .agg(F.max(label).cast("int").alias("__y")))
     have = {r["__y"]: r.n for r in ids.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     neg, pos = have.get(0, 0), have.get(1, 0)
@@ -119,7 +120,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col
     take[0] = bound - take[1]
     first = [ids.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(take[y]).withColumn("__all", F.lit(have.get(y, 0)).cast("long")) for y in (0, 1)]
     ids = first[0].union(first[1])
-    return docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select(F.col(text_col).alias("text"), F.col("__y").alias("y"), F.xxhash64("__id").alias("h"), F.col("__all").alias("all"))
+    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
+    once = found.groupBy("__id").agg(F.min("text").alias("text"), F.max("__y").alias("y"), F.max("__all").alias("all"))
+    return once.select("text", "y", F.xxhash64("__id").alias("h"), "all")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> Chain:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaygrid.llm import toxicity as tx
@@ -44,6 +45,64 @@ def test_edges(spark):
     assert got[0] < 0.5 and got[1] == got[0] and got[2] > 0.5
 
 
+def plain_logistic(x, y, v, ridge=1.0):
+    """Gradient of the penalised likelihood vanishes at the solution."""
+    w, b = tx.logistic(x, y, ridge, weight=v)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (v * (p - y)) + ridge * w).max() < 1e-4 and abs((v * (p - y)).sum()) < 1e-3
+    return w, b
+
+
+def test_chain_against_plain_computation(spark):
+    rows, labels = corpus(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # terms: by how many toxic and other documents hold a term, once or often
+    texts, y = [t for _, t in rows], np.array([t for _, t in labels], float)
+    counts = [tx.term_counts(t)[1] for t in texts]
+    pos, neg = int(y.sum()), int((1 - y).sum())
+
+    def gain(a, b):
+        part = lambda k, n: k * np.log((k + 1e-9) / n)
+        return 2 * (part(a, pos) + part(b, neg) + part(pos - a, pos) + part(neg - b, neg) - part(a + b, pos + neg) - part(pos + neg - a - b, pos + neg)) if a * neg > b * pos else 0.0
+
+    score = {}
+    for term in {t for c in counts for t in c}:
+        held = [(sum(c[term] >= k for c, l in zip(counts, y) if l), sum(c[term] >= k for c, l in zip(counts, y) if not l)) for k in (1, tx.OFTEN)]
+        if held[0][0] and max(gain(*h) for h in held) > 0:
+            score[term] = max(gain(*h) for h in held)
+    assert list(chain.terms) == sorted(score, key=lambda t: (-round(score[t], 9), t))[: tx.TERMS]
+    # links: each is the penalised optimum on terms and out-of-fold predictions of the links before
+    x = np.array([tx.vector(t, chain.terms, chain.whole, chain.stems) for t in texts])
+    n = np.expm1(x[:, : len(chain.terms)])
+    word = np.array([t[0] == "w" for t in chain.terms])
+    fold = np.array([r.h % tx.FOLDS for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("doc_id").collect()])
+    for target, (w, b) in zip((y * (n[:, word] > 0.5).any(1), y * (n[:, ~word] > tx.OFTEN - 0.5).any(1), y), chain.links):
+        want, c = plain_logistic(x, target, np.ones(len(x)))
+        assert np.allclose(w, want, atol=1e-4) and abs(b - c) < 1e-3
+        held = np.zeros(len(x))
+        for f in set(fold):
+            v, c = plain_logistic(x[fold != f], target[fold != f], np.ones((fold != f).sum()))
+            held[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ v + c)))
+        x = np.column_stack((x, held))
+    got = docs.select("doc_id", tx.score(F.col("text"), chain).alias("s")).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        v = tx.vector(t, chain.terms, chain.whole, chain.stems)
+        for name, (w, b) in zip(tx.CATEGORIES, chain.links):
+            p = 1 / (1 + np.exp(-(v @ w + b)))
+            assert abs(r.s[name] - p) < 1e-9
+            v = np.append(v, p)
+
+
+def test_odd_labels_and_repeated_documents(spark):
+    rows, labels = corpus(100)
+    docs = spark.createDataFrame(rows + [(0, "zz")] * 50, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(3, 7), (4, -1)], "doc_id long, toxic int")
+    sample = tx.sample_of(docs, lab, "toxic", 60, "doc_id", "text").collect()
+    assert len(sample) == 60 and {r.y for r in sample} == {0, 1}
+    assert tx.fit(docs, lab).links
+
+
 def test_few_toxic_rows(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
