@@ -1,21 +1,25 @@
 """Benchmark decontamination with one FM-index per training shard.
 
-A shard is a bounded slice of documents. Its words become integers, the shard's text gets a suffix array, a
+A shard is a bounded slice of documents. All its words become integers, the shard's whole text gets a suffix array, a
 Burrows-Wheeler transform held as a wavelet matrix, and sampled suffix positions. All benchmark windows are searched
 backwards at once (rank by rank through the wavelet matrix), occurrences are located by stepping to the next sampled
-position, and their word spans are merged. Words that no window holds can be part of no occurrence: they end a run,
-and only runs as long as the shortest window are indexed.
+position, and their word spans are merged. Each document ends with a symbol of its own, so copies within a shard compare
+no further than their ends. Words that no window holds share `OTHERS` symbols, which no window asks for.
 
-Windows come in blocks of bounded size, each broadcast by itself, so a large benchmark costs more passes over a
-shard's words and not more memory. Nothing is shuffled: a shard's result depends on its own rows alone.
+Windows come in blocks, each broadcast in packed form (about 4 MB) and unpacked for one shard at a time; a block has an index of
+its own over the shard. A benchmark beyond `MOST` windows is an error: call once for each part of it, spans and items of
+parts unite. Nothing is shuffled: a shard's result depends on its own rows alone.
 
-Defined results: null and empty texts have no words; items without words or with a null id have no window; repeated
-rows are searched like any other; extra columns are not read. A document without a hit has an empty list of spans.
+Defined results: null and empty texts have no words; items without words have no window; windows of items with a null id are
+found like others, and such items are told by `unnamed` instead of an id; repeated rows are searched like any other;
+extra columns are not read. A document without a hit has an empty list of spans.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -23,24 +27,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .shared import written
+
 #: Bytes of words (digits, letters, all beyond ASCII) stay, A-Z become a-z, all others end a word.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Windows a block may hold; words of a shard; distance of sampled suffix positions.
-BLOCK, SHARD, SAMPLE = 100_000, 2_000_000, 8
+BLOCK, SHARD, SAMPLE = 100_000, 1_000_000, 8
+#: Symbols for words that no window holds; windows that may be broadcast in all.
+OTHERS, MOST = 1024, 20_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_KEEP).split()
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; only suffixes that still tie are sorted again."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    head = np.concatenate(([True], text[order][1:] != text[order][:-1])) if n else np.zeros(0, bool)
-    rank, k = np.empty(n, np.int64), 1
+def suffix_array(text: np.ndarray, bits: int = 16) -> np.ndarray:
+    """By prefix doubling from as many symbols (of so many bits) as a word holds; only suffixes that still tie are sorted again."""
+    n, k = len(text), max(1, 63 // bits)
+    first = np.zeros(n, np.int64)
+    for j in range(k):
+        first <<= bits
+        first[: max(0, n - j)] |= text[j:]
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    head = np.concatenate(([True], first[1:] != first[:-1])) if n else np.zeros(0, bool)
+    rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
     while n and not head.all():
         tied = np.flatnonzero(~head | np.concatenate((~head[1:], [False])))
@@ -62,7 +75,7 @@ class FmIndex:
     def __init__(self, text: np.ndarray, top: int, sample: int = SAMPLE):
         text = np.concatenate((text.astype(np.int64) + 1, [0]))
         self.n, self.levels = len(text), (top + 1).bit_length()
-        order = suffix_array(text)
+        order = suffix_array(text, self.levels)
         last = text[order - 1]
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.levels))))
         self.ones, self.zeros = [], []
@@ -117,44 +130,44 @@ class FmIndex:
 class Block:
     """Windows as rows of word numbers, by length, each with its items."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, windows: dict[tuple[bytes, ...], list[str | None]]):
         self.ids = {w: k for k, w in enumerate(sorted({w for p in windows for w in p}), 1)}
         by: dict[int, list] = defaultdict(list)
         for p in sorted(windows):
             by[len(p)].append(p)
         self.by = {m: (np.array([[self.ids[w] for w in p] for p in ps], np.int64), [windows[p] for p in ps]) for m, ps in by.items()}
-        self.least, self.most = min(by, default=1), max(by, default=1)
 
 
-def search_shard(words: list[list[bytes]], block: Block) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+class Packed:
+    """A block as bytes, for a broadcast."""
+
+    def __init__(self, block: Block):
+        self.data = zlib.compress(pickle.dumps(block), 1)
+
+    def unpacked(self) -> Block:
+        return pickle.loads(zlib.decompress(self.data))
+
+
+def search_shard(words: list[list[bytes]], block: Block) -> tuple[list[list[tuple[int, int]]], list[set[str | None]]]:
     """For each document of the shard: merged word spans and the items found."""
-    get = block.ids.get
-    flat = np.fromiter((get(w, 0) for ws in words for w in (*ws, b"")), np.int64, sum(map(len, words)) + len(words))
+    get, docs, known = block.ids.get, len(words), len(block.ids)
+    size = sum(map(len, words)) + docs
+    flat = np.fromiter((get(w) or known + 1 + (hash(w) & OTHERS - 1) for ws in words for w in (*ws, b"")), np.int64, size)
     ends = np.cumsum([len(ws) + 1 for ws in words])
-    inside = np.concatenate(([False], flat > 0, [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    begin, stop = edges[::2], edges[1::2]
-    long = stop - begin >= block.least
-    begin, stop = begin[long], stop[long]
+    flat += docs - 1
+    flat[ends - 1] = np.arange(docs)  # below all words
     spans: list[list[tuple[int, int]]] = [[] for _ in words]
-    items: list[set[str]] = [set() for _ in words]
-    if not len(begin):
-        return spans, items
-    sizes = stop - begin + 1  # each run and one separator after it
-    origin = np.arange(sizes.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    text = flat[origin]
-    text[np.cumsum(sizes) - 1] = 0
-    index, cover = FmIndex(text, len(block.ids)), np.zeros(len(flat) + 1, np.int64)
+    items: list[set[str | None]] = [set() for _ in words]
+    index, cover = FmIndex(flat, docs + known + OTHERS), np.zeros(size + 1, np.int64)
     for m, (patterns, owners) in block.by.items():
-        lo, hi = index.search(patterns)
+        lo, hi = index.search(patterns + docs - 1)
         hits = np.flatnonzero(hi > lo)
         if not len(hits):
             continue
         counts = (hi - lo)[hits]
         rows = np.arange(counts.sum()) + np.repeat(lo[hits] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-        start = origin[index.locate(rows)]
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + m, -1)
+        start = index.locate(rows)
+        cover += np.bincount(start, minlength=size + 1) - np.bincount(start + m, minlength=size + 1)
         doc = np.searchsorted(ends, start, side="right")
         for key in np.unique(doc * len(patterns) + np.repeat(hits, counts)).tolist():
             items[key // len(patterns)].update(owners[key % len(patterns)])
@@ -177,14 +190,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search_texts(texts: list[str | None], blocks: list, shard: int = SHARD) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """(words, spans, items) of each text; `blocks` are broadcast variables. Texts beyond a shard are cut with overlap."""
+def search_texts(texts: list[str | None], blocks: list, shard: int = SHARD) -> list[tuple[int, list[tuple[int, int]], list[str], bool]]:
+    """(words, spans, items, unnamed) of each text; `blocks` are broadcast variables. Texts beyond a shard are cut with overlap."""
+    only = blocks[0].value.unpacked() if len(blocks) == 1 else None
     result: list[list] = [[0, [], set()] for _ in texts]
     part: list[tuple[int, int, list[bytes]]] = []
 
     def flush():
         for b in blocks:
-            for (d, at, _), s, i in zip(part, *search_shard([w for _, _, w in part], b.value)):
+            for (d, at, _), s, i in zip(part, *search_shard([w for _, _, w in part], only or b.value.unpacked())):
                 result[d][1] += [(x + at, y + at) for x, y in s]
                 result[d][2] |= i
         part.clear()
@@ -201,7 +215,7 @@ def search_texts(texts: list[str | None], blocks: list, shard: int = SHARD) -> l
                 size = 0
     if part:
         flush()
-    return [(n, merged(s), sorted(i)) for n, s, i in result]
+    return [(n, merged(s), sorted(i - {None}), None in i) for n, s, i in result]
 
 
 def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -215,34 +229,37 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
             out.append([w[k : k + size] for k in range(max(1, len(w) - size + 1))] if w else [])
         return pa.array(out, pa.list_(pa.list_(pa.binary())))
 
-    return benchmark.where(F.col(item_col).isNotNull()).select(
+    return benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.explode(cut(F.col(text_col))).alias("window"))
 
 
 def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> list:
-    """Broadcast blocks of about `block` windows each; the driver holds one at a time."""
-    found = windows(benchmark, item_col, text_col)
-    n = -(-found.count() // block)
+    """Broadcast blocks of about `block` windows each; the driver holds one unpacked at a time."""
+    found = written(windows(benchmark, item_col, text_col).distinct())
+    total = found.count()
+    if total > MOST:
+        raise ValueError(f"{total} windows are too many to broadcast; call once for each part of the benchmark")
+    n = -(-total // block)
     out = []
     for k in range(n):
-        by: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-        for item, window in found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).distinct().collect():
+        by: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
+        for item, window in found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).collect():
             by[tuple(map(bytes, window))].append(item)
         if by:
-            out.append(benchmark.sparkSession.sparkContext.broadcast(Block(by)))
+            out.append(benchmark.sparkSession.sparkContext.broadcast(Packed(Block(by))))
     return out
 
 
-RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("unnamed", pa.bool_())])
 
 
 def contamination(text: Column, blocks: list) -> Column:
-    """struct<n_words, spans: array<struct<start, end>> in words, items: sorted array<string>> of each text."""
+    """struct<n_words, spans: array<struct<start, end>> in words, items: sorted array<string>, unnamed: boolean> of each text."""
 
-    @arrow_udf("struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>")
+    @arrow_udf("struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>,unnamed:boolean>")
     def of(texts: pa.Array) -> pa.Array:
         found = search_texts(texts.to_pylist(), blocks)
-        return pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in found], RESULT)
+        return pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i, "unnamed": u} for n, s, i, u in found], RESULT)
 
     return of(text)
 
@@ -264,7 +281,7 @@ def clean(text: Column, blocks: list) -> Column:
         out, open_ = texts.to_pylist(), list(range(len(texts)))
         while open_:
             found = search_texts([out[d] for d in open_], blocks)
-            open_ = [(d, s) for d, (_, s, _) in zip(open_, found) if s]
+            open_ = [(d, s) for d, (_, s, *_) in zip(open_, found) if s]
             for d, s in open_:
                 out[d] = remove_spans(out[d], s)
             open_ = [d for d, _ in open_]

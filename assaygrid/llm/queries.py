@@ -34,7 +34,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     blocks = decontaminate.blocks_of(table(spark, sf_dir, "benchmark"))
     found = table(spark, sf_dir, "documents").select("doc_id", decontaminate.contamination(F.col("text"), blocks).alias("c"))
     hit = F.aggregate("c.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "c.n_words", hit.alias("n_hit"), F.size("c.items").cast("long").alias("n_items"),
+    return found.select("doc_id", "c.n_words", hit.alias("n_hit"), (F.size("c.items") + F.col("c.unnamed").cast("int")).cast("long").alias("n_items"),
                         F.sha2(F.array_join("c.items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assaygrid.llm import decontaminate as dc
@@ -19,12 +20,12 @@ def brute(docs, items):
         w, hit, got = words(t), set(), set()
         for i, bt in items:
             b = words(bt)
-            for p in [b[k : k + 10] for k in range(max(1, len(b) - 9))] if b and i is not None else []:
+            for p in [b[k : k + 10] for k in range(max(1, len(b) - 9))] if b else []:
                 for k in range(len(w) - len(p) + 1):
                     if w[k : k + len(p)] == p:
                         hit |= set(range(k, k + len(p)))
-                        got.add(str(i))
-        out[d] = (len(w), len(hit), sorted(got))
+                        got.add(i)
+        out[d] = (len(w), len(hit), sorted(str(i) for i in got if i is not None), None in got)
     return out
 
 
@@ -58,7 +59,7 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1000, 20):
         blocks = dc.blocks_of(bench, block=block)
-        got = {r.doc_id: (r.c.n_words, sum(s.end - s.start for s in r.c.spans), r.c["items"]) for r in df.select("doc_id", dc.contamination("text", blocks).alias("c")).collect()}
+        got = {r.doc_id: (r.c.n_words, sum(s.end - s.start for s in r.c.spans), r.c["items"], r.c.unnamed) for r in df.select("doc_id", dc.contamination("text", blocks).alias("c")).collect()}
         assert got == want
         cleaned = df.select("doc_id", dc.clean("text", blocks).alias("text")).collect()
         assert all(x[1] == 0 for x in brute([(r.doc_id, r.text) for r in cleaned], items).values())
@@ -73,8 +74,22 @@ def test_cut_shards():
     by = {}
     for i, t in items:
         b = [w.encode() for w in words(t)]
-        for p in [b[k : k + 10] for k in range(max(1, len(b) - 9))] if b and i is not None else []:
-            by.setdefault(tuple(p), []).append(str(i))
-    held = type("B", (), {"value": dc.Block(by)})
-    got = dc.search_texts([t for _, t in docs], [held], shard=17)
-    assert [(n, sum(b - a for a, b in s), i) for n, s, i in got] == [brute(docs, items)[d] for d, _ in docs]
+        for p in [b[k : k + 10] for k in range(max(1, len(b) - 9))] if b else []:
+            by.setdefault(tuple(p), []).append(None if i is None else str(i))
+    held = type("B", (), {"value": dc.Packed(dc.Block(by))})
+    for blocks in ([held], [held, held]):
+        got = dc.search_texts([t for _, t in docs], blocks, shard=17)
+        assert [(n, sum(b - a for a, b in s), i, u) for n, s, i, u in got] == [brute(docs, items)[d] for d, _ in docs]
+
+
+def test_whole_shards_are_indexed(monkeypatch):
+    seen, of = [], dc.FmIndex
+    monkeypatch.setattr(dc, "FmIndex", lambda text, top: seen.append(len(text)) or of(text, top))
+    dc.search_shard([[b"x", b"y"], [], [b"z"] * 5], dc.Block({(b"x",): ["1"]}))
+    assert seen == [2 + 0 + 5 + 3]  # all words, and an end for each document
+
+
+def test_too_large_a_benchmark_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(dc, "MOST", 2)
+    with pytest.raises(ValueError):
+        dc.blocks_of(spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e")], "item_id long, text string"))
