@@ -42,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     p = docs.select("doc_id", toxicity.score(F.col("text"), chain).alias("p"))
-    return p.select("doc_id", *(F.col(f"p.{c}").alias(f"p_{c}") for c in toxicity.CATEGORIES), (F.col("p.toxic") >= toxicity.THRESHOLD).alias("rejected"))
+    return p.select("doc_id", (F.col("p.toxic") >= toxicity.THRESHOLD).alias("rejected"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in reversed(toxicity.CATEGORIES)))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,13 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold("doc_id", 5)
     found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"), fold != 0)
-    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 4)
     trees = spark.sparkContext.broadcast(language.learn(docs.where(fold != 2)))
-    found = docs.select("doc_id", (fold == 2).alias("held_out"), language.identify(F.col("text"), trees).alias("p"))
+    found = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), language.identify(F.col("text"), trees).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
