@@ -1,25 +1,28 @@
 """Secret scan with a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived: what every match must hold. The index
-keeps, for each trigram that a query names, the rows whose lower-cased text holds it (postings). Postings are
-gathered by row, the queries decide from them which rows can match which rule, and only those are scanned by the expression.
-A rule without a mandatory trigram scans every row.
+keeps, for each trigram that a query names, the rows whose lower-cased text holds it (postings), found in one pass over a text.
+Postings are gathered by row, the queries decide from them which rows can match which rule, and only those are scanned by
+the expression. A rule without a mandatory trigram scans every row. Candidates are few and are broadcast behind a count.
 
 Matches are cut out natively: the text between matches comes from splitting at the expression, the matches from
 extracting it, and places follow from their lengths in code points.
 
-Defined results: null and empty texts have no span; the index is by id, so rows that share an id (or have a null
-id) are candidates together and each is scanned on its own text; spans of a kind do not overlap, those of different
-kinds may. Other columns are not read.
+Defined results: null and empty texts have no span; the index is by id, so rows that share an id are candidates together and
+each is scanned on its own text; rows with a null id are not indexed but scanned by all rules; spans of a kind do not overlap,
+those of different kinds may. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import cut
+
 try:
     from re import _constants as sre, _parser as parser
 except ImportError:  # older Python
@@ -51,6 +54,8 @@ RULES = (
 
 #: Most strings that a part of an expression is spelled out to.
 SPELLED = 64
+#: Candidates that may be broadcast, about 100 bytes each; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 Query = frozenset  # of alternatives, each a frozenset of trigrams that must all be there; the empty alternative says nothing
 
 
@@ -111,9 +116,21 @@ def trigram_query(regex: str) -> Query:
 def postings(docs: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index: (trigram, id), for trigrams that some rule's query names."""
     grams = sorted({g for r in rules for alt in trigram_query(r.regex) for g in alt})
-    held = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low")).select(
-        "id", F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams))).alias("grams"))
-    return held.select(F.explode("grams").alias("trigram"), "id")
+    if not grams:
+        return docs.select(F.lit("").alias("trigram"), F.col(id_col).alias("id")).where("false")
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(one_of(grams)), F.lit(1)))
+    return docs.where(F.col(id_col).isNotNull()).select(F.explode(held).alias("trigram"), F.col(id_col).alias("id"))
+
+
+def one_of(grams: list[str]) -> str:
+    """An expression that captures, at every place, the trigram that begins there: branches by first and second letter."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in grams:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    some = lambda letters: "[" + "".join(sorted(re.sub(r"([^\w])", r"\\\1", x) for x in letters)) + "]"
+    one = lambda x: some([x])
+    ends = {a: "|".join(one(b) + some(cs) for b, cs in sorted(by.items())) for a, by in tree.items()}
+    return f"(?={some(tree)})(?=(" + "|".join(f"{one(a)}(?:{ends[a]})" for a in sorted(tree)) + "))"
 
 
 def candidates(index: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
@@ -142,24 +159,37 @@ def _found(text: Column, rule: Rule) -> Column:
     long = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
     between = F.split(text, rule.regex, -1)
     rank = [r.kind for r in RULES].index(rule.kind) if rule in RULES else len(RULES)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>").alias("out"))
-    steps = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), hits.alias("hit"), long.alias("group"))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is computed once
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    measured = F.struct(F.transform(F.slice(between, F.lit(1), F.size(hits)), lambda x: F.length(x)).alias("gaps"), F.transform(hits, lambda x: F.length(x)).alias("hits"), F.transform(long, lambda x: F.length(x)).alias("groups"))
+
+    def placed(m):
+        """Starts are sums of all lengths before; sums of blocks of about the root of their number keep that short."""
+        sizes = F.zip_with(m["gaps"], m["hits"], lambda g, h: g + h)
+        block = F.ceil(F.sqrt(F.size(m["hits"]))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m["hits"]) - 1) / block).cast("int")), lambda b: total(F.slice(sizes, b * block + 1, block)))
+        done = lambda i: F.floor(i / block).cast("int")
+        sums = F.struct(sizes.alias("sizes"), blocks.alias("blocks"))
+
+        def spans(s):
+            start = lambda i: total(F.slice(s["blocks"], F.lit(1), done(i))) + total(F.slice(s["sizes"], done(i) * block + 1, i - done(i) * block)) + F.get(m["gaps"], i)
+            span = lambda g, i: F.struct(start(i).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start(i) + F.get(m["hits"], i)).alias("end"), g.alias("long"))
+            kept = F.filter(F.transform(m["groups"], span), lambda x: x["long"] >= rule.least)
+            return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["group"]) >= rule.least, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+        return once(sums, spans)
 
-    return F.aggregate(steps, state, step, lambda s: s["out"])
+    return F.when(F.rlike(text, F.lit(rule.regex)), once(measured, placed))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, spans): every row with its secrets, ordered by start and rule."""
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    can = candidates(postings(docs, rules, id_col, text_col), rules).withColumnRenamed("id", "__id")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(can, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    found = [F.when(F.array_contains("kinds", r.kind) if trigram_query(r.regex) else F.col("text").isNotNull(), _found(F.col("text"), r)).otherwise(none) for r in rules]
+    can = cut(candidates(postings(docs, rules, id_col, text_col), rules).withColumnRenamed("id", "__id"))
+    can = F.broadcast(can) if can.count() <= BROADCAST_ROWS else can
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(can, F.col(id_col) == F.col("__id"), "left")
+    may = lambda r: F.array_contains("kinds", r.kind) | F.col(id_col).isNull() if trigram_query(r.regex) else F.col("text").isNotNull()
+    found = [F.when(may(r), _found(F.col("text"), r)).otherwise(none) for r in rules]
     spans = F.array_sort(F.concat(*(F.coalesce(f, none) for f in found)))
     return rows.select(F.col(id_col), "text", spans.alias("spans"))
 
