@@ -57,12 +57,29 @@ def _(s, d):
     return growth.subtract_blanks(g, g.select("study", "plate", "well", "row", "col", "grp").distinct()).select("study", "plate", "well", "t_index", "od", "blanked")
 
 
-@query("W03_loess")
+def _line(weight):
+    """Weighted straight lines through (j, y) of `near`, read at i, for each curve and i."""
+    s = f"SELECT {KEY}, i, sum({weight}) AS sw, sum({weight} * j) AS sx, sum({weight} * y) AS sy, sum({weight} * j * j) AS sxx, sum({weight} * j * y) AS sxy FROM near GROUP BY {KEY}, i"
+    return f"SELECT {KEY}, i, CASE WHEN abs(sw * sxx - sx * sx) < 1e-12 THEN sy / sw ELSE (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw + (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * i END AS fit FROM ({s})"
+
+
+LOESS = f""", y AS (SELECT {KEY}, t_index AS j, od AS y, count(*) OVER (PARTITION BY {KEY}) AS n FROM growth),
+p AS (SELECT a.study, a.plate, a.well, a.j AS i, a.n, b.j, b.y, abs(a.j - b.j) AS d, row_number() OVER (PARTITION BY a.study, a.plate, a.well, a.j ORDER BY abs(a.j - b.j), b.j) AS k FROM y a JOIN y b ON a.study = b.study AND a.plate = b.plate AND a.well = b.well),
+q AS (SELECT *, max(d) OVER (PARTITION BY {KEY}, i) AS h FROM p WHERE k <= greatest(2, ceil(n * 0.2::DOUBLE))), near0 AS (SELECT *, CASE WHEN h = 0 THEN 1.0::DOUBLE ELSE pow(1 - pow(d / (h * 1.0000001::DOUBLE), 3), 3) END AS tri FROM q),
+f1 AS ({_line("tri").replace("FROM near ", "FROM near0 ")}), r AS (SELECT y.*, abs(y.y - fit) AS r FROM y JOIN f1 ON f1.study = y.study AND f1.plate = y.plate AND f1.well = y.well AND f1.i = y.j), s AS (SELECT {KEY}, median(r) AS s FROM r GROUP BY {KEY}),
+b AS (SELECT r.study, r.plate, r.well, r.j, CASE WHEN s = 0 THEN 1.0::DOUBLE WHEN r.r / (6 * s) >= 1 THEN 1e-9 ELSE pow(1 - pow(r.r / (6 * s), 2), 2) END AS b FROM r JOIN s ON s.study = r.study AND s.plate = r.plate AND s.well = r.well),
+near AS (SELECT n.*, tri * b AS w FROM near0 n JOIN b ON b.study = n.study AND b.plate = n.plate AND b.well = n.well AND b.j = n.j), f2 AS ({_line("w")}) """
+
+
+@query("W03_loess", G + LOESS + f"SELECT {KEY}, i AS t_index, round(fit, 6) AS od FROM f2")
 def _(s, d):
     return growth.loess(st.growth(s, d)).select("study", "plate", "well", "t_index", "od")
 
 
-@query("W04_growth_rate")
+@query("W04_growth_rate", G + f""", l AS (SELECT *, t_sec / 3600.0::DOUBLE AS h, ln(od) AS l FROM growth WHERE t_index >= 18 AND od > 0),
+f AS (SELECT {KEY}, h, regr_slope(l, h) OVER w AS mu, count(*) OVER w AS k, min(h) OVER w AS s FROM l WINDOW w AS (PARTITION BY {KEY} ORDER BY t_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY mu DESC, h) AS r FROM f WHERE k = 5)
+SELECT w.study, w.plate, w.well, round(s, 6) AS start, round(h, 6) AS "end", round(coalesce(mu, 0), 6) AS mu FROM (SELECT DISTINCT {KEY} FROM growth) w LEFT JOIN b ON b.study = w.study AND b.plate = w.plate AND b.well = w.well AND r = 1""")
 def _(s, d):
     return growth.growth_rate(st.growth(s, d))
 
