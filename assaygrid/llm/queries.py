@@ -51,18 +51,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH rows AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM rows),
-words AS (SELECT doc_id, k, line, list_filter(regexp_split_to_array(lower(line), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM lines),
-sets AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words WHERE len(w) >= 5),
-posts AS (SELECT doc_id, k, len(s) AS n, unnest(s) AS t FROM sets),
-hits AS (SELECT DISTINCT a.doc_id, a.k FROM posts a JOIN posts b ON a.t = b.t AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k)
-  GROUP BY a.doc_id, a.k, b.doc_id, b.k, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
-kept AS (SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.k) AS text FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.k = w.k
-  WHERE h.k IS NULL GROUP BY w.doc_id)
+WITH rows AS (SELECT DISTINCT doc_id, substr(md5(text), 1, 15) AS rk, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+lines AS (SELECT doc_id, rk, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM rows),
+words AS (SELECT doc_id, rk, k, line, list_filter(regexp_split_to_array(lower(line), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM lines),
+sets AS (SELECT doc_id, rk, k, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+  ELSE [array_to_string(w, ' ')] END AS s FROM words WHERE len(w) > 0),
+posts AS (SELECT doc_id, rk, k, len(s) AS n, unnest(s) AS t FROM sets),
+hits AS (SELECT DISTINCT a.doc_id, a.rk, a.k FROM posts a JOIN posts b ON a.t = b.t
+  AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.rk < a.rk OR b.doc_id = a.doc_id AND b.rk = a.rk AND b.k < a.k)
+  GROUP BY a.doc_id, a.rk, a.k, b.doc_id, b.rk, b.k, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+kept AS (SELECT w.doc_id, w.rk, string_agg(w.line, chr(10) ORDER BY w.k) AS text FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.rk = w.rk AND h.k = w.k
+  WHERE h.k IS NULL GROUP BY w.doc_id, w.rk)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN CAST(-1 AS BIGINT) ELSE CAST(len(string_split(d.text, chr(10))) AS BIGINT) END AS n_lines,
   CASE WHEN d.doc_id IS NULL OR d.text IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id AND k.rk = substr(md5(d.text), 1, 15)
 """
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -7,13 +8,16 @@ from assaygrid.llm import line_dedup as ld
 
 
 def brute(rows):
-    lines = []
+    lines = set()
     for d, t in rows:
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+        rk = hashlib.md5((t or "").encode()).hexdigest()[:15]
+        for k, line in enumerate(t.split("\n") if t is not None and d is not None else []):
             w = [x for x in re.split("[ \t-\r]+", line.lower()) if x]
-            lines.append((d, k, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
-    gone = {(d, k) for d, k, s in lines for e, j, o in lines if s and d is not None and e is not None and (e, j) < (d, k) and len(s & o) / len(s | o) >= 0.8}
-    return sorted(((d, "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) if t is not None else None) for d, t in rows), key=str)
+            tokens = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+            lines.add((d, rk, k, tokens))
+    gone = {(d, r, k) for d, r, k, s in lines for e, q, j, o in lines if s and (e, q, j) < (d, r, k) and len(s & o) / len(s | o) >= 0.8}
+    kept = lambda d, t: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, hashlib.md5(t.encode()).hexdigest()[:15], k) not in gone)
+    return sorted(((d, kept(d, t) if t is not None else None) for d, t in rows), key=str)
 
 
 def corpus(n=70, seed=1):
@@ -42,8 +46,8 @@ def run(spark, rows):
 def test_against_brute_force(spark, monkeypatch):
     rows = corpus() + [(500, None), (501, ""), (502, "\n\n"), (None, corpus()[0][1]), (503, " ".join(["long"] * 3000)), (504, "a b c d e\na b c d e")]
     assert run(spark, rows) == brute(rows)
-    monkeypatch.setattr(ld, "BUCKETS", 16)
-    monkeypatch.setattr(ld, "FULL", 1)
+    monkeypatch.setattr(ld, "FEW", 2)  # families of near copies, common tokens
+    assert run(spark, rows) == brute(rows)
     monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)
     assert run(spark, rows) == brute(rows)
 
@@ -52,3 +56,13 @@ def test_repeated_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f\nx")]
     assert run(spark, rows) == [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x")]
     assert run(spark, rows[:0]) == []
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(0, "p q r s t u v"), (1, "p q r s t u v\nother words here"), (1, "totally different first line of this row\nkeep")]
+    assert run(spark, rows) == [(0, "p q r s t u v"), (1, "other words here"), (1, "totally different first line of this row\nkeep")] == brute(rows)
+
+
+def test_short_lines_match_as_a_whole(spark):
+    rows = [(1, "Accept all cookies\n\n  "), (2, "one\nACCEPT  all cookies\n\n"), (3, "one two\naccept all"), (4, "one two three four five")]
+    assert run(spark, rows) == [(1, "Accept all cookies\n\n  "), (2, "one\n\n"), (3, "one two\naccept all"), (4, "one two three four five")] == brute(rows)
