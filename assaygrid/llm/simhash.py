@@ -77,6 +77,7 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     half, bit = F.lit(HALF), F.col("bit")
     mask = F.lit((1 << HALF) - 1).cast("long")
     side = F.when(bit < HALF, F.col("fp").bitwiseAND(mask)).otherwise(F.call_function("shiftrightunsigned", F.col("fp"), half))
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few rows become 64 times as many
     keyed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
         "fp", (_without(side, bit % HALF) * 64 + bit).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
