@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, language, line_dedup, neighbours, quality, secrets, simhash, toxicity
+from . import bpe, chat, decontaminate, language, lexical, line_dedup, merkle, neighbours, packing, quality, secrets, simhash, toxicity
 from .shared import crc_fold, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
@@ -112,5 +114,65 @@ FROM t JOIN k ON k.conv_id = t.conv_id GROUP BY t.conv_id, t.turn // 256
 """
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op6_quality": op6_quality, "op7_language_id": op7_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup}
-ORACLE: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_line_dedup": OP8_SQL}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(ws)) AS t FROM (SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
+c AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+p AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(ws) AS n, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY row, doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t),
+s AS (SELECT i.item_id, p.row, p.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * n * n_docs) // n_terms AS BIGINT))))) AS BIGINT) AS score
+  FROM i JOIN p ON p.t = i.t JOIN w ON w.t = i.t, c GROUP BY i.item_id, p.row, p.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    own, folded = (merkle.digest(*(F.col(c) for c in names[:-1]), t) for t in (F.col("text"), F.translate("text", string.ascii_uppercase, string.ascii_lowercase)))
+    leaves, segments, root = merkle.manifest(docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("key"), own.alias("leaf"), F.when(crc_fold("doc_id", 3) == 0, folded).alias("changed")))
+    return merkle.prove(leaves, segments, root).withColumnRenamed("key", "doc_id")
+
+
+def _op12_sql(levels: int = 7, above: int = 3) -> str:
+    """Unrolled for 8 ** levels leaves a tree and 8 ** above trees."""
+    entry = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(entry(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = [f"d AS (SELECT doc_id, coalesce('+' || lang, '') AS tree, sha256({head} || {entry('text')}) AS leaf, sha256({head} || {entry(lower)}) AS low FROM documents)",
+           "g0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, doc_id, low FROM d)",
+           "bytes AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)",
+           "s0 AS (SELECT g0.*, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)) AS c FROM g0, bytes)",
+           "f0 AS (SELECT doc_id, tree, i AS i0, h AS leaf, CASE WHEN xor(c, 4294967295) % 3 = 0 THEN low ELSE h END AS f, '' AS proof FROM s0)"]
+
+    def climb(g: str, f: str, k: int) -> None:
+        sql.append(f"r{g}{k} AS (SELECT tree, i // 8 AS i, list(h ORDER BY i) AS hs, any_value(n) AS n FROM (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {g}{k}) GROUP BY tree, i // 8)")
+        sql.append(f"{g}{k + 1} AS (SELECT tree, i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM r{g}{k})")
+        at = f"CAST((x.i0 // {8**k}) % 8 AS BIGINT)"
+        before, after = f"array_to_string(hs[1:{at}], '')", f"array_to_string(hs[{at} + 2:8], '')"
+        keep = ", subroot" if f == "t" else ""
+        sql.append(f"{f}{k + 1} AS (SELECT doc_id, x.tree, i0, leaf{keep}, CASE WHEN n = 1 THEN f ELSE sha256({before} || f || {after}) END AS f, CASE WHEN n = 1 THEN proof ELSE proof || {before} || {after} END AS proof "
+                   f"FROM {f}{k} x JOIN r{g}{k} r ON r.tree = x.tree AND r.i = x.i0 // {8 ** (k + 1)})")
+
+    for k in range(levels):
+        climb("g", "f", k)
+    sql.append(f"u0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, tree AS own FROM g{levels})")
+    sql.append(f"t0 AS (SELECT doc_id, '' AS tree, u0.i AS i0, leaf, h AS subroot, f, proof FROM f{levels} x JOIN u0 ON u0.own = x.tree)")
+    for k in range(above):
+        climb("u", "t", k)
+    return "WITH " + ",\n".join(sql) + f"\nSELECT doc_id, leaf, subroot, (SELECT h FROM u{above}) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM u{above}) AS verified FROM t{above}"
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_chat_format": op4_chat_format, "op6_quality": op6_quality, "op7_language_id": op7_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_secret_scan": op3_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_toxicity": op10_toxicity, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op1_bpe_round_trip": op1_bpe_round_trip, "op5_simhash_near_dedup": op5_simhash_near_dedup,
+           "op11_ranked_search": op11_ranked_search, "op12_merkle_manifest": op12_merkle_manifest, "op13_best_fit_packing": op13_best_fit_packing}
+ORACLE: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_line_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
