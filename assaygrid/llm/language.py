@@ -9,7 +9,7 @@ length wins; the score is its share of the languages' likelihoods.
 Trees are learned from a bounded sample: `bound` documents a language, picked by a hash of the id. A byte's cost depends on
 four bytes only, so a task charges each different four bytes once and sums over positions. Scoring covers whole texts.
 
-Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts
+Defined results: null texts and texts without a letter (Unicode categories L*; numerals and marks are none) are `und` with score 0; ties go to the language that sorts
 first; with no training rows all are `und`; rows with a null language or text teach nothing, nor, in the op7 query, do rows with
 a null id, which are scored and not held out. Rows that repeat both id and text are sampled together. More than `LANGUAGES` different
 languages are an error, as trees are broadcast: the bound on the sample and this one bound their size.
@@ -17,15 +17,14 @@ languages are an error, as trees are broadcast: the bound on the sample and this
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 ORDER, BOUND, CHUNK, LANGUAGES = 3, 1200, 1 << 21, 500
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -44,10 +44,12 @@ def test_held_out(spark):
     parts = {"en": ["th", "ing", "er", "on"], "fr": ["eau", "é", "ou", "tion"], "de": ["sch", "ü", "ung", "ein"]}
     rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(rng.choice([3, 50]))), g) for i in range(300) for g in [rng.choice(list(parts))]]
     rows += [(900, None, "en"), (901, "123 --", "en"), (902, "", None), (None, "thinger", "en"), (903, "schung " * 40_000, None)]
+    rows += [(910 + k, t, "en") for k, t in enumerate(["² ½ ³", "①", "Ⅷ", "\u0301", "12 ४५"])] + [(920, "ª", None), (921, "ж", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
     for bound in (1200, 40):
         trees = spark.sparkContext.broadcast(lg.learn(docs.where("doc_id % 3 != 0"), bound))
         got = {r.doc_id: r.p for r in docs.select("doc_id", lg.identify(F.col("text"), trees).alias("p")).collect()}
         assert [got[k].lang for k in (900, 901, 902, 903)] == ["und", "und", "und", "de"]
+        assert {got[k] for k in range(910, 915)} == {("und", 0.0)} and "und" not in (got[920].lang, got[921].lang)
         assert sum(got[i].lang == g for i, _, g in rows[:300] if i % 3 == 0) >= 98
     assert lg.learn(docs.where("false")) == {}
