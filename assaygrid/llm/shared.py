@@ -34,6 +34,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+#: Rows that may be broadcast, under 150 MB as a hash table; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

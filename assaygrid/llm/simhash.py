@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import cut
+from .shared import cut, small, written
 
 HALF = 32
 #: A bucket with more distinct fingerprints than this takes the finer keys.
@@ -143,5 +143,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     go together.
     """
     found = near_duplicates(docs, id_col, text_col, words)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct(), id_col)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in `gone` (id), which is broadcast if it has few rows; rows are held in a struct, so no name clashes."""
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(small(written(gone)), F.col(f"row.`{id_col}`") == F.col("id"), "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

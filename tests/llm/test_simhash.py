@@ -67,4 +67,6 @@ def test_empty_and_repeated(spark):
     assert simhash.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (9, "a b c d e"), (None, "zz yy xx ww"), (3, None)], "doc_id long, text string")
     assert sorted(r.component_id or -1 for r in simhash.near_duplicates(df).collect()) == [-1, 3, 7, 7, 7]
-    assert sorted((r.doc_id or -1) for r in simhash.keep_one(df).collect()) == [-1, 3, 7, 7]
+    clashing = df.withColumn("__gone", F.lit(7)).withColumn("id", F.lit(7)).withColumn("row", F.lit(7)).withColumn("component_id", F.lit(7))
+    kept = simhash.keep_one(clashing)
+    assert kept.columns == clashing.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7, 7]
