@@ -84,14 +84,16 @@ def _needed(n: str) -> Column:
     return F.expr(f"(4 * {n} + 4) div 5").cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """For broadcast if its rows are few; with a column of lists, what these hold is counted, too."""
+    size = df.agg(F.count("*") + F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0] if lists else df.count()
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rk, line, c, d, n, prefix) of each line with a word; sets under four tokens match equal ones only and post nothing."""
-    lines = _rows(docs, id_col, text_col).select("id", row_key(F.col("text")).alias("rk"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    rows = _rows(docs, id_col, text_col).select("id", row_key(F.col("text")).alias("rk"), F.split("text", "\n").alias("lines"))  # beside the generator they would be computed for each line
+    lines = rows.select("id", "rk", F.posexplode("lines").alias("line", "s"))
     n = F.size("tokens")
     return _tokenised(lines, *PLACE).select(*PLACE, *_class(), n.alias("n"), F.when(n > 3, F.slice("tokens", 1, n - _needed("size(tokens)") + 1)).alias("prefix"))
 
@@ -158,8 +160,8 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     Only rows that stand more than once give a class more than once; those are told apart by counting and reduced.
     """
     at = written(wanted.groupBy(F.col("first.id").alias("__id"), F.col("first.rk").alias("__rk")).agg(F.collect_list(F.struct("c", "d", "first")).alias("at")))
-    rows = _rows(docs, id_col, text_col).join(_small(at), (F.col("id") == F.col("__id")) & _is_row(F.col("text"), F.col("__rk")))
-    lines = rows.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.*", F.get("lines", F.col("at.first.line")).alias("s"))
+    rows = _rows(docs, id_col, text_col).join(_small(at, "at"), (F.col("id") == F.col("__id")) & _is_row(F.col("text"), F.col("__rk")))
+    lines = rows.select(F.split("text", "\n").alias("lines"), "at").select("lines", F.explode("at").alias("at")).select("at.*", F.get("lines", F.col("at.first.line")).alias("s"))
     sets = written(_tokenised(lines, "c", "d", "first").select("c", "d", "first", F.size("tokens").alias("n"), "tokens"))
     again = written(sets.groupBy("c", "d").agg(F.count("*").alias("k")).where("k > 1").select("c", "d"))
     if again.isEmpty():
@@ -234,6 +236,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gone = written(removed_lines(docs, id_col, text_col).groupBy(F.col("id"), F.col("rk")).agg(F.collect_set("line").alias("gone")))
     rows = docs.select(F.struct("*").alias("row"))  # so that no name clashes
     text = F.col(f"row.`{text_col}`")
-    joined = rows.join(_small(gone), (F.col(f"row.`{id_col}`") == F.col("id")) & _is_row(text, F.col("rk")), "left")
+    joined = rows.join(_small(gone, "gone"), (F.col(f"row.`{id_col}`") == F.col("id")) & _is_row(text, F.col("rk")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(*((F.when(F.col("gone").isNull(), text).otherwise(kept) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
