@@ -72,12 +72,13 @@ def to_millimolar(value: Column, unit: Column, weight: Column) -> Column:
 
 
 def percent_volume(percent: Column, total: Column, stock_percent: Column) -> Column:
-    return F.when(percent == 0, 0.0).otherwise(percent * total / stock_percent)
+    """Null for a stock of nothing."""
+    return F.when(percent == 0, 0.0).otherwise(percent * total / F.nullif(stock_percent, F.lit(0)))
 
 
 def dilution_volume(stock: Column, final: Column, total: Column) -> Column:
-    """C1 V1 = C2 V2; nothing wanted, nothing taken."""
-    return F.when(final == 0, 0.0).otherwise(final * total / stock)
+    """C1 V1 = C2 V2; nothing wanted, nothing taken; null for a stock of nothing."""
+    return F.when(final == 0, 0.0).otherwise(final * total / F.nullif(stock, F.lit(0)))
 
 
 def volume_balance(total: Column, preculture: Column, additions: list[Column]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.functions.scalars import euclid
+from assaygrid.operators.stats import _beside
 
 KEY = ("study", "plate", "well")
 CONTROL = "Media control"
@@ -52,12 +53,12 @@ def mean_curves(curves: DataFrame) -> DataFrame:
 
 
 def mad_outliers(feats: DataFrame, limit: float = 3.0) -> DataFrame:
-    """Flags wells whose log AUC, last value or total variation lies beyond limit * MAD + 1e-6 of the group's median."""
-    grp, of, feats = ["study", "plate", "grp"], ("log_auc", "last_od", "tv"), feats.withColumn("log_auc", F.log(F.col("auc")))
+    """Flags wells whose log AUC, last value or total variation lies beyond limit * MAD + 1e-6 of the group's median; wells without a group are one."""
+    grp, of, feats = ("study", "plate", "grp"), ("log_auc", "last_od", "tv"), feats.withColumn("log_auc", F.log(F.col("auc")))
     mid = feats.groupBy(*grp).agg(*(F.median(c).alias(f"{c}_mid") for c in of))
-    dev = feats.join(mid, grp).withColumns({f"{c}_dev": F.abs(F.col(c) - F.col(f"{c}_mid")) for c in of})
+    dev = _beside(feats, mid, grp).withColumns({f"{c}_dev": F.abs(F.col(c) - F.col(f"{c}_mid")) for c in of})
     mad = dev.groupBy(*grp).agg(*(F.median(f"{c}_dev").alias(f"{c}_mad") for c in of))
-    out = dev.join(mad, grp).withColumns({f"{c}_out": F.coalesce(F.col(f"{c}_dev") > limit * F.col(f"{c}_mad") + 1e-6, F.lit(False)) for c in of})
+    out = _beside(dev, mad, grp).withColumns({f"{c}_out": F.coalesce(F.col(f"{c}_dev") > limit * F.col(f"{c}_mad") + 1e-6, F.lit(False)) for c in of})
     out = out.withColumn("outlier", F.col("log_auc_out") | F.col("last_od_out") | F.col("tv_out"))
     return out.drop(*(f"{c}_{k}" for c in of for k in ("mid", "dev", "mad")))
 
@@ -109,8 +110,11 @@ def _local_line(pairs: DataFrame) -> DataFrame:
 
 
 def loess(curves: DataFrame, frac: float = 0.2) -> DataFrame:
-    """Local linear smoothing over the reading index: tricube weights on the ceil(frac n) nearest, one bisquare pass."""
-    y = curves.select(*KEY, F.col("t_index").alias("j"), F.col("od").alias("y"))
+    """Local linear smoothing over the reading index: tricube weights on the ceil(frac n) nearest, one bisquare pass.
+
+    Null readings take no part and stay null.
+    """
+    y = curves.where(F.col("od").isNotNull()).select(*KEY, F.col("t_index").alias("j"), F.col("od").alias("y"))
     whole = y.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("j", "y"))).alias("ys"))  # the readings of one curve
     n = F.size("ys")
     k = F.greatest(F.lit(2), F.ceil(n * frac)).cast("int")
@@ -128,7 +132,7 @@ def loess(curves: DataFrame, frac: float = 0.2) -> DataFrame:
     u = F.col("r") / (6 * F.col("s"))
     robust = res.join(s, list(KEY)).select(*KEY, "j", F.when(F.col("s") == 0, 1.0).when(u >= 1, 1e-9).otherwise(F.pow(1 - u * u, 2)).alias("b"))
     second = _local_line(near.join(robust, [*KEY, "j"]).withColumn("w", F.col("tri") * F.col("b")))
-    return curves.join(second.withColumnRenamed("i", "t_index"), [*KEY, "t_index"]).withColumn("od", F.col("fit")).drop("fit")
+    return curves.join(second.withColumnRenamed("i", "t_index"), [*KEY, "t_index"], "left").withColumn("od", F.col("fit")).drop("fit")
 
 
 def growth_rate(curves: DataFrame, skip: int = 18, width: int = 5) -> DataFrame:

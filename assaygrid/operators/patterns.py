@@ -247,7 +247,7 @@ def _pieces(text: str, at: str) -> list[str] | None:
     """The text cut at a mark that stands outside quotes and brackets; None where brackets or quotes do not close."""
     parts, depth = [""], 0
     for token in _TOKEN.findall(text):
-        depth += (token == "(") - (token == ")")
+        depth += (token in ("(", "[", "{")) - (token in (")", "]", "}"))
         if depth < 0 or token in ("'", '"'):
             return None
         if token == at and depth == 0:
@@ -280,7 +280,7 @@ def parse_clause(text: str | None):
 def parse_clauses(clauses: DataFrame) -> DataFrame:
     """Adds `parsed`: struct<head, atoms: array<struct<name, args>>>, null where the text is no clause.
 
-    Clauses of plain atoms (no quote, no inner bracket) are cut up by expressions in Catalyst; only the others are parsed
+    Clauses of plain atoms (no quote, no inner bracket of any kind) are cut up by expressions in Catalyst; only the others are parsed
     in Python, in Arrow batches.
     """
 
@@ -291,7 +291,7 @@ def parse_clauses(clauses: DataFrame) -> DataFrame:
 
     kind = "struct<head:string,atoms:array<struct<name:string,args:array<string>>>>"
     body = F.regexp_replace(F.trim("clause"), r"\.$", "")
-    plain = F.coalesce(F.rlike(body, F.lit(r"^[A-Za-z_]\w*\([^()'\"\\]*\)\s*:-\s*[a-z_]\w*\([^()'\"\\]*\)(?:\s*,\s*[a-z_]\w*\([^()'\"\\]*\))*$")) & ~F.rlike(body, F.lit(":-.*:-")), F.lit(False))
+    plain = F.coalesce(F.rlike(body, F.lit(r"^[A-Za-z_]\w*\([^()\[\]{}'\"\\]*\)\s*:-\s*[a-z_]\w*\([^()\[\]{}'\"\\]*\)(?:\s*,\s*[a-z_]\w*\([^()\[\]{}'\"\\]*\))*$")) & ~F.rlike(body, F.lit(":-.*:-")), F.lit(False))
     atoms = F.regexp_extract_all(F.split_part(body, F.lit(":-"), F.lit(2)), F.lit(r"([a-z_]\w*\([^()]*\))"), F.lit(1))
     cut = F.transform(atoms, lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("name"), F.transform(F.split(F.regexp_extract(a, r"\((.*)\)$", 1), ","), lambda x: F.trim(x)).alias("args")))
     fast = F.struct(F.trim(F.split_part(body, F.lit(":-"), F.lit(1))).alias("head"), cut.alias("atoms")).cast(kind)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -133,9 +135,11 @@ def folds(df: DataFrame, k: int, seed: int, *by: str, key: str = "id") -> DataFr
 
 
 def regression_scores(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
-    mean = df.groupBy(*by).agg(F.avg(y).alias("mean"))
+    """(by, r2, mae, rmse) over rows with both values; r2 is null where the target does not vary. A null key is a group of its own."""
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     res = F.col(y) - F.col(p)
-    return df.join(mean, list(by)).groupBy(*by).agg((1 - F.sum(res * res) / F.sum(F.pow(F.col(y) - F.col("mean"), 2))).alias("r2"), F.avg(F.abs(res)).alias("mae"), F.sqrt(F.avg(res * res)).alias("rmse"))
+    spread = F.nullif(F.sum(F.pow(F.col(y) - F.col("__mean"), 2)), F.lit(0.0))
+    return _beside(df, df.groupBy(*by).agg(F.avg(y).alias("__mean")), by).groupBy(*by).agg((1 - F.sum(res * res) / spread).alias("r2"), F.avg(F.abs(res)).alias("mae"), F.sqrt(F.avg(res * res)).alias("rmse"))
 
 
 def class_f1(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -198,33 +202,93 @@ def ols(df: DataFrame, *by: str, weight: Column | None = None, k: int = 6) -> Da
     w = F.lit(1.0) if weight is None else weight
     x = [F.col(f"x{i}") for i in range(k)]
     sums = [F.sum(w * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(w * x[i] * F.col("y")).alias(f"b{i}") for i in range(k)]
-    grams = df.groupBy(*by).agg(*sums)
+    return _solved(df.groupBy(*by).agg(*sums), list(by), k)
+
+
+def _solved(grams: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by, term, estimate) of least squares from sums of products g{i}_{j} and b{i}, a batch of groups at once."""
 
     def solve(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                beta = np.linalg.pinv(g) @ np.array([r[f"b{i}"] for i in range(k)])
-                rows += [{**{c: r[c] for c in by}, "term": TERMS[i] if k == 6 else f"x{i}", "estimate": float(beta[i])} for i in range(k)]
-            yield pd.DataFrame(rows, columns=[*by, "term", "estimate"])
+            g = np.stack([np.stack([pdf[f"g{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)], axis=1) for i in range(k)], axis=1)
+            b = np.stack([pdf[f"b{i}"].to_numpy(float) for i in range(k)], axis=1)
+            known = np.isfinite(g).all((1, 2)) & np.isfinite(b).all(1)
+            beta = np.full((len(pdf), k), np.nan)
+            beta[known] = (np.linalg.pinv(g[known], hermitian=True) @ b[known][:, :, None])[:, :, 0]
+            out = pdf[by].loc[pdf.index.repeat(k)].reset_index(drop=True)
+            out["term"] = [TERMS[i] if k == 6 else f"x{i}" for i in range(k)] * len(pdf)
+            out["estimate"] = beta.ravel()
+            yield out
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grams.schema if f.name in by)
     return grams.mapInPandas(solve, kinds + ", term string, estimate double")
 
 
-def bootstrap(df: DataFrame, *by: str, draws: int = 5000, seed: int = 1, key: str = "row_id") -> DataFrame:
-    """(by, b, term, estimate) of `draws` refits on rows drawn with replacement.
+def _uniform(h: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each pair of a 64-bit hash and a draw's number."""
+    z = h.astype(np.uint64) + (draw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
 
-    Draw d of replicate b takes the row numbered hash(seed, b, d) mod n: exactly n rows a replicate. Draws become weights
-    at once and only sums of products go on.
+
+def part_counts(sizes: list[int], part: int, draws: int, seed: int) -> np.ndarray:
+    """How many of each replicate's sum(sizes) draws fall to one part: a multinomial by binomial splits down a tree.
+
+    Every node of the tree has a generator of its own, so each part can follow its own branch and all agree.
     """
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(key)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.max("n").alias("n"))
-    drawn = (sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-             .withColumn("k", F.pmod(F.xxhash64(F.lit(seed), *by, "b", "d"), F.col("n")).cast("int")).groupBy(*by, "b", "k").agg(F.count("*").alias("weight")))
-    return ols(numbered.join(drawn, [*by, "k"]), *by, "b", weight=F.col("weight"))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    a, z, node, counts = 0, len(sizes), 1, np.full(draws, ends[-1], np.int64)
+    while z - a > 1:
+        mid = (a + z) // 2
+        left = np.random.default_rng([seed, node]).binomial(counts, (ends[mid] - ends[a]) / max(1, ends[z] - ends[a]))
+        a, z, node, counts = (a, mid, 2 * node, left) if part < mid else (mid, z, 2 * node + 1, counts - left)
+    return counts
+
+
+#: Rows of a part of a study in the bootstrap; replicates a task holds at once.
+PART, REPLICATES = 4096, 250
+
+
+def bootstrap(df: DataFrame, *by: str, draws: int = 5000, seed: int = 1, key: str = "row_id", k: int = 6) -> DataFrame:
+    """(by, b, term, estimate) of `draws` refits on rows drawn with replacement, exactly n rows a replicate.
+
+    A study's rows are dealt by hash to parts of about `PART`. Each replicate's n draws are split among the parts by their
+    sizes, down a tree of binomial splits; a part then draws that many of its own rows and passes on sums of products only.
+    No draw is shuffled; what is shuffled grows with parts and replicates. Rows that repeat a key, or have none, are rows each; a row with a null among
+    its terms or y takes no part.
+    """
+    x = [f"x{i}" for i in range(k)]
+    rows = staged(df.select(*by, F.xxhash64(F.lit(seed), key).alias("__h"), *(F.col(c).cast("double").alias(c) for c in (*x, "y"))).dropna(subset=[*x, "y"]))
+    named = _beside(rows, rows.groupBy(*by).agg(F.ceil(F.count("*") / PART).cast("long").alias("__parts")), by)
+    dealt = staged(named.withColumn("__part", F.pmod(F.col("__h"), F.col("__parts"))))
+    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("__sizes"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [f"g{i}_{j}" for i, j in pairs] + [f"b{i}" for i in range(k)]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in dealt.schema if f.name in by)
+
+    def draw(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {p["__part"]: p["n"] for p in pdf["__sizes"].iloc[0]}
+        parts, me = sorted(own), int(pdf["__part"].iloc[0])
+        stem = int.from_bytes(hashlib.sha256(repr([str(g) for g in group[: len(by)]]).encode()).digest()[:8], "big")
+        counts = part_counts([own[p] for p in parts], parts.index(me), draws, (seed + stem) % 2**63)
+        pdf = pdf.sort_values(["__h", *x, "y"])
+        z = pdf[x].to_numpy(float)
+        y, n = pdf["y"].to_numpy(float), len(pdf)
+        products = np.column_stack([z[:, i] * z[:, j] for i, j in pairs] + [z[:, i] * y for i in range(k)])
+        out = np.zeros((draws, len(sums)))
+        for first in range(0, draws, REPLICATES):
+            these = np.arange(first, min(draws, first + REPLICATES))
+            b = np.repeat(np.arange(len(these)), counts[these])
+            nth = np.arange(len(b)) - np.repeat(np.cumsum(counts[these]) - counts[these], counts[these])
+            h = np.uint64((seed * 0x9E3779B97F4A7C15 + stem + me * 0xD1B54A32D192ED03) % 2**64) + (these[b].astype(np.uint64) + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7)
+            drawn = np.minimum((_uniform(h, nth) * n).astype(np.int64), n - 1)
+            weight = np.bincount(b * n + drawn, minlength=len(these) * n).reshape(len(these), n)
+            out[these] = weight @ products
+        return pd.DataFrame({**{c: [v] * draws for c, v in zip(by, group)}, "b": np.arange(draws, dtype=np.int32), **dict(zip(sums, out.T))})
+
+    grams = _beside(dealt, sizes, by).groupBy(*by, "__part").applyInPandas(draw, kinds + "b int, " + ", ".join(f"{c} double" for c in sums))
+    return _solved(grams.groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums)), [*by, "b"], k)
 
 
 def bootstrap_summary(boot: DataFrame, point: DataFrame, *by: str) -> DataFrame:

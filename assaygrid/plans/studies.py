@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from assaygrid.functions import scalars as sc
-from assaygrid.operators import dosing, graph, growth, metabolomics as mb, models, patterns as pt, stats
+from assaygrid.operators import dosing, forests, graph, growth, metabolomics as mb, models, patterns as pt, stats
 from assaygrid.plans import standins as st
 from assaygrid.plans.registry import query
 
@@ -193,9 +193,20 @@ def _(s, d):
     return r.select("study", F.element_at("names", F.col("i")).alias("f1"), F.element_at("names", F.col("j")).alias("f2"), (F.col("c") / F.sqrt(F.col("si") * F.col("sj"))).alias("r"))
 
 
+def gappy(s, d):
+    """(study, id, x) of the peak table with the values that were not measured left null."""
+    x = models.vectors(st.peaks(s, d), "study", "sample", "feature", "area", fill=False)
+    return x.select("study", F.col("sample").alias("id"), F.transform("x", lambda v: F.log1p(v)).alias("x"))
+
+
+@query("M06_forest_imputation")
+def _(s, d):
+    return forests.impute(gappy(s, d), "study")
+
+
 @query("M05_pca_outliers")
 def _(s, d):
-    return models.pca_outliers(samples(s, d), "study")
+    return models.pca_outliers(forests.impute(gappy(s, d), "study"), "study")
 
 
 def _scores(s, d, outer, repeats, **more):

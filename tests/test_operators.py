@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaygrid.functions import scalars as sc
@@ -129,3 +130,60 @@ def test_run_list(spark):
     s = spark.createDataFrame([("p", f"w{k}", "g", k) for k in range(1, 9)], "plate string, well string, grp string, place int")
     names = [r.name for r in dosing.run_list(s).orderBy("run").collect()]
     assert names[:5] == ["Tune"] + ["Blank"] * 4 and names[5:7] == ["QC", "QC"] and names[-5:] == ["QC"] + ["Blank"] * 4 and len(names) == 5 + 2 * 7 + 8
+
+
+def test_bootstrap_draws_exactly_n_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PART", 32)  # several parts
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i < 3 else i % 90, 1.0, float(v), float(3 + 2 * v + e)) for g, n in (("s", 200), (None, 40), ("tiny", 1)) for i, (v, e) in enumerate(rng.normal(size=(n, 2)))] + [("s", 7, 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "study string, row_id int, x0 double, x1 double, y double")
+    seen, solved = {}, stats._solved
+
+    def spy(grams, by, k):
+        seen["grams"] = grams
+        return solved(grams, by, k)
+
+    monkeypatch.setattr(stats, "_solved", spy)
+    boot = stats.bootstrap(df, "study", draws=600, k=2)
+    drawn = {(r.study, r.b): r.g0_0 for r in seen["grams"].collect()}
+    assert len(drawn) == 1800 and all(n == {"s": 200, None: 40, "tiny": 1}[g] for (g, _), n in drawn.items())
+    assert sorted(map(tuple, boot.collect()), key=str) == sorted(map(tuple, stats.bootstrap(df, "study", draws=600, k=2).repartition(3).collect()), key=str)
+    x, y = (np.array([r[c] for r in rows if r[0] == "s" and r[4] is not None]) for c in (3, 4))
+    slopes = np.array([r.estimate for r in boot.where("study = 's' and term = 'x1'").collect()])
+    plain = [np.polyfit(x[k], y[k], 1)[0] for k in (rng.integers(0, 200, 200) for _ in range(600))]
+    assert abs(slopes.mean() - np.mean(plain)) < 0.02 and 0.85 < slopes.std() / np.std(plain) < 1.18
+
+
+def test_part_counts_add_up_and_follow_sizes():
+    sizes = [5, 0, 100, 1, 30, 64]
+    counts = np.array([stats.part_counts(sizes, p, 2000, 3) for p in range(6)])
+    assert (counts.sum(0) == 200).all() and np.allclose(counts.mean(1), sizes, atol=0.5) and (counts[1] == 0).all()
+
+
+def test_regression_scores_of_constant_and_missing_values(spark):
+    df = spark.createDataFrame([("a", 2.0, 1.0), ("a", 2.0, 3.0), (None, 1.0, 1.0), (None, 3.0, 2.0), ("b", None, 1.0), ("b", 1.0, None)], "target string, y double, p double")
+    got = {r.target: (r.r2, r.mae, r.rmse) for r in stats.regression_scores(df, "target").collect()}
+    assert got == {"a": (None, 1.0, 1.0), None: (0.5, 0.5, 0.5 ** 0.5)}
+
+
+def test_loess_leaves_missing_readings_out(spark):
+    c = curve(spark, [1 + 0.5 * i + 0.1 * (i * 7 % 5) for i in range(20)]).withColumn("od", F.when(~F.col("t_index").isin(0, 7), F.col("od")))
+    got, without = ({r.t_index: r.od and round(r.od, 9) for r in growth.loess(x).collect()} for x in (c, c.where("od is not null")))
+    assert got == {0: None, 7: None, **without} and all(abs(v - (1.2 + 0.5 * t)) < 0.3 for t, v in without.items())
+    assert [r.od for r in growth.loess(c.withColumn("od", F.lit(None).cast("double"))).collect()] == [None] * 20
+
+
+def test_outliers_of_wells_without_a_group(spark):
+    feats = spark.createDataFrame([("s", 1, f"w{k}", g, 10.0 + k % 3 + 1000.0 * (k == 5), 1.0, 1.0) for k in range(12) for g in [None if k < 6 else "g"]], "study string, plate int, well string, grp string, auc double, last_od double, tv double")
+    assert {r.well: r.outlier for r in growth.mad_outliers(feats).collect()} == {f"w{k}": k == 5 for k in range(12)}
+
+
+def test_volumes_of_an_empty_stock(spark):
+    assert one(spark, sc.dilution_volume(F.lit(0.0), F.lit(1.0), F.lit(2.0)))[0] is None and one(spark, sc.percent_volume(F.lit(5.0), F.lit(270.0), F.lit(0.0)))[0] is None
+    assert one(spark, sc.dilution_volume(F.lit(0), F.lit(0), F.lit(2)))[0] == 0
+
+
+def test_clause_arguments_keep_lists_whole(spark):
+    text = ["g(A):-p(A,[x,y])", "g(A):-p(A,f(b,[c,d])),q({e,f},'[')", "g(A):-p(A,b)", "g(A):-p(A,[x)"]
+    got = patterns.parse_clauses(spark.createDataFrame([(t,) for t in text], "clause string")).collect()
+    assert [[(a.name, a.args) for a in r.parsed.atoms] if r.parsed else None for r in got] == [[("p", ["A", "[x,y]"])], [("p", ["A", "f(b,[c,d])"]), ("q", ["{e,f}", "["])], [("p", ["A", "b"])], None]
