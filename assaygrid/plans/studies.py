@@ -183,8 +183,7 @@ x AS (SELECT s.study, s.sample, f.feature, ln(1 + coalesce(p.area, f.mean)) AS v
 @query("M05_M10_moments", P + VECTORS + "SELECT a.study, a.feature AS f1, b.feature AS f2, round(corr(a.v, b.v), 6) AS r FROM x a JOIN x b ON a.study = b.study AND a.sample = b.sample AND a.feature < b.feature GROUP BY ALL")
 def _(s, d):
     names = st.peaks(s, d).groupBy("study").agg(F.sort_array(F.collect_set("feature")).alias("names"))
-    g = models.moments(samples(s, d), ["study"], [])
-    cells = g.select("study", "i", F.posexplode("row").alias("j", "v"))
+    cells = models.cells_of(models.moments(samples(s, d), ["study"], []), ["study"])
     total = cells.where("i = 0").select("study", "j", F.col("v").alias("t"))
     n = total.where("j = 0").select("study", F.col("t").alias("n"))
     c = cells.join(total.toDF("study", "i", "ti"), ["study", "i"]).join(total.toDF("study", "j", "tj"), ["study", "j"]).join(n, "study").withColumn("c", F.col("v") - F.col("ti") * F.col("tj") / F.col("n"))
