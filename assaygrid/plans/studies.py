@@ -227,14 +227,18 @@ def _(s, d):
 
 @query("M09_pattern_weights")
 def _(s, d):
-    """Per target, ten-fold weights of patterns: a gene's patterns are its phenotype states with a condition."""
+    """Per target, ten-fold weights of patterns, for 19 targets: a gene's patterns are its phenotype states with a condition."""
     p = st.phenotypes(s, d).select("gene", F.concat_ws("|", "state", "cond").alias("pattern")).distinct()
     rows = models.vectors(p.select(F.lit("all").alias("study"), "gene", "pattern", F.lit(1.0).alias("one")).join(p.select("pattern").distinct(), "pattern"), "study", "gene", "pattern", "one")
     names = p.select("pattern").distinct().groupBy().agg(F.sort_array(F.collect_list("pattern")).alias("names"))
     own = p.groupBy("gene").agg(F.collect_set("pattern").alias("own"))
     x = rows.select("study", "gene").join(own, "gene").join(F.broadcast(names)).select("study", F.col("gene").alias("id"), F.transform("names", lambda n: F.array_contains("own", n).cast("double")).alias("x"))
-    size = st._t(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.avg("o_totalprice") / 1e5).alias("t1"), F.count("*").cast("double").alias("t2"))
-    got = models.elastic_net(x.join(size, "id"), "study", ["t1", "t2"], 10, 10, ratios=(0.5,), alphas=models.TRIED, scaled=False, by_r2=True)
+    price, parts = F.col("o_totalprice") / 1e5, [F.lit(True), *(F.col("o_orderpriority").startswith(str(k)) for k in range(1, 6)), *(F.col("o_orderstatus") == k for k in "FOP")]
+    means = [F.coalesce(F.avg(F.when(own, price)), F.lit(0.0)) for own in parts]
+    counts = [F.count(F.when(own, 1)).cast("double") for own in parts]
+    ts = [f"t{k + 1}" for k in range(2 * len(parts) + 1)]
+    size = st._t(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(*(c.alias(t) for c, t in zip([means[0], counts[0], *means[1:], *counts[1:], F.max(price)], ts)))
+    got = models.elastic_net(x.join(size, "id"), "study", ts, 10, 10, ratios=(0.5,), alphas=models.TRIED, scaled=False, by_r2=True)
     return models.coefficient_spread(got, "study")
 
 
