@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.functions.scalars import occurrences, specificity
-from assaygrid.operators.staging import staged
+from assaygrid.operators.staging import small, staged
 
 
 def profile(*parts: Column) -> Column:
@@ -70,20 +70,32 @@ def frequent(cover: DataFrame, positives: int, least: float = 0.001, most: int =
     return s.orderBy(F.desc("support"), "pattern_id").limit(most)
 
 
+def bitmaps(cover: DataFrame) -> DataFrame:
+    """(pattern_id, bucket, bits): each pattern's genes as bits, 32,768 genes a bucket; buckets without a gene of it are left out.
+
+    Genes, a null one among them, are numbered once and the numbers are kept. Rows meet at (pattern, bucket) before they become bits, so a
+    rare pattern costs its rows in the shuffle and not a bitmap a task. Repeated rows set the same bit.
+    """
+    cover = staged(cover.select("pattern_id", "gene"))
+    numbers = staged(cover.select(F.col("gene").alias("of")).distinct().withColumn("number", F.monotonically_increasing_id()))
+    keyed = cover.join(small(numbers), F.col("gene").eqNullSafe(F.col("of"))).select("pattern_id", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+    return keyed.repartition("pattern_id", "bucket").groupBy("pattern_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 def identical_groups(cover: DataFrame) -> DataFrame:
     """(pattern_id, duplicates): patterns with the same genes; the first is kept, the others listed.
 
-    Patterns alike in count and two order-free hash sums are candidates; each is then verified gene by gene against its
-    group's first, so no pattern's genes are gathered and no equality rests on a hash.
+    Patterns alike in counts and two order-free hash sums of their bitmaps are candidates; each is then compared bucket by bucket with
+    its group's first, so no pattern's genes are gathered and no equality rests on a hash. Null genes are equal.
     """
-    cover = cover.distinct()
-    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "gene").cast("decimal(38,0)"))
-    prints = staged(cover.groupBy("pattern_id").agg(F.count("*").alias("n"), h(1).alias("a"), h(2).alias("b")))
-    first = prints.groupBy("n", "a", "b").agg(F.min("pattern_id").alias("first"))
-    near = staged(prints.join(first, ["n", "a", "b"]).select("pattern_id", "first", "n"))
-    mine = near.where("pattern_id <> first").join(cover, "pattern_id")
-    shared = mine.join(cover.select(F.col("pattern_id").alias("first"), "gene"), ["first", "gene"]).groupBy("pattern_id").agg(F.count("*").alias("k"))
-    same = near.join(shared, "pattern_id", "left").withColumn("head", F.when((F.col("pattern_id") == F.col("first")) | (F.col("k") == F.col("n")), F.col("first")).otherwise(F.col("pattern_id")))
+    parts = staged(bitmaps(cover))
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "bucket", "bits").cast("decimal(38,0)"))
+    prints = staged(parts.groupBy("pattern_id").agg(F.count("*").alias("m"), F.sum(F.bitmap_count("bits")).alias("n"), h(1).alias("a"), h(2).alias("b")))
+    first = prints.groupBy("m", "n", "a", "b").agg(F.min("pattern_id").alias("first"))
+    near = staged(prints.join(first, ["m", "n", "a", "b"]).select("pattern_id", "first", "m"))
+    mine = near.where("pattern_id <> first").join(parts, "pattern_id")
+    shared = mine.join(parts.toDF("first", "bucket", "bits"), ["first", "bucket", "bits"]).groupBy("pattern_id").agg(F.count("*").alias("k"))
+    same = near.join(shared, "pattern_id", "left").withColumn("head", F.when((F.col("pattern_id") == F.col("first")) | (F.col("k") == F.col("m")), F.col("first")).otherwise(F.col("pattern_id")))
     return same.groupBy("head").agg(F.array_sort(F.collect_list("pattern_id")).alias("all")).select(F.col("head").alias("pattern_id"), F.array_join(F.slice("all", 2, F.size("all")), ",").alias("duplicates"))
 
 

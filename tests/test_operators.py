@@ -187,3 +187,14 @@ def test_clause_arguments_keep_lists_whole(spark):
     text = ["g(A):-p(A,[x,y])", "g(A):-p(A,f(b,[c,d])),q({e,f},'[')", "g(A):-p(A,b)", "g(A):-p(A,[x)"]
     got = patterns.parse_clauses(spark.createDataFrame([(t,) for t in text], "clause string")).collect()
     assert [[(a.name, a.args) for a in r.parsed.atoms] if r.parsed else None for r in got] == [[("p", ["A", "[x,y]"])], [("p", ["A", "f(b,[c,d])"]), ("q", ["{e,f}", "["])], [("p", ["A", "b"])], None]
+
+
+def test_identical_groups_on_bitmaps(spark):
+    """More genes than one bucket holds, repeated rows, a null gene, patterns that differ in one gene of one bucket."""
+    genes = spark.range(70_000).select(F.col("id").cast("string").alias("gene"))
+    named = lambda p, rows: rows.select(F.lit(p).alias("pattern_id"), "gene")
+    none = spark.createDataFrame([(None,)], "gene string")
+    cover = named("b", genes).union(named("a", genes)).union(named("a", genes)).union(named("c", genes.where("gene <> '69999'"))).union(named("d", none)).union(named("e", none)).union(named("f", none.union(genes.limit(1))))
+    assert sorted(map(tuple, patterns.identical_groups(cover).collect())) == [("a", "b"), ("c", ""), ("d", "e"), ("f", "")]
+    assert patterns.bitmaps(cover).groupBy("pattern_id").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("pattern_id = 'a'").first().n == 70_000
+    assert patterns.identical_groups(cover.limit(0)).count() == 0
