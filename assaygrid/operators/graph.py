@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assaygrid.functions.scalars import changed
-from assaygrid.operators.staging import staged
+from assaygrid.operators.staging import staged, written
+from assaygrid.operators.store import Labelled, labelled
 
 QUAD = "struct<g:string,s:string,p:string,o:string>"
 
@@ -28,16 +31,30 @@ def restrictions(rows: DataFrame, graph: Column, subject: Column, role: Column,
     return quads(rows, (graph, subject, iri("rdfs:subClassOf"), b), (graph, b, iri("rdf:type"), iri("owl:Restriction")), (graph, b, iri("owl:onProperty"), role), (graph, b, iri("owl:someValuesFrom"), filler))
 
 
-def restriction_view(store: DataFrame) -> DataFrame:
+def restriction_view(store: DataFrame | Labelled) -> DataFrame:
     """(g, subject, prop, filler) of all restriction quadruples, matched on their shared blank node."""
     a = pattern(store, "rdfs:subClassOf", "subject", "b")
     return (a.join(pattern(store, "owl:onProperty", "b", "prop"), ["g", "b"]).join(pattern(store, "owl:someValuesFrom", "b", "filler"), ["g", "b"])
             .join(pattern(store, "rdf:type", "b", "k").where("k = 'owl:Restriction'"), ["g", "b"], "left_semi").select("g", "subject", "prop", "filler"))
 
 
-def pattern(store: DataFrame, prop: str, s: str, o: str, graph: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class QuadStore:
+    """Quads by property and subject, and the restriction view by role and subject, each computed once."""
+
+    quads: Labelled
+    restrictions: Labelled
+
+
+def stored(store: DataFrame, buckets: int | None = None) -> QuadStore:
+    """A store for many patterns: each then scans one property's folder, and joins on subjects need no exchange."""
+    quads = labelled(store.select("g", "s", "p", "o"), "p", "s", buckets)
+    return QuadStore(quads, labelled(restriction_view(quads), "prop", "subject", buckets))
+
+
+def pattern(store: DataFrame | Labelled, prop: str, s: str, o: str, graph: str | None = None) -> DataFrame:
     """(g, s, o) of one property; swap the names for an inverse path. The property filter reaches the scan."""
-    rows = store.where(F.col("p") == prop)
+    rows = store.of(prop) if isinstance(store, Labelled) else store.where(F.col("p") == prop)
     rows = rows if graph is None else rows.where(F.col("g") == graph)
     return rows.select("g", F.col("s").alias(s), F.col("o").alias(o))
 
@@ -56,6 +73,39 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
+def reaching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(child, parent): each node with a path of zero or more (child, parent) edges to a seed, and that seed (column `parent` of `seeds`).
+
+    Only paths to seeds are followed. Nodes with one edge, the links of long chains, jump to the first node that is a seed or has
+    several edges or none, doubling their jump in each round; then a frontier of pairs goes from the seeds down over what
+    remains, anti-joined with the pairs known. So a chain takes as many rounds as its length has bits, and the rounds of the frontier are
+    the levels of nodes with several edges. Cycles end: links that only lead in a circle reach no seed. Null ends are no edges, repeated rows and
+    loops add nothing, and a seed reaches itself even where no edge names it.
+    """
+    edges = written(edges.select("child", "parent").where("child <> parent").distinct())
+    seeds = seeds.select("parent").where("parent is not null").distinct()
+    fan = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("at"))
+    lone = fan.where("n = 1").join(seeds.withColumnRenamed("parent", "child"), "child", "left_anti").select("child", "at")
+    jumps = written(lone.join(lone.select(F.col("child").alias("at"), F.lit(True).alias("open")), "at", "left").select("child", "at", F.coalesce("open", F.lit(False)).alias("open")))
+    links = jumps.select("child")
+    for _ in range(links.count().bit_length()):
+        if jumps.where("open").isEmpty():
+            break
+        on = jumps.toDF("at", "far", "still")
+        jumps = written(jumps.where("not open").union(jumps.where("open").join(on, "at").select("child", F.col("far").alias("at"), F.col("still").alias("open"))))
+    ends = jumps.select(F.col("child").alias("parent"), "at", "open")
+    steps = edges.join(links, "child", "left_anti").join(ends, "parent", "left").where("open is null or not open").select("child", F.coalesce("at", "parent").alias("at"))
+    steps = written(steps.distinct())
+    known, front, rounds = seeds.select(F.col("parent").alias("child"), "parent"), seeds.select(F.col("parent").alias("at"), "parent"), 0
+    while True:
+        new = written(steps.join(front, "at").select("child", "parent").distinct().join(known, ["child", "parent"], "left_anti"))
+        if new.isEmpty():
+            break
+        known, front, rounds = known.union(new), new.withColumnRenamed("child", "at"), rounds + 1
+        known = written(known) if rounds % 16 == 0 else known
+    return known.union(jumps.where("not open").select("child", "at").join(known.withColumnRenamed("child", "at"), "at").select("child", "parent"))
+
+
 def merged(*stores: DataFrame) -> DataFrame:
     """One set of quads."""
     out = stores[0]
@@ -66,6 +116,7 @@ def merged(*stores: DataFrame) -> DataFrame:
 
 def exported(store: DataFrame, without: str = "ontology", metadata: str = "hypothesis-metadata") -> DataFrame:
     """All graphs but one, and no metadata of hypotheses whose own graph is empty."""
+    store = written(store)
     kept = store.where(F.col("g") != without)
     filled = store.select(F.col("g").alias("s")).distinct()
     return kept.where(F.col("g") != metadata).unionByName(kept.where(F.col("g") == metadata).join(filled, "s", "left_semi").select(*kept.columns))
@@ -143,7 +194,8 @@ def hypothesis_quads(hypotheses: DataFrame, parts: DataFrame) -> DataFrame:
 
     A hypothesis without both sides has no such graph. A creator that is null is Genesis.
     """
-    states, c, lit = staged(hypothesis_states(parts)), F.col, F.lit
+    parts = written(parts)
+    states, c, lit = written(hypothesis_states(parts)), F.col, F.lit
     shown = parts.join(states, ["hypothesis", "side"])
     two = states.where("side = 1").select("hypothesis", c("state").alias("state1")).join(states.where("side = 2").select("hypothesis", c("state").alias("state2")), "hypothesis")
     some = parts.where("chemical is not null")
@@ -188,18 +240,19 @@ def growth_test_quads(t: DataFrame) -> DataFrame:
     return made.distinct()
 
 
-def some(store: DataFrame, graph: str | None, subject: str, prop: str, filler: str) -> DataFrame:
+def some(store: QuadStore, graph: str | None, subject: str, prop: str, filler: str) -> DataFrame:
     """(subject, filler) of restrictions on one property; in the graph named by column `g` too, where `graph` is None."""
-    view = restriction_view(store if graph is None else store.where(F.col("g") == graph)).where(F.col("prop") == prop)
+    view = store.restrictions.of(prop)
+    view = view if graph is None else view.where(F.col("g") == graph)
     return view.select(*(["g"] if graph is None else []), F.col("subject").alias(subject), F.col("filler").alias(filler))
 
 
-def assays_of(store: DataFrame, baseline: str) -> DataFrame:
+def assays_of(store: Labelled, baseline: str) -> DataFrame:
     """(study, label, assay, supplement, treatment) of complete assays on one medium; a study of several labels has a row each."""
     one = lambda p, s, o: pattern(store, p, s, o, "experiments").select(s, o)
     typed = lambda df, x, k: df.join(one("rdf:type", x, "k").where(F.col("k") == k).select(x), x, "left_semi")
     assay = typed(typed(one("obo:BFO_0000051", "study", "assay"), "study", "obo:OBI_0500000"), "assay", "obo:OBI_0000070")
-    given = staged(one("obo:OBI_0000293", "assay", "x"))
+    given = one("obo:OBI_0000293", "assay", "x")
     medium = typed(given.withColumnRenamed("x", "medium"), "medium", "obo:OBI_0000079").join(one(":baselineMedia", "medium", "b").where(F.col("b") == baseline).select("medium"), "medium", "left_semi")
     culture = typed(given.withColumnRenamed("x", "culture"), "culture", "obo:OBI_0001876").join(one("obo:BFO_0000051", "culture", "medium"), "culture")
     culture = culture.join(one("obo:BFO_0000051", "culture", "c").where("c = ':saccaharomyces-cerevisiae-population'").select("culture"), "culture", "left_semi")
@@ -209,36 +262,36 @@ def assays_of(store: DataFrame, baseline: str) -> DataFrame:
     return got.select("study", "label", "assay", "supplement", "treatment")
 
 
-def hypotheses_with_tests(store: DataFrame, baseline: str = "Minimal media without amino acids") -> DataFrame:
+def hypotheses_with_tests(store: DataFrame | QuadStore, baseline: str = "Minimal media without amino acids") -> DataFrame:
     """(h, ql1, hypo_aa, ql2, hypo_supp, study, label, coef_aa, p_aa, coef_aa_supp, p_aa_supp) of all hypotheses.
 
     Optional: what the hypothesis says (accumulation of hypo_aa implies resistance to hypo_supp, with relations below differs or
     notDiffers and a class below resistance); optional within: a study with a base assay, one with hypo_aa alone and
     one with both, and the growth tests of the latter two against the base.
     """
-    store = staged(store)
-    h = pattern(store, "dcterms:created", "h", "x", METADATA).select("h")
-    ontology = store.where("g = 'ontology'")
-    below = lambda prop: closure(ontology.where(F.col("p") == prop).select(F.col("s").alias("child"), F.col("o").alias("parent")))
-    relations = below("rdfs:subPropertyOf").where("parent in (':differsFrom', ':notDiffersFrom')").select("child")
-    resistant = below("rdfs:subClassOf").where(F.col("parent") == RESISTANCE).select("child")
-    state = pattern(store, "rdfs:subClassOf", "state", "k", STATES).where(F.col("k") == STATE).select("state")
+    store = store if isinstance(store, QuadStore) else stored(store)
+    quads, role_rows = store.quads, store.restrictions
+    h = pattern(quads, "dcterms:created", "h", "x", METADATA).select("h")
+    below = lambda prop, *seeds: reaching(pattern(quads, prop, "child", "parent", "ontology"), quads.even.sparkSession.createDataFrame([(x,) for x in seeds], "parent string")).select("child").distinct()
+    relations = below("rdfs:subPropertyOf", ":differsFrom", ":notDiffersFrom")
+    resistant = below("rdfs:subClassOf", RESISTANCE)
+    state = pattern(quads, "rdfs:subClassOf", "state", "k", STATES).where(F.col("k") == STATE).select("state")
     implied = some(store, None, "s1", IMPLIES, "s2").withColumnRenamed("g", "h")
-    shows = staged(some(store, STATES, "state", OBSERVABLE, "phenotype").join(state, "state", "left_semi"))
-    kind = pattern(store, "rdfs:subClassOf", "phenotype", "class", PHENOTYPES).select("phenotype", "class")
-    related = restriction_view(store.where(F.col("g") == PHENOTYPES)).select(F.col("subject").alias("phenotype"), F.col("prop").alias("ql")).join(relations.withColumnRenamed("child", "ql"), "ql", "left_semi").distinct()
+    shows = written(some(store, STATES, "state", OBSERVABLE, "phenotype").join(state, "state", "left_semi"))
+    kind = pattern(quads, "rdfs:subClassOf", "phenotype", "class", PHENOTYPES).select("phenotype", "class")
+    related = role_rows.all().where(F.col("g") == PHENOTYPES).select(F.col("subject").alias("phenotype"), F.col("prop").alias("ql")).join(relations.withColumnRenamed("child", "ql"), "ql", "left_semi").distinct()
     side = lambda k, role, kinds: (shows.join(kind.join(kinds, "class", "left_semi").select("phenotype").distinct(), "phenotype").join(related, "phenotype")
                                    .join(some(store, PHENOTYPES, "phenotype", role, "chemical"), "phenotype").select(F.col("state").alias(f"s{k}"), F.col("ql").alias(f"ql{k}"), F.col("chemical").alias(f"c{k}")))
-    first = side(1, ACCUMULATES, store.sparkSession.createDataFrame([(ACCUMULATION,)], "class string"))
+    first = side(1, ACCUMULATES, quads.even.sparkSession.createDataFrame([(ACCUMULATION,)], "class string"))
     second = side(2, RESISTS, resistant.withColumnRenamed("child", "class"))
     said = implied.join(first, "s1").join(second, "s2").select("h", "ql1", F.col("c1").alias("hypo_aa"), "ql2", F.col("c2").alias("hypo_supp"))
 
-    assays = staged(assays_of(store, baseline))
-    one = lambda p, s, o: pattern(store, p, s, o, "growth-data").select(s, o)
+    assays = written(assays_of(quads, baseline))
+    one = lambda p, s, o: pattern(quads, p, s, o, "growth-data").select(s, o)
     test = one("rdf:type", "test", "k").where("k = ':AUCForestComparativeTest'").select("test")
     for prop, name in ((":referenceCondition", "r"), (":testCondition", "t"), (":GLMCoefficient", "coef"), (":pValue", "p")):
         test = test.join(one(prop, "test", name), "test")
-    test = staged(test.join(one(":growthDataFromAssay", "r", "base"), "r").join(one(":growthDataFromAssay", "t", "assay"), "t").select("base", "assay", "coef", "p"))
+    test = written(test.join(one(":growthDataFromAssay", "r", "base"), "r").join(one(":growthDataFromAssay", "t", "assay"), "t").select("base", "assay", "coef", "p"))
     base = assays.where("supplement is null and treatment is null").select("study", "label", F.col("assay").alias("base"))
     alone = assays.where("supplement is not null and treatment is null").join(test, "assay").select("study", "base", F.col("supplement").alias("hypo_aa"), F.col("coef").alias("coef_aa"), F.col("p").alias("p_aa"))
     both = assays.where("supplement is not null and treatment is not null").join(test, "assay").select("study", "base", F.col("supplement").alias("hypo_aa"), F.col("treatment").alias("hypo_supp"), F.col("coef").alias("coef_aa_supp"), F.col("p").alias("p_aa_supp"))

@@ -292,8 +292,8 @@ def parse_clause(text: str | None):
 def parse_clauses(clauses: DataFrame) -> DataFrame:
     """Adds `parsed`: struct<head, atoms: array<struct<name, args>>>, null where the text is no clause.
 
-    Clauses of plain atoms (no quote, no inner bracket of any kind) are cut up by expressions in Catalyst; only the others are parsed
-    in Python, in Arrow batches.
+    Clauses whose atoms hold plain or quoted arguments (no inner bracket outside quotes, no backslash) are cut up by expressions in
+    Catalyst; the others, and those of more than 4,000 characters, are parsed in Python, in Arrow batches.
     """
 
     @F.pandas_udf("struct<head:string,atoms:array<struct<name:string,args:array<string>>>>")
@@ -302,11 +302,17 @@ def parse_clauses(clauses: DataFrame) -> DataFrame:
         return pd.DataFrame({"head": [g[0] if g else None for g in got], "atoms": [[{"name": n, "args": a} for n, a in g[1]] if g else None for g in got]})
 
     kind = "struct<head:string,atoms:array<struct<name:string,args:array<string>>>>"
-    body = F.regexp_replace(F.trim("clause"), r"\.$", "")
-    plain = F.coalesce(F.rlike(body, F.lit(r"^[A-Za-z_]\w*\([^()\[\]{}'\"\\]*\)\s*:-\s*[a-z_]\w*\([^()\[\]{}'\"\\]*\)(?:\s*,\s*[a-z_]\w*\([^()\[\]{}'\"\\]*\))*$")) & ~F.rlike(body, F.lit(":-.*:-")), F.lit(False))
-    atoms = F.regexp_extract_all(F.split_part(body, F.lit(":-"), F.lit(2)), F.lit(r"([a-z_]\w*\([^()]*\))"), F.lit(1))
-    cut = F.transform(atoms, lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("name"), F.transform(F.split(F.regexp_extract(a, r"\((.*)\)$", 1), ","), lambda x: F.trim(x)).alias("args")))
-    fast = F.struct(F.trim(F.split_part(body, F.lit(":-"), F.lit(1))).alias("head"), cut.alias("atoms")).cast(kind)
+    quoted = r"""'[^'\\]*+'|"[^"\\]*+\""""
+    inside = rf"""(?:{quoted}|(?!:-)[^()\[\]{{}}'"\\])*+"""
+    atom = rf"[a-z_]\w*\({inside}\)"
+    body = F.regexp_replace(F.regexp_replace("clause", r"^\s+|\s+$", ""), r"\.$", "")
+    shape = rf"""^\s*([A-Za-z_]\w*\([^()\[\]{{}}'"\\:]*\))\s*:-\s*({atom}(?:\s*,\s*{atom})*+)\s*$"""
+    plain = F.coalesce((F.length("clause") <= 4000) & F.rlike(body, F.lit(shape)), F.lit(False))
+    atoms = F.regexp_extract_all(F.regexp_extract(body, shape, 2), F.lit(f"({atom})"), F.lit(1))
+    args = lambda a: F.regexp_extract_all(F.regexp_extract(a, r"(?s)^\w+\((.*)\)$", 1), F.lit(f"(?:^|,)((?:{quoted}|[^,'\"])*+)"), F.lit(1))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"""(?s)^(['"])(.*)\1$""", "$2")
+    cut = F.transform(atoms, lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("name"), F.transform(args(a), bare).alias("args")))
+    fast = F.struct(F.regexp_extract(body, shape, 1).alias("head"), cut.alias("atoms")).cast(kind)
     p = parse(F.when(~plain, F.col("clause")))
     return clauses.withColumn("parsed", F.when(plain, fast).when(p["atoms"].isNotNull(), p))
 

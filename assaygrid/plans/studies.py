@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from assaygrid.functions import scalars as sc
 from assaygrid.operators import dosing, forests, graph, growth, metabolomics as mb, models, patterns as pt, stats
+from assaygrid.operators.staging import written
 from assaygrid.plans import standins as st
 from assaygrid.plans.registry import query
 
@@ -385,6 +386,7 @@ def _(s, d):
 @query("U06_exported", f"WITH {HYPO}, e AS (SELECT 'hypothesis-metadata' AS g, hypothesis AS s FROM h WHERE supp IS NOT NULL) SELECT s, count(*) AS n FROM e GROUP BY s")
 def _(s, d):
     hyps, parts = hypotheses(s, d)
+    parts = written(parts)
     without = hyps.select("hypothesis").join(parts.where("side = 2 and chemical is null").select("hypothesis"), "hypothesis", "left_semi")
     full = parts.join(without, "hypothesis", "left_anti")
     store = graph.exported(graph.hypothesis_quads(hyps.withColumn("created", F.lit(None).cast("string")), full))
