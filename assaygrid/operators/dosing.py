@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from assaygrid.functions.scalars import any_column_contains, unify_well, well_name
+from assaygrid.functions.scalars import unify_well, well_name
+from assaygrid.operators.staging import written
+from assaygrid.operators.texts import contained
 
 
 def plate(spark: SparkSession, rows: int = 8, cols: int = 12) -> DataFrame:
@@ -77,13 +79,15 @@ def dispensing(doses: DataFrame, layout: DataFrame) -> DataFrame:
 def library_matches(wanted: DataFrame, library: DataFrame, key: str = "key") -> DataFrame:
     """(key, library columns): library rows that hold a wanted key in any column, whatever the case.
 
-    Keys are few (the compounds of a study) and are broadcast behind a count; more of them are an error.
+    A row comes once for each spelling of a key that it holds, and a repeated row as often as it is repeated. Null and empty keys are in no row.
     """
-    keys = wanted.select(F.col(key).alias("__key")).where("__key is not null and __key <> ''").distinct()
-    if keys.count() > 10_000:
-        raise ValueError("too many keys to look for in every column")
-    held = any_column_contains([F.col(f"`{c}`") for c in library.columns], F.col("__key"))
-    return library.join(F.broadcast(keys), held).select(F.col("__key").alias(key), *(F.col(f"`{c}`") for c in library.columns))
+    names = [f"`{c}`" for c in library.columns]
+    rows = written(library.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("at")))
+    keys = wanted.select(F.col(key).cast("string").alias("key")).where("key <> ''").distinct().withColumn("needle", F.lower("key"))
+    texts = F.array_distinct(F.array(*(F.lower(F.col(f"row.{c}").cast("string")) for c in names)))
+    texts = rows.select("at", F.explode(texts).alias("line"))
+    hits = contained(keys, texts).join(texts, "line").select("needle", "at").distinct()
+    return hits.join(keys, "needle").join(rows, "at").select(F.col("key").alias(key), *(F.col(f"row.{c}") for c in names))
 
 
 def record_of(records: DataFrame, column: str, value: str) -> DataFrame:

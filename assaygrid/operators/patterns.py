@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.functions.scalars import occurrences, specificity
 from assaygrid.operators.staging import small, staged
+from assaygrid.operators.texts import contained
 
 
 def profile(*parts: Column) -> Column:
@@ -123,16 +124,10 @@ def negative_controls(coefs: DataFrame) -> DataFrame:
 
 
 def not_listed(candidates: DataFrame, listed: DataFrame) -> DataFrame:
-    """Candidates (target, clause) whose target:clause is part of no listed line."""
+    """Candidates (target, clause) whose target:clause is part of no listed line. A null target or clause is part of none."""
     key = F.concat("target", F.lit(":"), "clause")
-    lines = listed.select("line").where("line is not null").distinct()
-    if lines.count() > LISTED:
-        raise ValueError("the exclusion list is too long to be compared line by line")
-    return candidates.join(F.broadcast(lines), F.contains(F.col("line"), key), "left_anti")
-
-
-#: Lines of an exclusion list, which is kept by hand; each candidate is looked for in every line.
-LISTED = 100_000
+    found = contained(candidates.select(key.alias("needle")), listed.select("line")).select("needle").distinct()
+    return candidates.join(found, key == F.col("needle"), "left_anti")
 
 
 def listed_lines(*lists: DataFrame) -> DataFrame:

@@ -153,8 +153,13 @@ def write_records(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def append_lines(lines: DataFrame, path: str) -> None:
-    lines.select(F.col("line").alias("value")).write.mode("append").text(path)
+def append_lines(lines: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds lines to a list. A run with a name replaces what a run of that name wrote before, so that it can be repeated; one without adds."""
+    value = lines.select(F.col("line").alias("value"))
+    if run is None:
+        value.write.mode("append").text(path)
+    else:  # only the folder of this run is overwritten; a run without lines leaves the list as it is
+        value.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
 
 
 def reference_library(flat: DataFrame) -> dict[str, DataFrame]:

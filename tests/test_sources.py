@@ -71,6 +71,14 @@ def test_lookups_and_lists(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3 and spark.read.text(str(tmp_path / "l")).count() == 6
 
 
+def test_runs_can_be_repeated(spark, tmp_path):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
+    at = str(tmp_path / "runs")
+    for run, got in (("one", lines("a", "b")), ("two", lines("c")), ("one", lines("a", "d")), ("two", lines("c"))):
+        files.append_lines(got, at, run)
+    assert sorted((r.run, r.value) for r in spark.read.text(at).collect()) == [("one", "a"), ("one", "d"), ("two", "c")]
+
+
 def test_protocols_and_records(spark, tmp_path):
     d = write(tmp_path / "p" / "a.json", '{"logic_program": "l", "experiments": [\n{"experiment": 1, "treatment": null}, {"experiment": 2, "treatment": "x"}]}')
     assert [(r.experiment, r.treatment) for r in files.protocols(spark, d).orderBy("experiment").collect()] == [(1, None), (2, "x")]
