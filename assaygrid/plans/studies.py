@@ -393,6 +393,34 @@ def _(s, d):
     return store.where(F.col("g") == graph.METADATA).groupBy("s").agg(F.count("*").alias("n"))
 
 
+@query("U06_exported_quads", f"WITH {HYPO}, k AS (SELECT * FROM p3 WHERE hypothesis IN (SELECT hypothesis FROM h WHERE supp IS NOT NULL)), kt AS (SELECT * FROM two WHERE hypothesis IN (SELECT hypothesis FROM k)) " + " UNION ".join((
+    restr("k", "'states'", "':reference-state'", "':stateHasObservable'", "ref"), "SELECT 'states', state, 'rdfs:subClassOf', ':organismState' FROM k", restr("k", "'states'", "state", "':stateHasObservable'", "phenotype"),
+    "SELECT 'phenotypes', ref, 'rdfs:subClassOf', class FROM k", "SELECT 'phenotypes', phenotype, 'rdfs:subClassOf', class FROM k", restr("k", "'phenotypes'", "ref", "role", "chemical"), restr("k", "'phenotypes'", "phenotype", "role", "chemical"),
+    restr("k", "'phenotypes'", "phenotype", "relation", "ref"), restr("kt", "hypothesis", "s1", "':implies'", "s2"), "SELECT 'hypothesis-metadata', hypothesis, 'dcterms:creator', creator FROM h WHERE supp IS NOT NULL")))
+def _(s, d):
+    """All graphs of the export but the ontology's; hypotheses whose compound has no term have no graph, so no metadata either."""
+    hyps, parts = hypotheses(s, d)
+    parts = written(parts)
+    without = parts.where("side = 2 and chemical is null").select("hypothesis")
+    ontology = s.createDataFrame([("ontology", "increasedComparedTo", "rdfs:subPropertyOf", ":differsFrom")], "g string, s string, p string, o string")
+    made = graph.hypothesis_quads(hyps.withColumn("created", F.lit(None).cast("string")), parts.join(without, "hypothesis", "left_anti"))
+    return graph.exported(made.unionByName(ontology)).select("g", "s", "p", "o")
+
+
+@query("J21_seeded_paths", "WITH RECURSIVE e AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS child, 'c' || CAST(o_custkey AS VARCHAR) AS parent FROM orders UNION SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR) FROM customer UNION SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation UNION SELECT 'c' || CAST(o_custkey AS VARCHAR), 'p' || o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL), seeds AS (SELECT parent FROM (VALUES ('r1'), ('r3'), ('n3'), ('p1-URGENT'), ('none')) AS v(parent)), c AS (SELECT parent AS child, parent FROM seeds UNION SELECT e.child, c.parent FROM c JOIN e ON e.parent = c.child) SELECT child, parent FROM c")
+def _(s, d):
+    """Orders, customers, nations and regions as a graph: what leads to five seeds, two of which hang together and one of which no edge names."""
+    name = lambda k, c: F.concat(F.lit(k), c)
+    o, c, n = (st._t(s, d, t) for t in ("orders", "customer", "nation"))
+    edges = o.select(name("o", "o_orderkey").alias("child"), name("c", "o_custkey").alias("parent")).union(c.select(name("c", "c_custkey"), name("n", "c_nationkey"))).union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(o.select(name("c", "o_custkey"), name("p", "o_orderpriority")))
+    return graph.reaching(edges, s.createDataFrame([(x,) for x in ("r1", "r3", "n3", "p1-URGENT", "none")], "parent string"))
+
+
+@query("J11_P25_library_brands", "SELECT DISTINCT 'BRAND#' || CAST(s_suppkey AS VARCHAR) AS key, p_partkey, p_name, p_brand FROM part JOIN supplier ON contains(lower(p_brand), 'brand#' || CAST(s_suppkey AS VARCHAR)) OR contains(lower(p_name), 'brand#' || CAST(s_suppkey AS VARCHAR))")
+def _(s, d):
+    return dosing.library_matches(st._t(s, d, "supplier").select(F.concat(F.lit("BRAND#"), "s_suppkey").alias("key")), st._t(s, d, "part").select("p_partkey", "p_name", "p_brand")).select("key", "p_partkey", "p_name", "p_brand")
+
+
 SUPPORT = ", a AS (SELECT s AS study, o AS assay FROM quads WHERE p = 'hasAssay'), found AS (SELECT study, assay FROM a WHERE EXISTS (SELECT 1 FROM quads WHERE p = 'hasSupplement' AND s = assay AND o = '1-URGENT') AND EXISTS (SELECT 1 FROM quads WHERE p = 'hasTreatment' AND s = assay AND o = 'F') AND study IN (SELECT study FROM a b WHERE b.assay NOT IN (SELECT s FROM quads WHERE p = 'hasSupplement') AND b.assay NOT IN (SELECT s FROM quads WHERE p = 'hasTreatment')))"
 
 
