@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from assaygrid.functions.scalars import any_column_contains
 from assaygrid.operators import dosing, patterns
 from assaygrid.operators.texts import contained
 
@@ -38,6 +39,11 @@ def test_library_rows_by_any_column(spark):
     assert got == sorted(f"Row(key={k!r}, name={n!r})" for k, n in want)
 
 
+def test_any_column_contains(spark):
+    got = spark.createDataFrame([("Ab", None, "b"), ("x", 12, "AB"), (None, 1, "ab"), ("x", None, "ab")], "a string, n int, k string")
+    assert [r.held for r in got.select(any_column_contains([F.col("a"), F.col("n")], F.col("k")).alias("held")).collect()] == [True, False, False, False]
+
+
 def test_contained_has_no_nested_loop(spark):
     needles, lines = spark.range(50).select(F.col("id").cast("string").alias("needle")), spark.range(5000).select(F.col("id").cast("string").alias("line"))
     plan = contained(needles, lines)._jdf.queryExecution().executedPlan().toString()
