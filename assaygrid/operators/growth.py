@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assaygrid.functions.scalars import euclid
-from assaygrid.operators.stats import _beside
+from assaygrid.operators.stats import _beside, numbered
 
 KEY = ("study", "plate", "well")
 CONTROL = "Media control"
@@ -16,11 +16,17 @@ def _by(*more):
 
 
 def time_axis(readings: DataFrame, step: int = 1200) -> DataFrame:
-    """k-th file in time order <-> step * k seconds, by plate."""
-    order = Window.partitionBy("study", "plate").orderBy("file_time")
-    times = readings.select("study", "plate", "file_time").distinct().withColumn("t_index", (F.row_number().over(order) - 1).cast("int"))
+    """k-th file in time order <-> step * k seconds, by plate.
+
+    A plate's times are ranked in ranges, so one plate may hold all files. t_sec is an int, and a bigint where the last second of some
+    plate is beyond an int.
+    """
+    times = numbered(readings.select("study", "plate", "file_time").distinct(), [F.col("file_time")], "study", "plate").drop("size")
+    last = times.agg(F.max("r")).first()[0] or 1
+    kind = "int" if (last - 1) * step < 1 << 31 else "bigint"
+    times = times.withColumn("t_index", (F.col("r") - 1).cast("int")).drop("r")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("study", "plate", "file_time")]
-    return readings.alias("a").join(times.alias("b"), same).select("a.*", "t_index", (F.col("t_index") * step).alias("t_sec"))
+    return readings.alias("a").join(times.alias("b"), same).select("a.*", "t_index", (F.col("t_index").cast(kind) * F.lit(step).cast(kind)).alias("t_sec"))
 
 
 def with_layout(curves: DataFrame, layout: DataFrame) -> DataFrame:

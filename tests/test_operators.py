@@ -198,3 +198,11 @@ def test_identical_groups_on_bitmaps(spark):
     assert sorted(map(tuple, patterns.identical_groups(cover).collect())) == [("a", "b"), ("c", ""), ("d", "e"), ("f", "")]
     assert patterns.bitmaps(cover).groupBy("pattern_id").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("pattern_id = 'a'").first().n == 70_000
     assert patterns.identical_groups(cover.limit(0)).count() == 0
+
+
+def test_time_axis_beyond_an_int(spark):
+    rows = [("a", k) for k in range(4)] + [("b", 1), ("b", 1), ("b", None)]
+    readings = spark.createDataFrame([("s", *r) for r in rows], "study string, plate string, file_time int")
+    got = growth.time_axis(readings, 1_000_000_000)
+    assert dict(got.dtypes)["t_sec"] == "bigint" and dict(growth.time_axis(readings).dtypes)["t_sec"] == "int"
+    assert sorted((r.plate, r.file_time or 0, r.t_index, r.t_sec) for r in got.collect()) == [("a", k, k, k * 10**9) for k in range(4)] + [("b", 0, 0, 0), ("b", 1, 1, 10**9), ("b", 1, 1, 10**9)]
