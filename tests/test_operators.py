@@ -206,3 +206,33 @@ def test_time_axis_beyond_an_int(spark):
     got = growth.time_axis(readings, 1_000_000_000)
     assert dict(got.dtypes)["t_sec"] == "bigint" and dict(growth.time_axis(readings).dtypes)["t_sec"] == "int"
     assert sorted((r.plate, r.file_time or 0, r.t_index, r.t_sec) for r in got.collect()) == [("a", k, k, k * 10**9) for k in range(4)] + [("b", 0, 0, 0), ("b", 1, 1, 10**9), ("b", 1, 1, 10**9)]
+
+
+def test_patterns_that_share_a_cover(spark):
+    """Targets with the same values are one cover: its rows do not multiply with them; the listed patterns are those of a plain search."""
+    facts = [(g, f"s{g % 2}", v, c) for g in range(6) for v in range(g % 4) for c in ("A", "N")] + [(7, None, 1, "A"), (None, "s0", 2, None)] * 2
+    phenotypes = spark.createDataFrame(facts, "gene long, state string, value int, cond string")
+    given = [(100 + k, k % 2, f"a{k % 3}") for k in range(60)] + [(100, 2, "a0"), (7, 9, "a1"), (8, None, "a1"), (9, 1, None), (None, 1, "a1"), (None, 2, "a1")]
+    targets = spark.createDataFrame(given, "gene long, value int, action string")
+    pathways = spark.createDataFrame([(g, m) for g in range(8) for m in ("x", "y")[: g % 3]], "gene long, metabolite string")
+    text = lambda *xs: "|".join(str(x) for x in xs if x is not None)
+    want = {(text("target", g, a), f[0]) for g, v, a in given for f in facts if v is not None and f[2] == v}
+    want |= {(text(n, *x), g) for g, s, v, c in facts for n, x in (("state", (s,)), ("state_cond", (s, c)), ("state_value", (s, v)), ("state_value_cond", (s, v, c)))}
+    ways = [tuple(r) for r in pathways.collect()]
+    want |= {(text("pathway", m), g) for g, m in ways} | {(text("state_pathway", f[1], m), g) for g, m in ways for f in facts if f[0] == g}
+    got, rows = patterns.shared_coverage(phenotypes, targets, pathways)
+    assert got.where("pattern_id like 'target|%'").count() == 63 and rows.where("cover like 'values|%'").select("cover").distinct().count() == 4
+    cover = [tuple(r) for r in patterns.coverage(phenotypes, targets, pathways).collect()]
+    assert len(cover) == len(set(cover)) and set(cover) == want
+    genes = {}
+    for p, g in want:
+        genes.setdefault(p, set()).add(g)
+    support = sorted(((p, len(x - {None})) for p, x in genes.items() if len(x - {None}) >= 2), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in patterns.frequent_shared(got, rows, 2, 1.0, 30).collect()] == support[:30]
+    same = {}
+    for p, x in genes.items():
+        same.setdefault(frozenset(x), []).append(p)
+    assert sorted(map(tuple, patterns.identical_groups(rows, got).collect())) == sorted((sorted(x)[0], ",".join(sorted(x)[1:])) for x in same.values())
+    wanted = spark.createDataFrame([(g,) for g in (1, 3, 99, None)], "gene long")
+    found = sorted(((r.gene, r.pattern_id) for r in patterns.features_of_shared(wanted, got, rows).collect()), key=str)
+    assert found == sorted([(g, p) for p, g in want if g in (1, 3)] + [(99, None), (None, None)], key=str)
