@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assaygrid.functions import scalars as sc
@@ -236,3 +237,31 @@ def test_patterns_that_share_a_cover(spark):
     wanted = spark.createDataFrame([(g,) for g in (1, 3, 99, None)], "gene long")
     found = sorted(((r.gene, r.pattern_id) for r in patterns.features_of_shared(wanted, got, rows).collect()), key=str)
     assert found == sorted([(g, p) for p, g in want if g in (1, 3)] + [(99, None), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("share", (0.01, 0.4))
+def test_clause_bodies_against_plain_search(spark, monkeypatch, share):
+    """Nulls, repeated facts and texts that two shapes share; of genes only facts and numbers are exchanged, no (body, gene) row is written."""
+    facts = [(g, f"s{(g + k) % 3}", (g * k) % 4 if k < 5 else None, "AN"[k % 2] if k else None) for g in range(9) for k in range(g % 7)] + [(None, "s0", 1, "A"), (3, None, 1, "A")] + [(4, "s1,name,n1", 2, "N")] * (share < 0.1)
+    names, conditions = [(0, "n0"), (1, "n1"), (2, "n1"), (2, "n2")], [("A", "warm"), ("N", "cold,x")]
+    given, ways = [(1, "a0", 50), (2, "a0", 51), (2, "a1", 50), (None, "a1", 51)], [(50, "m", "q"), (50, "m", "r"), (51, "m", "q")]
+    frames = [spark.createDataFrame(facts * 2, "gene long, state string, value int, cond string"), spark.createDataFrame(names, "value int, name string"), spark.createDataFrame(conditions, "cond string, text string"),
+              spark.createDataFrame(given, "value int, action string, through long"), spark.createDataFrame(ways, "gene long, kind string, metabolite string")]
+    tails = lambda v, c: {f"name,{n}" for x, n in names if x == v} | {f"target,{a}" for x, a, _ in given if x == v and v is not None} | {f"condition,{t}" for x, t in conditions if x == c}
+    real = [f for f in facts if f[1] is not None]
+    one, two, found = {(s, g) for g, s, _, _ in real}, {(f"{s},{a}", g) for g, s, v, c in real for a in tails(v, c)}, set()
+    found |= one | two | {(f"{s},target,{a},pathway,{k},{m}", g) for g, s, v, _ in real for x, a, t in given for h, k, m in ways if v is not None and x == v and h == t}
+    found |= {(f"{s},{a},{b}", g) for g, s, v, c in real if None not in (g, v, c) for a in tails(v, c) for b in tails(v, c) if a < b}
+    found |= {(f"{x}&{y}", g) for x, g in one for y, h in one if g is not None and g == h and x < y} | {(f"{x}&{y}", g) for x, g in two for y, h in one if g is not None and g == h}
+    found |= {(f"{x}&{y}&{z}", g) for x, g in one for y, h in one for z, i in one if g is not None and g == h == i and x < y < z}
+    genes = {}
+    for item, g in found:
+        genes.setdefault(item, set()).add(g)
+    wrote, keep = [], patterns.written
+    monkeypatch.setattr(patterns, "written", lambda df: wrote.append(df.columns) or keep(df))
+    want = {item: len(x - {None}) for item, x in genes.items() if len(x - {None}) >= share * len({f[0] for f in facts} - {None})}
+    got = [tuple(r) for r in patterns.clause_support(*frames, share).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
+    cover = [tuple(r) for r in patterns.clause_cover(*frames, share).collect()]
+    assert len(cover) == len(set(cover)) and set(cover) == {(i, g) for i in want for g in genes[i]}
+    assert [c for c in wrote if "gene" in c] == 2 * [["gene", "state", "value", "cond"]]
