@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assaygrid.functions.scalars import changed
-from assaygrid.operators.staging import staged, written
+from assaygrid.operators.staging import small, staged, written
 from assaygrid.operators.store import Labelled, labelled
 
 QUAD = "struct<g:string,s:string,p:string,o:string>"
@@ -208,24 +208,40 @@ def hypothesis_quads(hypotheses: DataFrame, parts: DataFrame) -> DataFrame:
         quads(hypotheses, (lit(METADATA), c("hypothesis"), lit("dcterms:created"), c("created")), (lit(METADATA), c("hypothesis"), lit("dcterms:creator"), F.coalesce("creator", lit("Genesis")))))
 
 
+def distinct_quads(rows: DataFrame, node: Column, *templates: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """The set of the quads of all rows, where equal quads come from rows of one `node` only.
+
+    Only rows whose node another row has, too, can repeat a quad: nodes are counted by a hash, and the quads of the others pass
+    unshuffled. A hash that two nodes share only sends more rows through the distinct.
+    """
+    rows = written(rows)
+    key = F.xxhash64(node)
+    several = written(rows.groupBy(key.alias("__node")).agg(F.count("*").alias("n")).where("n > 1").select("__node"))
+    once = quads(rows.join(small(several), key == F.col("__node"), "left_anti"), *templates)
+    return once.unionByName(quads(rows.join(small(several), key == F.col("__node"), "left_semi"), *templates).distinct())
+
+
 def protocol_quads(e: DataFrame) -> DataFrame:
     """Experiments of studies as quads: study, assays, culture, medium and treatment; what is null makes no quad.
 
-    Columns: study, hypothesis_text, experiment, type, summary, media_description, baseline_media, and chemical, value and unit
+    Columns: study, hypothesis_text, experiment (a whole number), type, summary, media_description, baseline_media, and chemical, value and unit
     of supplement (sup_) and treatment (treat_).
     """
     g, lit, c = F.lit("experiments"), F.lit, F.col
+    e = written(e)
     study = F.concat(lit("STUDY-"), "study")
     assay = F.concat(lit("EXP-"), "study", lit("-"), "experiment")
     culture, medium, treatment, cells = F.concat(assay, lit("-cellculture")), F.concat(assay, lit("-medium")), F.concat(assay, lit("-treatment")), lit(":saccaharomyces-cerevisiae-population")
     a, part, given = lit("rdf:type"), lit("obo:BFO_0000051"), lit("obo:OBI_0000293")
     label = F.concat("type", lit(": "), "summary")
-    made = quads(e, (g, study, a, lit("obo:OBI_0500000")), (g, study, lit("rdfs:label"), c("hypothesis_text")), (g, study, part, assay), (g, assay, a, lit("obo:OBI_0000070")), (g, assay, lit("rdfs:label"), label),
-                 (g, assay, given, culture), (g, assay, given, medium), (g, assay, given, treatment), (g, culture, a, lit("obo:OBI_0001876")), (g, culture, part, cells), (g, culture, part, medium), (g, cells, a, lit("obo:NCBITaxon_4932")),
-                 (g, medium, a, lit("obo:OBI_0000079")), (g, medium, lit("rdfs:label"), c("media_description")), (g, medium, lit(":baselineMedia"), c("baseline_media")), (g, medium, lit(":mediaSupplementation"), c("sup_chemical")),
-                 (g, medium, lit(":mediaSupplementationDosesValue"), c("sup_value")), (g, medium, lit(":mediaSupplementationDosesUnit"), c("sup_unit")), (g, treatment, a, lit(":treatment")),
-                 (g, treatment, lit(":treatmentWithChemical"), c("treat_chemical")), (g, treatment, lit(":treatmentParametersValue"), c("treat_value")), (g, treatment, lit(":treatmentParametersUnit"), c("treat_unit")))
-    return made.distinct()
+    shared = quads(e.select("study", "hypothesis_text").distinct(), (g, study, a, lit("obo:OBI_0500000")), (g, study, lit("rdfs:label"), c("hypothesis_text")))
+    shared = shared.unionByName(quads(e.limit(1), (g, cells, a, lit("obo:NCBITaxon_4932"))))
+    made = distinct_quads(e, assay, (g, study, part, assay), (g, assay, a, lit("obo:OBI_0000070")), (g, assay, lit("rdfs:label"), label),
+                          (g, assay, given, culture), (g, assay, given, medium), (g, assay, given, treatment), (g, culture, a, lit("obo:OBI_0001876")), (g, culture, part, cells), (g, culture, part, medium),
+                          (g, medium, a, lit("obo:OBI_0000079")), (g, medium, lit("rdfs:label"), c("media_description")), (g, medium, lit(":baselineMedia"), c("baseline_media")), (g, medium, lit(":mediaSupplementation"), c("sup_chemical")),
+                          (g, medium, lit(":mediaSupplementationDosesValue"), c("sup_value")), (g, medium, lit(":mediaSupplementationDosesUnit"), c("sup_unit")), (g, treatment, a, lit(":treatment")),
+                          (g, treatment, lit(":treatmentWithChemical"), c("treat_chemical")), (g, treatment, lit(":treatmentParametersValue"), c("treat_value")), (g, treatment, lit(":treatmentParametersUnit"), c("treat_unit")))
+    return shared.distinct().unionByName(made)
 
 
 def growth_test_quads(t: DataFrame) -> DataFrame:
@@ -234,10 +250,9 @@ def growth_test_quads(t: DataFrame) -> DataFrame:
     test = F.concat(lit("GROWTH-"), "study", lit("-auc-forest-"), "i")
     ref, cond, a = F.concat(test, lit("-reference-condition")), F.concat(test, lit("-test-condition")), lit("rdf:type")
     labels = [(g, x, lit(p), c(v)) for x in (ref, cond) for p, v in ((":testConditionHasTreatment", "treatment"), (":testConditionHasSupplement", "supplement"))]
-    made = quads(t, (g, test, a, lit(":AUCForestComparativeTest")), (g, test, lit(":referenceCondition"), ref), (g, test, lit(":testCondition"), cond), (g, test, lit(":GLMCoefficient"), c("estimate")), (g, test, lit(":pValue"), c("p")),
+    return distinct_quads(t, test, (g, test, a, lit(":AUCForestComparativeTest")), (g, test, lit(":referenceCondition"), ref), (g, test, lit(":testCondition"), cond), (g, test, lit(":GLMCoefficient"), c("estimate")), (g, test, lit(":pValue"), c("p")),
                  (g, ref, a, lit(":growthDataTestCondition")), (g, ref, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-1"))), (g, ref, lit("rdfs:label"), lit("Treatment=None, Supplement=None")),
                  (g, cond, a, lit(":growthDataTestCondition")), (g, cond, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-"), "assay")), (g, cond, lit("rdfs:label"), c("link")), *labels)
-    return made.distinct()
 
 
 def some(store: QuadStore, graph: str | None, subject: str, prop: str, filler: str) -> DataFrame:

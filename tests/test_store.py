@@ -83,3 +83,18 @@ def test_clauses_with_quotes(spark):
     for t, r in zip(texts, got):
         want = patterns.parse_clause(t)
         assert (None if r.parsed is None else (r.parsed.head, [(a.name, list(a.args)) for a in r.parsed.atoms])) == want, t
+
+
+def test_protocol_and_growth_quads_are_sets(spark):
+    """Repeated and contradicting experiments, and studies whose names end like experiments; quads of experiments that stand once are not exchanged."""
+    rows = [("a", "t", 1, "x"), ("a", "t", 1, "x"), ("a", "t", 1, "y"), ("a", "u", 2, None), ("a-1", "t", 2, "x"), ("a-", None, 1, "x"), ("a", None, -1, "x"), (None, "t", 1, "x"), ("b", "t", None, "x")]
+    e = spark.createDataFrame(rows, "study string, hypothesis_text string, experiment int, summary string")
+    e = e.select("*", F.lit("k").alias("type"), F.lit("m").alias("media_description"), F.lit("b").alias("baseline_media"), *(F.col("summary").alias(f"{s}_{c}") for s in ("sup", "treat") for c in ("chemical", "value", "unit")))
+    got = [tuple(r) for r in graph.protocol_quads(e).collect()]
+    assert len(got) == len(set(got)) and ("experiments", "EXP-a-1", "rdfs:label", "k: y") in got and ("experiments", "STUDY-b", "rdf:type", "obo:OBI_0500000") in got
+    assert sum(q[2] == "obo:BFO_0000051" and q[1].startswith("STUDY") for q in got) == 5 and sum(q[3] == "obo:NCBITaxon_4932" for q in got) == 1
+    t = e.select("study", F.col("experiment").alias("i"), F.col("experiment").alias("assay"), F.lit("1").alias("estimate"), F.lit("2").alias("p"), F.col("summary").alias("treatment"), F.lit(None).cast("string").alias("supplement"), F.col("summary").alias("link"))
+    made = graph.growth_test_quads(t)
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got)) and sum(q[3] == ":AUCForestComparativeTest" for q in got) == 5 and ("growth-data", "GROWTH-a-auc-forest-1-test-condition", "rdfs:label", "y") in got
+    assert "Union" in made._jdf.queryExecution().sparkPlan().toString() and graph.protocol_quads(e.limit(0)).count() == graph.growth_test_quads(t.limit(0)).count() == 0
