@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -199,13 +200,19 @@ def hypothesis_quads(hypotheses: DataFrame, parts: DataFrame) -> DataFrame:
     shown = parts.join(states, ["hypothesis", "side"])
     two = states.where("side = 1").select("hypothesis", c("state").alias("state1")).join(states.where("side = 2").select("hypothesis", c("state").alias("state2")), "hypothesis")
     some = parts.where("chemical is not null")
-    return merged(
-        restrictions(parts, lit(STATES), lit(REFERENCE), lit(OBSERVABLE), c("ref")), quads(states, (lit(STATES), c("state"), lit("rdfs:subClassOf"), lit(STATE))),
-        restrictions(shown, lit(STATES), c("state"), lit(OBSERVABLE), c("phenotype")),
-        quads(parts, *((lit(PHENOTYPES), c(x), lit("rdfs:subClassOf"), c("class")) for x in ("ref", "phenotype"))),
-        *(restrictions(some, lit(PHENOTYPES), c(x), c("role"), c("chemical")) for x in ("ref", "phenotype")),
-        restrictions(parts, lit(PHENOTYPES), c("phenotype"), c("relation"), c("ref")), restrictions(two, c("hypothesis"), c("state1"), lit(IMPLIES), c("state2")),
-        quads(hypotheses, (lit(METADATA), c("hypothesis"), lit("dcterms:created"), c("created")), (lit(METADATA), c("hypothesis"), lit("dcterms:creator"), F.coalesce("creator", lit("Genesis")))))
+    few = lambda rows, *cols: rows.select(*cols).distinct()  # noqa: E731  what a template reads, once: narrower than its quads
+    pieces = [
+        restrictions(few(parts, "ref"), lit(STATES), lit(REFERENCE), lit(OBSERVABLE), c("ref")), quads(few(states, "state"), (lit(STATES), c("state"), lit("rdfs:subClassOf"), lit(STATE))),
+        restrictions(few(shown, "state", "phenotype"), lit(STATES), c("state"), lit(OBSERVABLE), c("phenotype")),
+        *(quads(few(parts, x, "class"), (lit(PHENOTYPES), c(x), lit("rdfs:subClassOf"), c("class"))) for x in ("ref", "phenotype")),
+        *(restrictions(few(some, x, "role", "chemical"), lit(PHENOTYPES), c(x), c("role"), c("chemical")) for x in ("ref", "phenotype")),
+        restrictions(few(parts, "phenotype", "relation", "ref"), lit(PHENOTYPES), c("phenotype"), c("relation"), c("ref")), restrictions(few(two, "hypothesis", "state1", "state2"), c("hypothesis"), c("state1"), lit(IMPLIES), c("state2")),
+        quads(few(hypotheses, "hypothesis", "created"), (lit(METADATA), c("hypothesis"), lit("dcterms:created"), c("created"))),
+        quads(few(hypotheses, "hypothesis", F.coalesce("creator", lit("Genesis")).alias("creator")), (lit(METADATA), c("hypothesis"), lit("dcterms:creator"), c("creator")))]
+    odd = c("hypothesis").isin(STATES, PHENOTYPES, METADATA)
+    for x in ("class", "role", "chemical", "relation"):
+        odd = odd | F.contains(c(x), lit("\x1f"))
+    return merged(*pieces) if not parts.where(odd).isEmpty() else reduce(DataFrame.unionByName, pieces)  # else no two pieces or rows give one quad
 
 
 def distinct_quads(rows: DataFrame, node: Column, *templates: tuple[Column, Column, Column, Column]) -> DataFrame:

@@ -98,3 +98,16 @@ def test_protocol_and_growth_quads_are_sets(spark):
     got = [tuple(r) for r in made.collect()]
     assert len(got) == len(set(got)) and sum(q[3] == ":AUCForestComparativeTest" for q in got) == 5 and ("growth-data", "GROWTH-a-auc-forest-1-test-condition", "rdfs:label", "y") in got
     assert "Union" in made._jdf.queryExecution().sparkPlan().toString() and graph.protocol_quads(e.limit(0)).count() == graph.growth_test_quads(t.limit(0)).count() == 0
+
+
+def test_hypothesis_quads_are_sets(spark):
+    """Shared and repeated parts, a hypothesis named as a graph, a separator in a text: always the set that the templates make."""
+    for names, chemical in ((("h1", "h2", "h2"), "x"), (("states", "h2", "h2"), "x"), (("h1", "h2", "h2"), "x\x1fy")):
+        hyps = spark.createDataFrame([(h, "now", None if k else "lab") for k, h in enumerate(names)], "hypothesis string, created string, creator string")
+        rows = [(h, side, "c", "r" if side == 1 else None, chemical if side == 1 else None, "more") for h in names for side in (1, 2)]
+        parts = graph.phenotype_parts(spark.createDataFrame(rows, "hypothesis string, side int, class string, role string, chemical string, relation string"))
+        made = graph.hypothesis_quads(hyps, parts)
+        got = [tuple(r) for r in made.collect()]
+        assert len(got) == len(set(got)) and sum(q[0] == graph.METADATA for q in got) == 4
+        assert sum(q[0] == "h2" for q in got) == 4 and sum(q[2] == "rdfs:subClassOf" and q[3] == "c" for q in got) == 4
+        assert ("Union" == made._jdf.queryExecution().optimizedPlan().nodeName()) == (names[0] == "h1" and chemical == "x")
