@@ -1,15 +1,17 @@
-"""Near copies of documents: an exact join at Jaccard >= 0.8 of their five-word shingles.
+"""Near copies of documents: deletion-variant SimHash, and an exact check at Jaccard >= 0.8 of five-word shingles.
 
-SimHash cannot do this: at similarity 0.8 the 64-bit fingerprints of two documents differ by ten bits or so, and keys that
-find all such pairs are shared by most documents. As in line_dedup, two sets that match share a token in the first
-n - ceil(0.8 n) + 1 of a fixed order, here: tokens of the fullest hash buckets last, others by hash. Candidates must be
+Every document gets a SimHash fingerprint of its shingles. Documents whose fingerprints are equal or share a deletion variant and
+differ by at most two bits are candidates, and whole sets decide (`_printed`). Fingerprints alone miss pairs: at similarity 0.8
+those of two documents differ by ten bits or so, and keys that find all such pairs are shared by most documents. So an
+exact way follows for the rest, documents that SimHash has not brought into one component: as in line_dedup, two sets that match share a token in the first
+n - ceil(0.8 n) + 1 of a fixed order, here: tokens of the fullest hash buckets last, others by hash. Its candidates must be
 near enough in length, have enough tokens left after the shared one, bitmaps that leave enough overlap and prefixes that do not show too
 many tokens of one set to be missing in the other; whole sets decide.
 
 Documents with equal sets are one class from the start: by 128 bits of hash, the first half of which (`cid`) names the class;
-where two classes would share a name, both get another. Only a class's first document posts tokens. A token of a class meets the
-shortest class that holds it first; tokens whose holders are all in one component by then are settled, the others pair all
-their holders of different components. So large families of copies are not paired up, and no component is missed.
+where two classes would share a name, both get another. Only a class's first document posts tokens. Tokens whose holders are all in
+one component by SimHash are settled. Holders of the others meet the shortest class that holds the token first; tokens whose holders are not
+in one component then either pair all their holders of different components. So large families of copies are not paired up, and no component is missed.
 
 Defined results: words are split and lower-cased as in simhash; fewer than five words are one shingle; null, empty and
 white-space texts have none and are copies of each other. Rows with a null id stay and are compared with none. Rows
@@ -26,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .line_dedup import _enough, _small
 from .shared import cut, written
-from .simhash import components, without
+from .simhash import BLOCK, components, links, majority, without
 
 SHINGLE = 5
 #: Hash buckets in which tokens are counted; a bucket is full at so many times the mean plus five of its standard deviations.
@@ -60,6 +62,11 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def print_of(tokens: np.ndarray) -> int:
+    """The SimHash of a set: bits set in over half of its hashes."""
+    return majority((tokens[at : at + BLOCK] for at in range(0, len(tokens), BLOCK)), len(tokens))
+
+
 def _bucket_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(b, n): documents' tokens by hash bucket."""
 
@@ -74,13 +81,13 @@ def _bucket_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _prefix(text: Column, full: list[int]) -> Column:
-    """struct<cid, did, n, bits, prefix, late>: the class, its number of tokens, their bitmap, the first of them, and how many of these are frequent."""
+    """struct<cid, did, n, fp, bits, prefix, late>: the class, its number of tokens, their SimHash and bitmap, the first of them, and how many of these are frequent."""
     often = np.zeros(BUCKETS, bool)
     often[full] = True
 
-    @arrow_udf("struct<cid:long,did:long,n:int,bits:array<long>,prefix:array<long>,late:int>")
+    @arrow_udf("struct<cid:long,did:long,n:int,fp:long,bits:array<long>,prefix:array<long>,late:int>")
     def of(texts: pa.Array) -> pa.Array:
-        cids, dids, ns, bits, firsts, lates = [], [], [], [], [], []
+        cids, dids, ns, fps, bits, firsts, lates = [], [], [], [], [], [], []
         for x in texts:
             tokens = tokens_of(x.as_py())
             late, n = often[(tokens % np.uint64(BUCKETS)).astype(np.int64)], len(tokens)
@@ -89,11 +96,12 @@ def _prefix(text: Column, full: list[int]) -> Column:
             cids.append(c)
             dids.append(d)
             ns.append(n)
+            fps.append(print_of(tokens))
             odd = np.bincount(((tokens >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
             bits.append(np.packbits(odd.astype(bool)).view(np.int64))
             firsts.append(first.view(np.int64))
             lates.append(max(0, len(first) - int((~late).sum())))
-        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(dids, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lates, pa.int32())], ["cid", "did", "n", "bits", "prefix", "late"])
+        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(dids, pa.int64()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lates, pa.int32())], ["cid", "did", "n", "fp", "bits", "prefix", "late"])
 
     return of(text)
 
@@ -143,15 +151,36 @@ def _matching(near: DataFrame, docs: DataFrame, classes: DataFrame, own: DataFra
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets with one `cid` for each class and no other, and (cid, did, first, bits, k) of the classes."""
+    """The sets with one `cid` for each class and no other, and (cid, did, first, n, fp, bits, k) of the classes."""
     while True:
-        found = written(sets.groupBy("cid").agg(F.min("did").alias("did"), F.max("did").alias("other"), F.min("id").alias("first"), F.first("bits").alias("bits"), F.count("*").alias("k")))
+        found = written(sets.groupBy("cid").agg(F.min("did").alias("did"), F.max("did").alias("other"), F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.count("*").alias("k")))
         shared = written(found.where("did != other").select("cid", F.lit(True).alias("shared")))
         if shared.isEmpty():
             return sets, found.drop("other")
         sets = written(sets.join(_small(shared), "cid", "left").withColumn("cid", F.when(F.col("shared"), F.xxhash64("cid", "did")).otherwise(F.col("cid"))).drop("shared"))
 
 
+def _printed(classes: DataFrame) -> DataFrame:
+    """Candidates (a, na, pa, b, nb, pb) by SimHash: classes of one fingerprint with the least of them, and these where fingerprints link."""
+    one = written(classes.groupBy("fp").agg(F.min(F.struct("cid", "n")).alias("e"), F.count("*").alias("k")))
+    side = lambda of, s, fp: of.select(F.col("fp").alias(fp), F.col("e.cid").alias(s), F.col("e.n").alias("n" + s), F.lit(0).alias("p" + s))
+    alike = written(one.where("k > 1"))
+    equal = classes.select("fp", F.struct("cid", "n").alias("e")).join(_small(alike.select("fp")), "fp", "left_semi")
+    equal = side(equal, "a", "fp").join(_small(side(alike, "b", "fp")), "fp").where("a != b").drop("fp")
+    found = written(links(one.select("fp")))
+    ends = written(one.join(_small(written(found.select(F.col("a").alias("fp")).union(found.select("b")).distinct())), "fp", "left_semi"))
+    close = found.toDF("fa", "fb").join(_small(side(ends, "a", "fa")), "fa").join(_small(side(ends, "b", "fb")), "fb")
+    return equal.unionByName(close.drop("fa", "fb"))
+
+
+def _open(held: DataFrame, found: DataFrame) -> DataFrame:
+    """Posts (token, cid, n, pos, root) of tokens whose holders are not all in one component of the pairs found."""
+    roots = written(components(found))
+    rooted = held.join(_small(roots), held.cid == roots.node, "left").select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    return written(rooted.join(mixed, "token"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with an id: id and `component_id`, the smallest id reachable over pairs at Jaccard >= 0.8."""
     docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
@@ -167,16 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(posts.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("token"))
     held = written(posts.join(_small(shared), "token").select("token", "cid", "n", "pos").distinct())
 
-    side = lambda s: held.select("token", F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s))
-    hub = held.groupBy("token").agg(F.min(F.struct("n", "cid", "pos")).alias("e")).select("token", F.col("e.cid").alias("b"), F.col("e.n").alias("nb"), F.col("e.pos").alias("pb"))
-    links = _matching(side("a").join(hub, "token").where("a != b"), docs, classes, own, id_col, text_col)
-    roots = written(components(links))
-    rooted = held.join(_small(roots), held.cid == roots.node, "left").select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    open_ = written(rooted.join(mixed, "token"))
+    found = _matching(_printed(classes), docs, classes, own, id_col, text_col)
+    open_ = _open(held, found)
     side = lambda s: open_.select("token", F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("root").alias("r" + s))
+    hub = open_.groupBy("token").agg(F.min(F.struct("n", "cid", "pos", "root")).alias("e")).select("token", F.col("e.cid").alias("b"), F.col("e.n").alias("nb"), F.col("e.pos").alias("pb"), F.col("e.root").alias("rb"))
+    found = found.union(_matching(side("a").join(hub, "token").where("ra != rb"), docs, classes, own, id_col, text_col))
+    open_ = _open(held, found)
     more = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    roots = written(components(links.union(_matching(more, docs, classes, own, id_col, text_col))))
+    roots = written(components(found.union(_matching(more, docs, classes, own, id_col, text_col))))
     of = written(classes.join(_small(roots), classes.cid == roots.node, "left").select("cid", "first", "k", F.coalesce("root", "cid").alias("root")))
     named = of.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("k").alias("all"))
     joined = written(of.join(named.where(F.col("all") > 1), "root").select("cid", "component_id"))  # classes of documents that stand alone need no join

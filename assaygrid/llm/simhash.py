@@ -20,6 +20,8 @@ fewer words than a shingle count as one shingle; repeated shingles count each ti
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,14 @@ DENSE = 128
 BLOCK = 1 << 15
 
 
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n unsigned hashes, which come in blocks, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+
+
 def bits_over_half(data: bytes, words: int) -> int:
     """Fingerprint of one lower-cased UTF-8 text. Shingle hashes are summed in blocks, so memory is bounded."""
     tokens = data.split()  # bytes split at exactly \x20 and \x09-\x0D
@@ -43,11 +53,8 @@ def bits_over_half(data: bytes, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, BLOCK):
-        hashes = np.array([digest(single[a:b], 42) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+    digest, n = xxhash.xxh64_intdigest, len(starts)
+    return majority((np.array([digest(single[a:b], 42) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64) for at in range(0, n, BLOCK)), n)
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:

@@ -63,3 +63,16 @@ def test_stage_drops_copies_beyond_two_bits(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (None, " ".join(words)), (None, None)], "doc_id long, text string")
     assert sorted(r.doc_id or -1 for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == [-1, -1, 1]
     assert corpus_pipeline.without_near_copies(spark, df.where("false"), "").count() == 0
+
+
+def test_simhash_brings_candidates_that_whole_sets_decide(spark, monkeypatch):
+    words, fp = [f"w{i}" for i in range(400)], lambda w: nc.print_of(nc.tokens_of(" ".join(w)))
+    by_bits = {}
+    for other in ([*words[:-1], f"x{k}"] for k in range(200)):  # one shingle of 396 differs
+        by_bits.setdefault(bin((fp(words) ^ fp(other)) & (1 << 64) - 1).count("1"), other)
+    rows = [(1, words), (2, by_bits[0]), (3, by_bits.get(1) or by_bits[2]), (4, [f"v{i}" for i in range(400)])]
+    seen, matching = [], nc._matching
+    monkeypatch.setattr(nc, "_matching", lambda near, *more: seen.append((near.count(), matching(near, *more))) or seen[-1][1])
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nc.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert [(n, m.count()) for n, m in seen] == [(2, 2), (0, 0), (0, 0)]  # SimHash settles them, nothing is left for the exact way
