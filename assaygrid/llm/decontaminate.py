@@ -21,6 +21,7 @@ import pickle
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Windows a block may hold; words of a shard; distance of sampled suffix positions.
-BLOCK, SHARD, SAMPLE = 100_000, 1_000_000, 8
+BLOCK, SHARD, SAMPLE = 100_000, 250_000, 8
+#: Bytes of texts that a task takes apart at once (one text at least).
+SLICE = 8 << 20
 #: Symbols for words that no window holds; windows that may be broadcast in all.
 OTHERS, MOST = 1024, 20_000_000
 
@@ -82,12 +85,12 @@ class FmIndex:
         level = last
         for b in range(self.levels - 1, -1, -1):
             bits = level >> b & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bits, dtype=np.int32))))
+            self.ones.append(np.concatenate((np.zeros(1, np.int32), np.cumsum(bits, dtype=np.int32))))
             self.zeros.append(self.n - int(self.ones[-1][-1]))
             level = np.concatenate((level[bits == 0], level[bits == 1]))
         self.last = last.astype(np.int32)
         taken = order % sample == 0
-        self.sampled = np.concatenate(([0], np.cumsum(taken)))
+        self.sampled = np.concatenate((np.zeros(1, np.int32), np.cumsum(taken, dtype=np.int32)))
         self.at = order[taken]
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -253,13 +256,20 @@ def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
 RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("unnamed", pa.bool_())])
 
 
+def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in slices of about `SLICE` bytes, so that a batch of long texts is never a list as a whole."""
+    step = max(1, len(texts) * SLICE // max(1, texts.nbytes))
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist()
+
+
 def contamination(text: Column, blocks: list) -> Column:
     """struct<n_words, spans: array<struct<start, end>> in words, items: sorted array<string>, unnamed: boolean> of each text."""
 
     @arrow_udf("struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>,unnamed:boolean>")
     def of(texts: pa.Array) -> pa.Array:
-        found = search_texts(texts.to_pylist(), blocks)
-        return pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i, "unnamed": u} for n, s, i, u in found], RESULT)
+        rows = lambda found: pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i, "unnamed": u} for n, s, i, u in found], RESULT)
+        return pa.concat_arrays([rows([]), *(rows(search_texts(some, blocks)) for some in sliced(texts))])
 
     return of(text)
 
@@ -273,18 +283,26 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join([*parts, text[at:].lstrip()])
 
 
+def cleaned(texts: list[str | None], blocks: list) -> list[str | None]:
+    """The texts without windows; those that hold none are the same objects."""
+    out, open_ = list(texts), list(range(len(texts)))
+    while open_:
+        found = search_texts([out[d] for d in open_], blocks)
+        open_ = [(d, s) for d, (_, s, *_) in zip(open_, found) if s]
+        for d, s in open_:
+            out[d] = remove_spans(out[d], s)
+        open_ = [d for d, _ in open_]
+    return out
+
+
 def clean(text: Column, blocks: list) -> Column:
     """The text without any occurrence of a window, those included that a removal brings about; null stays null."""
 
     @arrow_udf("string")
-    def of(texts: pa.Array) -> pa.Array:
-        out, open_ = texts.to_pylist(), list(range(len(texts)))
-        while open_:
-            found = search_texts([out[d] for d in open_], blocks)
-            open_ = [(d, s) for d, (_, s, *_) in zip(open_, found) if s]
-            for d, s in open_:
-                out[d] = remove_spans(out[d], s)
-            open_ = [d for d, _ in open_]
+    def changed(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for some in sliced(texts):
+            out += [new if new is not old else None for old, new in zip(some, cleaned(some, blocks))]
         return pa.array(out, pa.string())
 
-    return of(text)
+    return F.coalesce(changed(text), text)  # only changed texts come back from Python

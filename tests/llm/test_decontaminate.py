@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,16 @@ def test_too_large_a_benchmark_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(dc, "MOST", 2)
     with pytest.raises(ValueError):
         dc.blocks_of(spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e")], "item_id long, text string"))
+
+
+def test_batches_are_taken_apart_in_slices(monkeypatch):
+    docs, items = sample()
+    monkeypatch.setattr(dc, "SLICE", 64)
+    texts = pa.array([t for _, t in docs], pa.string())
+    assert [t for some in dc.sliced(texts) for t in some] == [t for _, t in docs]
+    assert max(map(len, dc.sliced(texts))) <= max(1, 64 * len(docs) // texts.nbytes) < len(docs)
+    by = {tuple(w.encode() for w in words(t))[:10]: [str(i)] for i, t in items if words(t)}
+    held = type("B", (), {"value": dc.Packed(dc.Block(by))})
+    before = [t for _, t in docs]
+    after = dc.cleaned(before, [held])
+    assert before == [t for _, t in docs] and any(a is not b for a, b in zip(after, before)) and any(a is b and a for a, b in zip(after, before))
