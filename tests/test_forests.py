@@ -86,3 +86,23 @@ def test_large_studies_are_sampled_for_each_block(spark, monkeypatch):
     x, gap = table(300)
     got = np.array([r.x for r in fo.impute(frame(spark, x, gap), "study", trees=20, rounds=2).orderBy("id").collect()])
     assert np.array_equal(got[~gap], x[~gap]) and not np.isnan(got).any()
+
+
+def test_even_trees_predict_like_walks_from_the_root():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    edges = np.quantile(x, np.arange(1, fo.BINS) / fo.BINS, axis=0).T
+    codes, y, h = fo.coded(x, edges), np.where(x[:, 1] > 0.8, x[:, 2], 0.0), rng.integers(-(2**62), 2**62, 400)
+    trees = [fo.grow(np.ascontiguousarray(codes.T), y, fo.weights(h, t), [fo.tried(6, 0, t, level, 42) for level in range(fo.DEPTH)]) for t in range(7)]
+    trees.append(fo.grow(np.ascontiguousarray(codes.T), np.ones(400), np.ones(400), [np.arange(1, 6)] * fo.DEPTH))  # a root alone
+    feature, cut, value = (np.stack(a) for a in zip(*trees))
+    assert (feature[:, 0] < 0).any() and (feature[:, 1:31] < 0).any()  # leaves above the last level
+
+    def walk(t, row):
+        at = 0
+        while feature[t, at] >= 0:
+            at = 2 * at + 1 + (row[feature[t, at]] > cut[t, at])
+        return float(value[t, at])
+
+    want = [np.mean([walk(t, row) for t in range(8)]) for row in codes]
+    assert np.allclose(fo.predict(fo.over(codes), fo.levelled((feature, cut, value))), want, rtol=1e-12)
