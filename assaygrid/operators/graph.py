@@ -34,9 +34,10 @@ def restrictions(rows: DataFrame, graph: Column, subject: Column, role: Column,
 
 def restriction_view(store: DataFrame | Labelled) -> DataFrame:
     """(g, subject, prop, filler) of all restriction quadruples, matched on their shared blank node."""
-    a = pattern(store, "rdfs:subClassOf", "subject", "b")
-    return (a.join(pattern(store, "owl:onProperty", "b", "prop"), ["g", "b"]).join(pattern(store, "owl:someValuesFrom", "b", "filler"), ["g", "b"])
-            .join(pattern(store, "rdf:type", "b", "k").where("k = 'owl:Restriction'"), ["g", "b"], "left_semi").select("g", "subject", "prop", "filler"))
+    part = lambda prop, s, o: pattern(store, prop, s, o) if isinstance(store, Labelled) else pattern(store, prop, s, o).hint("merge")  # noqa: E731  a set's rows are far larger than the file they come from, by whose size Spark would broadcast them
+    a = part("rdfs:subClassOf", "subject", "b")
+    return (a.join(part("owl:onProperty", "b", "prop"), ["g", "b"]).join(part("owl:someValuesFrom", "b", "filler"), ["g", "b"])
+            .join(part("rdf:type", "b", "k").where("k = 'owl:Restriction'"), ["g", "b"], "left_semi").select("g", "subject", "prop", "filler"))
 
 
 @dataclass(frozen=True)

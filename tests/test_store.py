@@ -111,3 +111,11 @@ def test_hypothesis_quads_are_sets(spark):
         assert len(got) == len(set(got)) and sum(q[0] == graph.METADATA for q in got) == 4
         assert sum(q[0] == "h2" for q in got) == 4 and sum(q[2] == "rdfs:subClassOf" and q[3] == "c" for q in got) == 4
         assert ("Union" == made._jdf.queryExecution().optimizedPlan().nodeName()) == (names[0] == "h1" and chemical == "x")
+
+
+def test_restrictions_of_a_set_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "s string, f string")
+    made = graph.restrictions(rows, F.lit("g"), F.col("s"), F.lit("role"), F.col("f"))
+    view = graph.restriction_view(graph.merged(made, made))
+    assert "Broadcast" not in view._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, view.collect())) == [("g", "a", "role", "x"), ("g", "b", "role", "y")]
