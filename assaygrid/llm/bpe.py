@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import hashlib
 import json
 import struct
 from collections.abc import Iterable, Iterator
@@ -230,3 +231,26 @@ def decode(ids: Column, path: str, form: str = "tokens", block: int = 1 << 16) -
         return pa.array(out, pa.string())
 
     return of(ids)
+
+
+def digests(text: Column, path: str, form: str = "tokens", block: int = 1 << 16) -> Column:
+    """Struct of the number of ids, the SHA-256 of the packed ids and that of the decoded text, as `encode` and `decode` give them.
+
+    Each text is encoded once and decoded block by block; neither ids nor decoded texts of a batch are held or sent back.
+    """
+
+    @arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def of(texts: pa.Array) -> pa.Array:
+        bpe = load(path)
+        counts, ids, decoded = zip(*(digest(bpe, x.as_py() or "", form, block) for x in texts), strict=True) if len(texts) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return of(text)
+
+
+def digest(bpe: Bpe, text: str, form: str, block: int) -> tuple[int, str, str]:
+    data, machine, back = bpe.encode(text), Decoder(bpe, form), hashlib.sha256()
+    for a in range(0, len(data), 4 * block):
+        back.update(machine.feed(memoryview(data)[a : a + 4 * block].cast("I")).encode())
+    back.update(machine.close().encode())
+    return len(data) // 4, hashlib.sha256(data).hexdigest(), back.hexdigest()

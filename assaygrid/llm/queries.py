@@ -17,10 +17,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path()
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids")).withColumn("decoded", bpe.decode(F.col("ids"), path))
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return docs.select("doc_id", bpe.digests(F.col("text"), tokenizer_path()).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
