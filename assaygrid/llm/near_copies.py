@@ -1,10 +1,14 @@
 """Near copies of documents: deletion-variant SimHash, and an exact check at Jaccard >= 0.8 of five-word shingles.
 
-Every document gets a SimHash fingerprint of its shingles. Documents whose fingerprints are equal or share a deletion variant and
+First, documents that can match none are set aside (`_open_classes`): a match has at least ceil(0.8 n) of a set's n tokens, so a set with more than
+n - ceil(0.8 n) tokens that no other set holds is left alone. That is counted on a share of the hash space, the same for all documents, and then on
+whole sets of those it leaves; once more whenever a count has left less than half of the sets. A passage that many otherwise different documents share makes no pair of them.
+
+Every other document has a SimHash fingerprint of its shingles. Documents whose fingerprints are equal or share a deletion variant and
 differ by at most two bits are candidates, and whole sets decide (`_printed`). Fingerprints alone miss pairs: at similarity 0.8
 those of two documents differ by ten bits or so, and keys that find all such pairs are shared by most documents. So an
 exact way follows for the rest, documents that SimHash has not brought into one component: as in line_dedup, two sets that match share a token in the first
-n - ceil(0.8 n) + 1 of a fixed order, here: tokens of the fullest hash buckets last, others by hash. Its candidates must be
+n - ceil(0.8 n) + 1 of a fixed order, here: from the token that fewest of the remaining sets hold up (`_by_rarity`). Its candidates must be
 near enough in length, have enough tokens left after the shared one, bitmaps that leave enough overlap and prefixes that do not show too
 many tokens of one set to be missing in the other; whole sets decide.
 
@@ -26,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .line_dedup import _enough, _small
+from .line_dedup import _enough, _needed, _small
 from .shared import cut, written
 from .simhash import BLOCK, components, links, majority, without
 
 SHINGLE = 5
-#: Hash buckets in which tokens are counted; a bucket is full at so many times the mean plus five of its standard deviations.
+#: Hash buckets in which tokens are counted; a bucket is full, and its tokens pass for shared, at so many times the mean plus five of its standard deviations.
 BUCKETS, FULL = 1 << 16, 1.25
+#: Share of the hash space in which tokens of one set only are counted: over 0.2, or no set would be left alone.
+COUNTED = 0.35
 #: Values of arrays that may be broadcast, 32 MB of them.
 BROADCAST = 4_000_000
 #: Bits of a class's bitmap: each token flips one, so two sets differ in at least as many tokens as bits.
@@ -80,28 +86,26 @@ def _bucket_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
 
 
-def _prefix(text: Column, full: list[int]) -> Column:
-    """struct<cid, did, n, fp, bits, prefix, late>: the class, its number of tokens, their SimHash and bitmap, the first of them, and how many of these are frequent."""
-    often = np.zeros(BUCKETS, bool)
+def _described(text: Column, full: list[int]) -> Column:
+    """struct<cid, did, n, fp, bits, counted>: the class, its number of tokens, their SimHash and bitmap, and those tokens in the counted share of the hash space that are in no full bucket."""
+    often, end = np.zeros(BUCKETS, bool), np.uint64(int(COUNTED * 2**64))
     often[full] = True
 
-    @arrow_udf("struct<cid:long,did:long,n:int,fp:long,bits:array<long>,prefix:array<long>,late:int>")
+    @arrow_udf("struct<cid:long,did:long,n:int,fp:long,bits:array<long>,counted:array<long>>")
     def of(texts: pa.Array) -> pa.Array:
-        cids, dids, ns, fps, bits, firsts, lates = [], [], [], [], [], [], []
+        cids, dids, ns, fps, bits, counted = [], [], [], [], [], []
         for x in texts:
             tokens = tokens_of(x.as_py())
-            late, n = often[(tokens % np.uint64(BUCKETS)).astype(np.int64)], len(tokens)
-            first = np.concatenate((tokens[~late], tokens[late]))[: n - (4 * n + 4) // 5 + 1]
+            first = tokens[: np.searchsorted(tokens, end)]
             c, d = class_of(tokens)
             cids.append(c)
             dids.append(d)
-            ns.append(n)
+            ns.append(len(tokens))
             fps.append(print_of(tokens))
             odd = np.bincount(((tokens >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
             bits.append(np.packbits(odd.astype(bool)).view(np.int64))
-            firsts.append(first.view(np.int64))
-            lates.append(max(0, len(first) - int((~late).sum())))
-        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(dids, pa.int64()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lates, pa.int32())], ["cid", "did", "n", "fp", "bits", "prefix", "late"])
+            counted.append(first[~often[(first % np.uint64(BUCKETS)).astype(np.int64)]].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(dids, pa.int64()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int64()))], ["cid", "did", "n", "fp", "bits", "counted"])
 
     return of(text)
 
@@ -129,6 +133,14 @@ def _beside(pairs: DataFrame, of: DataFrame, size: Column) -> DataFrame:
     return pairs.join(held(side("a")), "a").join(held(side("b")), "b")
 
 
+def _sets_of(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, t): the whole sets of the classes."""
+    ids = written(classes.select(F.col("first").alias("__id"), F.col("cid").alias("__cid"), F.col("did").alias("__did")))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_small(ids), F.col("id") == F.col("__id"))
+    sets = written(found.select("__cid", "__did", _whole(F.col("text")).alias("s")))  # before the filter, which Spark would else apply to every document
+    return sets.where(F.col("s.did") == F.col("__did")).select(F.col("__cid").alias("cid"), F.col("s.tokens").alias("t")).dropDuplicates(["cid"])
+
+
 def _matching(near: DataFrame, docs: DataFrame, classes: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b) of candidate pairs that pass the length and position filters and match on whole sets."""
     after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # of the order, the shared token included
@@ -138,15 +150,10 @@ def _matching(near: DataFrame, docs: DataFrame, classes: DataFrame, own: DataFra
     odd = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     pairs = written(_beside(pairs, wanted(classes, pairs).select("cid", "bits"), F.size("bits")).where(9 * odd <= F.col("n")).select("a", "b"))
 
-    last = F.struct(F.col("late") > 0, F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63)))).alias("last")  # tokens are unsigned
-    first = wanted(own, pairs).select("cid", "n", "prefix", last).dropDuplicates(["cid"])
-    zero = F.lit(0)
-    pairs = written(_beside(pairs, first, F.size("prefix")).where(_enough("prefixa", "prefixb", "na", "nb", F.col("lasta") <= F.col("lastb"), zero, zero)).select("a", "b"))
+    ends_first = F.col("lasta") <= F.col("lastb")
+    pairs = written(_beside(pairs, wanted(own, pairs), F.size("prefix")).where(_enough("prefixa", "prefixb", "na", "nb", ends_first, F.col("alonea"), F.col("aloneb"))).select("a", "b"))
 
-    ids = written(wanted(classes, pairs).select(F.col("first").alias("__id"), F.col("cid").alias("__cid"), F.col("did").alias("__did")))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_small(ids), F.col("id") == F.col("__id"))
-    sets = written(found.select("__cid", "__did", _whole(F.col("text")).alias("s")))  # before the filter, which Spark would else apply to every document
-    sets = sets.where(F.col("s.did") == F.col("__did")).select(F.col("__cid").alias("cid"), F.col("s.tokens").alias("t")).dropDuplicates(["cid"])
+    sets = _sets_of(wanted(classes, pairs), docs, id_col, text_col)
     return written(_beside(pairs, sets, F.size("t")).where(9 * F.size(F.array_intersect("ta", "tb")) >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b"))
 
 
@@ -160,6 +167,28 @@ def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         sets = written(sets.join(_small(shared), "cid", "left").withColumn("cid", F.when(F.col("shared"), F.xxhash64("cid", "did")).otherwise(F.col("cid"))).drop("shared"))
 
 
+def _open_classes(own: DataFrame, tokens: Column) -> DataFrame:
+    """The rows of `own` (cid, n, ...), one a class, but those with more tokens of their own than a match leaves; `tokens` are those that count."""
+    own = written(own)
+    left = own.count()
+    while True:
+        posts = own.select("cid", F.explode(tokens).alias("token"))
+        alone = posts.groupBy("token").agg(F.min("cid").alias("cid"), F.max("cid").alias("hi")).where("cid = hi").groupBy("cid").agg(F.count("*").alias("alone"))
+        own = written(own.join(alone, "cid", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - _needed("n")).drop("alone"))
+        before, left = left, own.count()
+        if 2 * left >= before:
+            return own
+
+
+def _by_rarity(sets: DataFrame) -> DataFrame:
+    """(cid, n, alone, last, prefix) of sets (cid, n, t): the first tokens in order of how many of the sets hold them, but for the `alone` ones that no other set holds; `last` is the last one's place in that order."""
+    each = sets.select("cid", "n", F.explode("t").alias("token"))
+    counts = written(each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
+    shared = each.join(_small(counts), "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("shared")).withColumn("alone", F.col("n") - F.size("shared"))
+    taken = shared.select("cid", "n", "alone", F.slice("shared", 1, F.greatest(F.col("n") - _needed("n") + 1 - F.col("alone"), F.lit(0))).alias("first")).where(F.size("first") > 0)
+    return written(taken.select("cid", "n", "alone", F.element_at("first", -1).alias("last"), F.transform("first", lambda x: x["token"]).alias("prefix")))
+
+
 def _printed(classes: DataFrame) -> DataFrame:
     """Candidates (a, na, pa, b, nb, pb) by SimHash: classes of one fingerprint with the least of them, and these where fingerprints link."""
     one = written(classes.groupBy("fp").agg(F.min(F.struct("cid", "n")).alias("e"), F.count("*").alias("k")))
@@ -187,23 +216,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = cut(_bucket_counts(docs, text_col))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     full = [r.b for r in counts.where(F.col("n") > FULL * mean + 5 * mean**0.5 + 16).select("b").collect()]  # fewer than BUCKETS
-    sets = written(docs.select(F.col(id_col).alias("id"), _prefix(F.col(text_col), full).alias("s")).select("id", "s.*"))
+    sets = written(docs.select(F.col(id_col).alias("id"), _described(F.col(text_col), full).alias("s")).select("id", "s.*"))
     sets, classes = _classes(sets)
 
     copied = written(classes.where("k > 1").select("cid", "first"))
-    own = sets.join(_small(copied), "cid", "left").where("first is null or id = first").drop("first")
-    posts = own.select("cid", "n", "late", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "token"))
+    own = sets.join(_small(copied), "cid", "left").where("first is null or id = first").select("cid", "n", "counted").dropDuplicates(["cid"])
+    own = _open_classes(own, F.col("counted"))
+    whole = _sets_of(classes.join(_small(own.select("cid")), "cid", "left_semi"), docs, id_col, text_col)
+    own = _by_rarity(_open_classes(whole.select("cid", F.size("t").alias("n"), "t"), F.col("t")))
+    kept = written(classes.join(_small(own.select("cid")), "cid", "left_semi"))
+    posts = own.select("cid", "n", "alone", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("alone") + F.col("i"))
     shared = written(posts.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("token"))
-    held = written(posts.join(_small(shared), "token").select("token", "cid", "n", "pos").distinct())
+    held = written(posts.join(_small(shared), "token").select("token", "cid", "n", "pos"))
 
-    found = _matching(_printed(classes), docs, classes, own, id_col, text_col)
+    found = _matching(_printed(kept), docs, kept, own, id_col, text_col)
     open_ = _open(held, found)
     side = lambda s: open_.select("token", F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("root").alias("r" + s))
     hub = open_.groupBy("token").agg(F.min(F.struct("n", "cid", "pos", "root")).alias("e")).select("token", F.col("e.cid").alias("b"), F.col("e.n").alias("nb"), F.col("e.pos").alias("pb"), F.col("e.root").alias("rb"))
-    found = found.union(_matching(side("a").join(hub, "token").where("ra != rb"), docs, classes, own, id_col, text_col))
+    found = found.union(_matching(side("a").join(hub, "token").where("ra != rb"), docs, kept, own, id_col, text_col))
     open_ = _open(held, found)
     more = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    roots = written(components(found.union(_matching(more, docs, classes, own, id_col, text_col))))
+    roots = written(components(found.union(_matching(more, docs, kept, own, id_col, text_col))))
     of = written(classes.join(_small(roots), classes.cid == roots.node, "left").select("cid", "first", "k", F.coalesce("root", "cid").alias("root")))
     named = of.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("k").alias("all"))
     joined = written(of.join(named.where(F.col("all") > 1), "root").select("cid", "component_id"))  # classes of documents that stand alone need no join

@@ -76,3 +76,17 @@ def test_simhash_brings_candidates_that_whole_sets_decide(spark, monkeypatch):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in nc.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     assert [(n, m.count()) for n, m in seen] == [(2, 2), (0, 0), (0, 0)]  # SimHash settles them, nothing is left for the exact way
+
+
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    passage, rows = [word() for _ in range(60)], []
+    for d in range(60):
+        rows.append((d, " ".join([*passage, *(word() for _ in range(60))])))
+    rows.append((60, rows[7][1] + " end"))
+    seen, matching = [], nc._matching
+    monkeypatch.setattr(nc, "_matching", lambda near, *more: seen.append(near.count()) or matching(near, *more))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nc.near_duplicates(df).collect()} == brute(rows)
+    assert sum(seen) < 60  # 1,770 pairs share the passage
