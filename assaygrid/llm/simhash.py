@@ -84,19 +84,20 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     half, bit = F.lit(HALF), F.col("bit")
     mask = F.lit((1 << HALF) - 1).cast("long")
     side = F.when(bit < HALF, F.col("fp").bitwiseAND(mask)).otherwise(F.call_function("shiftrightunsigned", F.col("fp"), half))
-    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few rows become 64 times as many
-    keyed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = lambda rows: rows.repartition(n, F.xxhash64("fp"))  # noqa: E731  few rows become many; Spark leaves out a repartition by `fp` itself after a grouping by it, and merges its small partitions
+    keyed = even(prints).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
         "fp", (_without(side, bit % HALF) * 64 + bit).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
     sizes = cut(sizes)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
-    shared = cut(keyed.join(sizes, "key"))
+    shared = cut(keyed.hint("merge").join(sizes, "key"))  # Spark sizes keys by the fingerprints they come from, a 64th of them, and would broadcast them
     sparse = shared.where(F.col("n") <= dense)
     left, right = sparse.select("key", F.col("fp").alias("a")), sparse.select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
     crowd = shared.where(F.col("n") > dense).select("fp").distinct()
     i, j = F.col("i"), F.col("j")
-    finer = (crowd.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
+    finer = (even(crowd).select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
              .select("fp", "i", F.explode(F.sequence(i + 1, F.lit(63))).alias("j"))
              .select("fp", _without(_without(F.col("fp"), i), j).alias("rest"), (i * 64 + j).alias("out")))
     stars = (finer.groupBy("rest", "out").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)

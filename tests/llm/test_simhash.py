@@ -62,6 +62,20 @@ def test_dense_bucket_chain(spark):
         assert {r.root for r in roots.collect()} == {0} and roots.count() == len(chain)
 
 
+def test_keys_are_not_broadcast_by_the_size_of_their_fingerprints(spark, monkeypatch):
+    seen, rng = [], random.Random(5)
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: (seen.append(df), cut(df))[1])
+    df = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(2000)] + [(0,), (3,)], "fp long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")  # over 2,002 fingerprints, under their 128,128 keys
+    try:
+        assert (0, 3) in {(r.a, r.b) for r in simhash.links(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p.split("== Initial Plan ==")[0] for p in plans)
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
