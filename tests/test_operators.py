@@ -239,6 +239,19 @@ def test_patterns_that_share_a_cover(spark):
     assert found == sorted([(g, p) for p, g in want if g in (1, 3)] + [(99, None), (None, None)], key=str)
 
 
+def test_features_of_targets_repeat_lists_of_genes(spark, tmp_path):
+    """2.5 million rows of 100 genes and 25,000 patterns take under a byte a row; a target given twice has its rows twice."""
+    patterns_ = spark.range(25_000).select(F.concat(F.lit("target|"), "id", F.lit("|a0")).alias("pattern_id"), F.when(F.col("id") < 24_990, "u").otherwise("v").alias("cover"))
+    rows = spark.range(100).select(F.lit("u").alias("cover"), F.col("id").alias("gene")).union(spark.createDataFrame([("v", 7), ("none", 7), ("v", None)], "cover string, gene long"))
+    targets = spark.range(101).select(F.col("id").alias("gene"), F.lit("x").alias("kind")).union(spark.createDataFrame([(7, "y")], "gene long, kind string"))
+    patterns.features_of_shared(targets, patterns_, rows).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    each = {(r.gene, r.kind): (r.n, r.k) for r in got.groupBy("gene", "kind").agg(F.count("*").alias("n"), F.count("pattern_id").alias("k")).collect()}
+    assert got.columns == ["gene", "kind", "pattern_id"]
+    assert each == {(g, "x"): (24_990, 24_990) for g in range(100)} | {(7, k): (25_001, 25_000) for k in "xy"} | {(100, "x"): (1, 0)}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2_000_000
+
+
 @pytest.mark.parametrize("share", (0.01, 0.4))
 def test_clause_bodies_against_plain_search(spark, monkeypatch, share):
     """Nulls, repeated facts and texts that two shapes share; of genes only facts and numbers are exchanged, no (body, gene) row is written."""
