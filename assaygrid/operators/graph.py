@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assaygrid.functions.scalars import changed
 from assaygrid.operators.staging import small, staged, written
-from assaygrid.operators.store import Labelled, labelled
+from assaygrid.operators.store import Labelled, labelled, unsorted
 
 QUAD = "struct<g:string,s:string,p:string,o:string>"
 
@@ -54,6 +54,12 @@ def stored(store: DataFrame, buckets: int | None = None) -> QuadStore:
     return QuadStore(quads, labelled(restriction_view(quads), "prop", "subject", buckets))
 
 
+def read_once(store: DataFrame) -> QuadStore:
+    """A store for one query's patterns: its quads and restrictions written once, in no order; joins shuffle what they match, not all quads."""
+    quads = unsorted(store.select("g", "s", "p", "o"), "p")
+    return QuadStore(quads, unsorted(restriction_view(quads), "prop"))
+
+
 def pattern(store: DataFrame | Labelled, prop: str, s: str, o: str, graph: str | None = None) -> DataFrame:
     """(g, s, o) of one property; swap the names for an inverse path. The property filter reaches the scan."""
     rows = store.of(prop) if isinstance(store, Labelled) else store.where(F.col("p") == prop)
@@ -219,10 +225,9 @@ def hypothesis_quads(hypotheses: DataFrame, parts: DataFrame) -> DataFrame:
 def distinct_quads(rows: DataFrame, node: Column, *templates: tuple[Column, Column, Column, Column]) -> DataFrame:
     """The set of the quads of all rows, where equal quads come from rows of one `node` only.
 
-    Only rows whose node another row has, too, can repeat a quad: nodes are counted by a hash, and the quads of the others pass
+    `rows` are read three times. Only those whose node another row has, too, can repeat a quad: nodes are counted by a hash, and the quads of the others pass
     unshuffled. A hash that two nodes share only sends more rows through the distinct.
     """
-    rows = written(rows)
     key = F.xxhash64(node)
     several = written(rows.groupBy(key.alias("__node")).agg(F.count("*").alias("n")).where("n > 1").select("__node"))
     once = quads(rows.join(small(several), key == F.col("__node"), "left_anti"), *templates)
@@ -258,7 +263,7 @@ def growth_test_quads(t: DataFrame) -> DataFrame:
     test = F.concat(lit("GROWTH-"), "study", lit("-auc-forest-"), "i")
     ref, cond, a = F.concat(test, lit("-reference-condition")), F.concat(test, lit("-test-condition")), lit("rdf:type")
     labels = [(g, x, lit(p), c(v)) for x in (ref, cond) for p, v in ((":testConditionHasTreatment", "treatment"), (":testConditionHasSupplement", "supplement"))]
-    return distinct_quads(t, test, (g, test, a, lit(":AUCForestComparativeTest")), (g, test, lit(":referenceCondition"), ref), (g, test, lit(":testCondition"), cond), (g, test, lit(":GLMCoefficient"), c("estimate")), (g, test, lit(":pValue"), c("p")),
+    return distinct_quads(written(t), test, (g, test, a, lit(":AUCForestComparativeTest")), (g, test, lit(":referenceCondition"), ref), (g, test, lit(":testCondition"), cond), (g, test, lit(":GLMCoefficient"), c("estimate")), (g, test, lit(":pValue"), c("p")),
                  (g, ref, a, lit(":growthDataTestCondition")), (g, ref, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-1"))), (g, ref, lit("rdfs:label"), lit("Treatment=None, Supplement=None")),
                  (g, cond, a, lit(":growthDataTestCondition")), (g, cond, lit(":growthDataFromAssay"), F.concat(lit("EXP-"), "study", lit("-"), "assay")), (g, cond, lit("rdfs:label"), c("link")), *labels)
 
@@ -277,14 +282,24 @@ def assays_of(store: Labelled, baseline: str) -> DataFrame:
     assay = typed(typed(one("obo:BFO_0000051", "study", "assay"), "study", "obo:OBI_0500000"), "assay", "obo:OBI_0000070")
     given = one("obo:OBI_0000293", "assay", "x")
     medium = typed(given.withColumnRenamed("x", "medium"), "medium", "obo:OBI_0000079").join(one(":baselineMedia", "medium", "b").where(F.col("b") == baseline).select("medium"), "medium", "left_semi")
+    medium = medium.join(one(":mediaSupplementation", "medium", "supplement"), "medium", "left")
     culture = typed(given.withColumnRenamed("x", "culture"), "culture", "obo:OBI_0001876").join(one("obo:BFO_0000051", "culture", "medium"), "culture")
     culture = culture.join(one("obo:BFO_0000051", "culture", "c").where("c = ':saccaharomyces-cerevisiae-population'").select("culture"), "culture", "left_semi")
-    treated = typed(given.withColumnRenamed("x", "treatment_id"), "treatment_id", ":treatment")
+    treated = typed(given.withColumnRenamed("x", "treatment_id"), "treatment_id", ":treatment").join(one(":treatmentWithChemical", "treatment_id", "treatment"), "treatment_id", "left")
     got = assay.join(medium, "assay").join(culture.select("assay", "medium").distinct(), ["assay", "medium"]).join(treated, "assay").join(one("rdfs:label", "study", "label"), "study")
-    got = got.join(one(":mediaSupplementation", "medium", "supplement"), "medium", "left").join(one(":treatmentWithChemical", "treatment_id", "treatment"), "treatment_id", "left")
     return got.select("study", "label", "assay", "supplement", "treatment")
 
 
+def _read_by_hypotheses(baseline: str) -> Column:
+    """Whether some pattern of `hypotheses_with_tests` can match a quad; restrictions are read in all graphs."""
+    g, p, o = F.col("g"), F.col("p"), F.col("o")
+    typed = lambda *kinds: (p == "rdf:type") & o.isin(*kinds)
+    return (p.isin("rdfs:subClassOf", "owl:onProperty", "owl:someValuesFrom") | typed("owl:Restriction") | ((g == METADATA) & (p == "dcterms:created")) | ((g == "ontology") & (p == "rdfs:subPropertyOf"))
+            | ((g == "experiments") & (p.isin("obo:BFO_0000051", "obo:OBI_0000293", "rdfs:label", ":mediaSupplementation", ":treatmentWithChemical") | ((p == ":baselineMedia") & (o == baseline))
+                                       | typed("obo:OBI_0500000", "obo:OBI_0000070", "obo:OBI_0000079", "obo:OBI_0001876", ":treatment")))
+            | ((g == "growth-data") & (p.isin(":referenceCondition", ":testCondition", ":GLMCoefficient", ":pValue", ":growthDataFromAssay") | typed(":AUCForestComparativeTest"))))
+
+
 def hypotheses_with_tests(store: DataFrame | QuadStore, baseline: str = "Minimal media without amino acids") -> DataFrame:
     """(h, ql1, hypo_aa, ql2, hypo_supp, study, label, coef_aa, p_aa, coef_aa_supp, p_aa_supp) of all hypotheses.
 
@@ -292,7 +307,7 @@ def hypotheses_with_tests(store: DataFrame | QuadStore, baseline: str = "Minimal
     notDiffers and a class below resistance); optional within: a study with a base assay, one with hypo_aa alone and
     one with both, and the growth tests of the latter two against the base.
     """
-    store = store if isinstance(store, QuadStore) else stored(store)
+    store = store if isinstance(store, QuadStore) else read_once(store.where(_read_by_hypotheses(baseline)))
     quads, role_rows = store.quads, store.restrictions
     h = pattern(quads, "dcterms:created", "h", "x", METADATA).select("h")
     below = lambda prop, *seeds: reaching(pattern(quads, prop, "child", "parent", "ontology"), quads.even.sparkSession.createDataFrame([(x,) for x in seeds], "parent string")).select("child").distinct()

@@ -49,3 +49,12 @@ def labelled(rows: DataFrame, label: str, key: str, buckets: int | None = None,
     even.repartition(n, key).write.partitionBy(label).bucketBy(n, key).option("path", at).format("parquet").saveAsTable(name)
     uneven = rows.where(F.col(label).isin(*hot)) if hot else rows.limit(0)
     return Labelled(spark.table(name).select(*rows.columns), uneven, hot, label)
+
+
+def unsorted(rows: DataFrame, label: str) -> Labelled:
+    """Rows in one table as they come, without a shuffle or a second copy: a label is read by the row groups that hold it, and joins on the key shuffle.
+
+    Names of nodes are hashes in hexadecimal, which zstd halves.
+    """
+    rows = written(rows.where(F.col(label) != ""), "zstd")
+    return Labelled(rows, rows.limit(0), frozenset(), label)

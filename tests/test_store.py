@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assaygrid.operators import graph, patterns
+from assaygrid.operators import graph, patterns, staging, store
 from assaygrid.operators.store import labelled
+from assaygrid.plans import studies
 
 
 def plain_reach(edges, seeds):
@@ -119,3 +120,15 @@ def test_restrictions_of_a_set_are_not_broadcast(spark):
     view = graph.restriction_view(graph.merged(made, made))
     assert "Broadcast" not in view._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, view.collect())) == [("g", "a", "role", "x"), ("g", "b", "role", "y")]
+
+
+def test_hypotheses_store_only_quads_they_read(spark, monkeypatch):
+    """Quads that no pattern can match are not written, the others once; a store that holds all gives the same rows."""
+    quads = staging.staged(studies.whole_store(spark, "/root/testdata/sf0.001"))
+    other = F.col("g").isin("experiments", "growth-data", graph.METADATA)
+    quads = quads.union(quads.where(other).select(F.lit("elsewhere"), "s", "p", "o")).union(quads.select("g", "s", F.concat("p", F.lit("-not")), "o")).toDF("g", "s", "p", "o")
+    want, sizes = sorted(graph.hypotheses_with_tests(graph.stored(quads, 2)).collect(), key=str), []
+    monkeypatch.setattr(store, "written", lambda df, *a, to=store.written: (sizes.append((df.columns, (out := to(df, *a)).count())), out)[1])
+    assert sorted(graph.hypotheses_with_tests(quads).collect(), key=str) == want and any(r.coef_aa for r in want)
+    stored = [n for columns, n in sizes if columns == ["g", "s", "p", "o"]]
+    assert len(stored) == 1 and stored[0] < quads.count() / 2
